@@ -26,11 +26,11 @@ ORACLE_SQL: dict[str, str] = {
               WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
         ln AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM l GROUP BY r),
         m AS (SELECT doc_id, len(w)::BIGINT AS n_words,
-                     coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+                     coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
                      (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
                      coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
                      coalesce(n_lines, 0)::BIGINT AS n_lines,
-                     len(list_filter(w, x -> regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')))::BIGINT AS n_letter_words
+                     len([x for x in w if regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')])::BIGINT AS n_letter_words
               FROM w LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
         f AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
                      + 4 * (10 * n_symbols > 3 * n_words)::BIGINT + 8 * (10 * n_dup_lines > 4 * n_lines)::BIGINT
