@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .license_scan import op1_license_scan
+from .packing import op6_packing
 from .quality_rules import op7_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
 }
 
