@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .license_scan import op1_license_scan
 from .packing import op6_packing
+from .quality_classifier import op4_quality_classifier
 from .quality_rules import op7_quality_rules
+from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
