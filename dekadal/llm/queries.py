@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_extraction import op8_html_extraction
 from .license_scan import op1_license_scan
 from .packing import op6_packing
+from .pii import op5_pii
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op7_quality_rules
 from .toxicity import op9_toxicity
@@ -15,8 +17,10 @@ from .toxicity import op9_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
 }
 
