@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_extraction import op8_html_extraction
+from .jaccard_join import op10_ngram_jaccard_join
 from .license_scan import op1_license_scan
 from .packing import op6_packing
 from .pii import op5_pii
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
