@@ -6,7 +6,9 @@
 3. The order of shingles is: those of one set alone, then by hash. Two sets that link share a shingle of their prefixes,
    the first n // 10 + 1 in that order, at places that leave enough behind.
 4. Sets with the same prefix and size are one group. Group pairs that share a prefix shingle pass the size and place
-   filters; their members are verified exactly.
+   filters and one by parity: a set's bitmap holds the parity of its shingles in each of 512 hash classes, so two bitmaps
+   differ in no more bits than the sets do in shingles (for groups: in the bits on which their members agree). The pairs'
+   members pass the same filter within the join, and what is left is verified exactly.
 5. A large family of near copies would give pairs with its square. So each group's members, and each shingle's groups,
    are first verified against one of them (a star). What the stars connect needs no further pairs: the full join
    looks only at members of different components, so no link between components is lost.
@@ -24,6 +26,8 @@ from .components import connected_components
 
 #: Of the hash range, in the first count of shingles that only one set has.
 FIRST_COUNT = 5
+#: Longs of a parity bitmap.
+WORDS = 8
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -67,9 +71,18 @@ def sampled(buf: np.ndarray, offs: np.ndarray) -> dict:
     return {"n": np.diff(at), "fp": fingerprints(sets, at), "shingles": pa.ListArray.from_arrays(counted[at].astype(np.int32), pa.array(sets[own]))}
 
 
+def parities(sets: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Per set, WORDS longs of parity bits."""
+    docs, width = len(at) - 1, 64 * WORDS
+    doc = np.repeat(np.arange(docs), np.diff(at))
+    odd = np.bincount(doc * width + (mix(sets.astype(np.uint64)) % np.uint64(width)).astype(np.int64), minlength=docs * width) & 1
+    longs = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(np.arange(0, docs * WORDS + 1, WORDS, dtype=np.int32), pa.array(longs))
+
+
 def whole(buf: np.ndarray, offs: np.ndarray) -> dict:
     sets, at = shingle_sets(buf, offs)
-    return {"own_fp": fingerprints(sets, at), "shingles": pa.ListArray.from_arrays(at.astype(np.int32), pa.array(sets))}
+    return {"own_fp": fingerprints(sets, at), "bits": parities(sets, at), "shingles": pa.ListArray.from_arrays(at.astype(np.int32), pa.array(sets))}
 
 
 def lonely(sets: DataFrame) -> DataFrame:
@@ -88,6 +101,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 FILTER = "10 * least(n1, n2) >= 9 * greatest(n1, n2) AND 19 * least(n1 - at1, n2 - at2) >= 9 * (n1 + n2)"
+#: Sets that link differ in at most a nineteenth of the sum of their sizes.
+MEMBERS = f"19 * ({' + '.join(f'bit_count(b1[{i}] ^ b2[{i}])' for i in range(WORDS))}) <= n1 + n2"
+GROUPS = f"19 * ({' + '.join(f'bit_count((b1[{i}] ^ b2[{i}]) & e1[{i}] & e2[{i}])' for i in range(WORDS))}) <= n1 + n2"
 
 
 def links(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -100,40 +116,40 @@ def links(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame
     live = saved(live, "join-live")
     again = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__body")).join(live, F.col("__id") == F.col("__rep"))
     again = again.select("fp", "n", F.col("__body").alias("text"))
-    sets = map_texts(again, "own_fp long, shingles array<bigint>", whole, ["fp", "n"], "text").where("fp = own_fp").drop("own_fp")
+    sets = map_texts(again, "own_fp long, bits array<bigint>, shingles array<bigint>", whole, ["fp", "n"], "text").where("fp = own_fp").drop("own_fp")
     sets = saved(sets, "join-sets")
 
     own = lonely(sets).groupBy("fp").agg(F.collect_list("shingle").alias("own"))
     near = sets.join(own, "fp", "left").withColumn("own", F.coalesce("own", F.expr("array()").cast("array<bigint>"))).withColumn("alone", F.size("own").cast("long")).where("10 * alone <= n")
     prefix = F.expr("slice(array_except(shingles, own), 1, cast(n div 10 + 1 - alone as int))")
-    near = saved(near.select("fp", "n", "alone", "shingles", prefix.alias("prefix")), "join-near")
+    near = saved(near.select("fp", "n", "alone", "bits", "shingles", prefix.alias("prefix")), "join-near")
 
-    heads = near.select("fp", "n", "alone", "prefix")
+    heads = near.select("fp", "n", "alone", "bits", "prefix")
     key = ["n", "alone", F.xxhash64("prefix").alias("key")]
     grouped = heads.groupBy(*key).agg(F.min("fp").alias("g"))
-    members = saved(heads.select("fp", "prefix", *key).join(grouped, ["n", "alone", "key"]).select("fp", "g", "n", "alone", "prefix"), "join-members")
-    posted = members.where("fp = g").select("g", "n", "alone", F.posexplode("prefix").alias("place", "shingle")).select("shingle", "g", "n", (F.col("alone") + F.col("place")).alias("at")).distinct()
+    members = saved(heads.select("fp", "prefix", "bits", *key).join(grouped, ["n", "alone", "key"]).select("fp", "g", "n", "alone", "bits", "prefix"), "join-members")
+    posted = members.where("fp = g").select("g", "n", "alone", "bits", F.posexplode("prefix").alias("place", "shingle")).select("shingle", "g", "n", "bits", (F.col("alone") + F.col("place")).alias("at")).distinct()
     posted = saved(posted, "join-posted")
 
-    centre = posted.groupBy("shingle").agg(F.min(F.struct("at", "g", "n")).alias("c")).select("shingle", F.col("c.g").alias("x"), F.col("c.n").alias("n1"), F.col("c.at").alias("at1"))
-    star = posted.withColumnsRenamed({"n": "n2", "at": "at2"}).join(centre, "shingle").where(f"x <> g AND {FILTER}").select("x", F.col("g").alias("y"))
+    centre = posted.groupBy("shingle").agg(F.min(F.struct("at", "g", "n", "bits")).alias("c")).select("shingle", F.col("c.g").alias("x"), F.col("c.n").alias("n1"), F.col("c.at").alias("at1"), F.col("c.bits").alias("b1"))
+    star = posted.withColumnsRenamed({"n": "n2", "at": "at2", "bits": "b2"}).join(centre.withColumnRenamed("shingle", "s1"), F.expr(f"shingle = s1 AND x <> g AND {FILTER} AND {MEMBERS}")).select("x", F.col("g").alias("y"))
     pairs = saved(members.where("fp <> g").select(F.col("g").alias("x"), F.col("fp").alias("y")).union(star).distinct(), "join-star")
     edges = saved(verified(pairs, near), "join-star-edges")
     if edges.isEmpty() and posted.isEmpty():
         return rows, edges.select(F.col("x").alias("fp"), F.col("y").alias("component"))
     known = connected_components(edges)
 
-    inside = saved(members.select("fp", "g").join(known, F.col("fp") == F.col("node"), "left").select("fp", "g", F.coalesce("component", "fp").alias("c")), "join-inside")
-    span = inside.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    open_rows = posted.join(span, "g")
+    inside = saved(members.select("fp", "g", "n", "bits").join(known, F.col("fp") == F.col("node"), "left").select("fp", "g", "n", "bits", F.coalesce("component", "fp").alias("c")), "join-inside")
+    ands, ors = ([F.expr(f"{f}(bits[{i}])") for i in range(WORDS)] for f in ("bit_and", "bit_or"))
+    span = inside.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.array(*ands).alias("all"), F.array(*ors).alias("any"))
+    span = span.withColumn("agree", F.expr(f"array({', '.join(f'~(all[{i}] ^ any[{i}])' for i in range(WORDS))})")).drop("any")
+    open_rows = posted.drop("bits").join(span, "g")
     mixed = open_rows.groupBy("shingle").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b").select("shingle")
     open_rows = saved(open_rows.join(mixed, "shingle", "left_semi"), "join-open")
-    one = open_rows.select("shingle", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("low").alias("l1"), F.col("high").alias("h1"))
-    two = open_rows.select(F.col("shingle").alias("s2"), F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    group_pairs = one.join(two, F.expr(f"shingle = s2 AND g1 <= g2 AND least(l1, l2) < greatest(h1, h2) AND {FILTER}")).select("g1", "g2").distinct()
-    left = inside.select(F.col("g").alias("g1"), F.col("fp").alias("x"), F.col("c").alias("cx"))
-    right = inside.select(F.col("g").alias("g2"), F.col("fp").alias("y"), F.col("c").alias("cy"))
-    rest = group_pairs.join(left, "g1").join(right, "g2").where("cx <> cy AND (g1 < g2 OR x < y)").select("x", "y")
+    one, two = (open_rows.select(F.col("shingle").alias(f"s{k}"), *[F.col(c).alias(f"{a}{k}") for c, a in (("g", "g"), ("n", "n"), ("at", "at"), ("low", "l"), ("high", "h"), ("all", "b"), ("agree", "e"))]) for k in (1, 2))
+    group_pairs = one.join(two, F.expr(f"s1 = s2 AND g1 <= g2 AND least(l1, l2) < greatest(h1, h2) AND {FILTER} AND {GROUPS}")).select("g1", "g2").distinct()
+    left, right = (inside.select(F.col("g").alias(f"h{k}"), F.col("fp").alias(v), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}")) for k, v in ((1, "x"), (2, "y")))
+    rest = group_pairs.join(left, F.expr("g1 = h1")).join(right, F.expr(f"g2 = h2 AND c1 <> c2 AND (g1 < g2 OR x < y) AND {MEMBERS}")).select("x", "y")
     more = saved(verified(saved(rest.distinct(), "join-rest"), near), "join-rest-edges")
     if more.isEmpty():
         return rows, known.withColumnRenamed("node", "fp")
