@@ -174,3 +174,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component: that of the smallest id, and one row of it where rows repeat its id.
+    Rows with a null id stay."""
+    found = saved(jaccard_components(docs, id_col, text), "join-components")
+    gone = saved(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "join-gone")
+    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    repeated = saved(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "join-repeated")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, id_col, "left_anti").select(docs.columns).union(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination
+from .decontamination import op2_benchmark_decontamination
 from .html_extraction import op8_html_extraction
 from .jaccard_join import op10_ngram_jaccard_join
 from .license_scan import op1_license_scan
@@ -13,10 +15,13 @@ from .packing import op6_packing
 from .pii import op5_pii
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op7_quality_rules
+from .token_counts import op3_token_counts
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_token_counts": op3_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
@@ -27,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": decontamination.SQL,
     "op7_quality_rules": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),

@@ -205,3 +205,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *,
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs without those that the trees predict to be toxic. Rows with a null id stay."""
+    scored = score_toxicity(docs, labels, id_col=id_col, **options)
+    gone = saved(scored.where("predicted = 1").select(id_col).distinct(), "toxic")
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)
