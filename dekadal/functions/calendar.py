@@ -40,7 +40,7 @@ def dekad_index(c: Column | str) -> Column:
 
 def dekad_of_index(i: Column) -> Column:
     i = i.cast("int")
-    return F.make_date(F.expr("0").cast("int") + F.floor(i / 36).cast("int"), (F.floor(F.pmod(i, F.lit(36)) / 3) + 1).cast("int"), (F.pmod(i, F.lit(3)) * 10 + 1).cast("int"))
+    return F.make_date(F.floor(i / 36).cast("int"), (F.floor(F.pmod(i, F.lit(36)) / 3) + 1).cast("int"), (F.pmod(i, F.lit(3)) * 10 + 1).cast("int"))
 
 
 def season(c: Column | str) -> Column:
@@ -112,11 +112,12 @@ def future_dekads(history: DataFrame, n: int = 6, time: str = "date", keys: list
     return last.select(*keys, F.inline(after))
 
 
-def new_data_due(history: DataFrame, as_of: Column, time: str = "date") -> DataFrame:
-    """One row: whether a completed dekad is missing. The newest dekad that has begun is not yet complete."""
-    row = history.agg(F.max(time).alias("last"))
-    begun = dekad_index(as_of) - dekad_index("last")
-    return row.select("last", (F.greatest(begun, F.lit(0))).cast("int").alias("n_begun"), (begun > 1).alias("due"))
+def new_data_due(history: DataFrame, as_of: DataFrame, time: str = "date") -> DataFrame:
+    """One row: whether a completed dekad is missing. as_of is a one-row table (as_of); the newest dekad that has begun
+    by then is not yet complete."""
+    row = history.agg(F.max(time).alias("last")).crossJoin(F.broadcast(as_of))
+    begun = dekad_index("as_of") - dekad_index("last")
+    return row.select("last", F.greatest(begun, F.lit(0)).cast("int").alias("n_begun"), (begun > 1).alias("due"))
 
 
 def offset_to_date(first: Column | str, offset: Column | str) -> Column:

@@ -1,14 +1,20 @@
-"""The registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from ..operators import scale
+from . import series_queries  # noqa: F401
+from .bindings import ORACLE_SQL, QUERIES, filled, query, sql
 
 
+@query(sql("filled", "SELECT series, date, round((value - mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 4) + 0 AS value FROM filled JOIN sc USING (series)", "sc AS (SELECT series, avg(value) AS mean, stddev_pop(value) AS std FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS r FROM filled) WHERE r <= 100 GROUP BY series)"))
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Irregular observations of 25 series, aligned to dekads, filled and normalised."""
+    rows = filled(spark, sf_dir)
+    return scale.zscore(rows, scale.fit_scaler(rows, first_n=100)).select("series", "date", (F.round("value", 4) + 0.0).alias("value"))
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
