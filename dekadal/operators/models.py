@@ -46,10 +46,10 @@ def rf_forecast(windows: DataFrame, k: int = 8, trees: int = 20, depth: int = 5,
         own = score
         for i, tree in enumerate(model.trees):
             own = tree.setFeaturesCol("features").setPredictionCol(f"__t{i}").transform(own)
-        each = F.array(*[F.col(f"__t{i}") for i in range(trees)])
-        mean = F.aggregate(each, F.lit(0.0), lambda a, v: a + v) / trees
-        spread = F.sqrt(F.aggregate(each, F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean"))) / trees)
-        one = own.select(*keys, F.lit(h).alias("horizon"), each.alias("each"), mean.alias("mean")).withColumn("std", spread).drop("each")
+        own = own.select(*keys, F.lit(h).alias("horizon"), F.array(*[f"__t{i}" for i in range(trees)]).alias("each"))
+        own = own.withColumn("mean", F.aggregate("each", F.lit(0.0), lambda a, v: a + v) / trees)
+        squares = F.transform("each", lambda v: (v - F.col("mean")) * (v - F.col("mean")))
+        one = own.withColumn("std", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, v: a + v) / trees)).drop("each")
         out = one if out is None else out.unionByName(one)
     train.unpersist()
     return out.withColumn("lower", F.col("mean") - z * F.col("std")).withColumn("upper", F.col("mean") + z * F.col("std"))

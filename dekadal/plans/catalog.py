@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scale
-from . import grid_queries, series_queries  # noqa: F401
+from . import grid_queries, io_queries, series_queries  # noqa: F401
 from .bindings import ORACLE_SQL, QUERIES, filled, query, sql
 
 
