@@ -125,7 +125,7 @@ def stack_channels(channels: dict[str, DataFrame], static: dict[str, DataFrame]
         return long
     dates = long.select("date").distinct()
     layers = reduce(DataFrame.unionByName, [df.select("y", "x", F.lit(n).alias("channel"), "value") for n, df in static.items()])
-    return long.unionByName(layers.crossJoin(dates).select("date", "y", "x", "channel", "value"))
+    return long.unionByName(layers.crossJoin(F.broadcast(dates)).select("date", "y", "x", "channel", "value"))
 
 
 def binarise(df: DataFrame, value: str = "value") -> DataFrame:

@@ -21,7 +21,7 @@ def batch_score(df: DataFrame, make_predict_fn: Callable, inputs: list[str], sha
 
 def mc_dropout_score(df: DataFrame, make_predict_fn: Callable, keys: list[str], window: str, shape: list[int], ahead: int, n: int = 1000, batch_size: int = 32) -> DataFrame:
     """(keys, sample, horizon, value): a model with noise scored n times, each with its own seed as second input."""
-    seeds = df.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(*keys, "sample")
+    seeds = df.repartition(*keys).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))  # a window moves once
     seeded = seeds.withColumn("__seed", F.pmod(F.xxhash64(*keys, "sample"), F.lit(2**31)).cast("double"))
     predict = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[shape, None])
     scored = seeded.withColumn("__p", predict(F.col(window), F.col("__seed")))

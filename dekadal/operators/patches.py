@@ -57,22 +57,23 @@ def rank_mask(prob: DataFrame, pct: DataFrame | float, keys: list[str] = ["scena
     """The top cells by value as 0/1: n = round half even(pct * cells), ties of the n-th included, n = 0 is empty.
 
     Two passes, so that no task ranks a whole map: cells are counted in 4096 value buckets per key, the bucket with the
-    n-th cell is found among these counts, and only its cells are ranked. pct is a number or a table (keys, pct).
+    n-th cell is found among these counts, and only its cells are ranked. pct is a number or a table (keys, pct). The
+    per-key tables are joined without hints: there may be any number of keys.
     """
-    rows = prob.join(F.broadcast(pct), keys) if isinstance(pct, DataFrame) else prob.withColumn("pct", F.lit(float(pct)))
+    rows = prob.join(pct, keys) if isinstance(pct, DataFrame) else prob.withColumn("pct", F.lit(float(pct)))
     ends = rows.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("__valid"), F.count("*").alias("__all"), F.first("pct").alias("__pct"))
     total = F.col("__valid") if denominator == "valid" else F.col("__all")
     ends = ends.withColumn("__n", F.bround(F.col("__pct") * total).cast("long")).drop("__pct", "__all")
     width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
     bucket = F.least(F.coalesce(F.floor((F.col(value) - F.col("__lo")) / width * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1))
-    placed = rows.drop("pct").join(F.broadcast(ends), keys).withColumn("__b", F.when(F.col(value).isNotNull(), bucket))
+    placed = rows.drop("pct").join(ends, keys).withColumn("__b", F.when(F.col(value).isNotNull(), bucket))
     counts = placed.where("__b is not null").groupBy(*keys, "__b", "__n").agg(F.count("*").alias("__c"))
     above = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = counts.withColumn("__above", above).where("__above < __n and __n <= __above + __c").select(*keys, F.col("__b").alias("__cut"), "__above")
-    inside = placed.join(F.broadcast(cut), keys).where("__b = __cut")
+    inside = placed.join(cut, keys).where("__b = __cut")
     ranked = inside.withColumn("__rank", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(value))) + F.col("__above"))
     edge = ranked.where("__rank <= __n").groupBy(*keys).agg(F.min(value).alias("__edge"))
-    return placed.join(F.broadcast(edge), keys, "left").withColumn("flooded", F.coalesce((F.col(value) >= F.col("__edge")).cast("int"), F.lit(0))).drop("__lo", "__hi", "__valid", "__n", "__b", "__edge")
+    return placed.join(edge, keys, "left").withColumn("flooded", F.coalesce((F.col(value) >= F.col("__edge")).cast("int"), F.lit(0))).drop("__lo", "__hi", "__valid", "__n", "__b", "__edge")
 
 
 def scenario_masks(prob: DataFrame, forecast: DataFrame, denominator: str = "valid") -> DataFrame:
