@@ -176,3 +176,25 @@ def map_texts(df: DataFrame, schema: str, each: Callable, keep: list[str], text:
 
     types = dict(kept.dtypes)
     return kept.mapInArrow(run, ", ".join([f"`{k}` {types[k]}" for k in keep] + [schema]))
+
+
+#: Bits of an id filter: 8 MB, whatever the number of ids. With more than some tens of millions of ids it lets ever more
+#: others pass, which costs time and changes no result.
+FILTER_BITS = 1 << 26
+
+
+def id_hashes(id_col: str) -> list:
+    return [F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)]
+
+
+def id_filter(ids: DataFrame, id_col: str) -> np.ndarray:
+    """A Bloom filter of the ids, as 64-bit words; built by a bitwise aggregation of at most FILTER_BITS / 64 rows."""
+    at = ids.select(F.explode(F.array(*id_hashes(id_col))).alias("at"))
+    words = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def passing(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import LOWER, NOT_SPACE, map_texts, mix, ngrams, run_hashes, runs, saved, table
+from ._text import LOWER, NOT_SPACE, chunks, id_filter, id_hashes, map_texts, mix, ngrams, passing, run_hashes, runs, saved, table, tuned
 from .components import connected_components
 
 #: Of the hash range, in the first count of shingles that only one set has.
@@ -82,7 +82,31 @@ def parities(sets: np.ndarray, at: np.ndarray) -> pa.Array:
 
 def whole(buf: np.ndarray, offs: np.ndarray) -> dict:
     sets, at = shingle_sets(buf, offs)
-    return {"own_fp": fingerprints(sets, at), "bits": parities(sets, at), "shingles": pa.ListArray.from_arrays(at.astype(np.int32), pa.array(sets))}
+    return {"fp": fingerprints(sets, at), "bits": parities(sets, at), "shingles": pa.ListArray.from_arrays(at.astype(np.int32), pa.array(sets))}
+
+
+def whole_sets(docs: DataFrame, live: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(__id, fp, bits, shingles) of the documents whose id an id filter of the live sets lets pass: all of those, and
+    a few others, which the join by id and fingerprint drops later. No text is shuffled."""
+    tuned(docs.sparkSession)
+    filter_ = docs.sparkSession.sparkContext.broadcast(id_filter(live.select("__rep"), "__rep"))
+    one, two = id_hashes(id_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), one.alias("a"), two.alias("b"), F.col(f"`{text}`").cast("string").alias("t"))
+
+    def run(batches):
+        words = filter_.value
+        for batch in batches:
+            own = passing(words, batch.column(1).to_numpy()) & passing(words, batch.column(2).to_numpy())
+            batch = batch.filter(pa.array(own))
+            for row, stop, buf, offs in chunks(batch.column(3)):
+                made = whole(buf, offs)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), *map(as_array, made.values())], names=["__id", *made])
+
+    return rows.mapInArrow(run, f"__id {rows.dtypes[0][1]}, fp long, bits array<bigint>, shingles array<bigint>")
+
+
+def as_array(v) -> pa.Array:
+    return v if isinstance(v, pa.Array) else pa.array(v)
 
 
 def lonely(sets: DataFrame) -> DataFrame:
@@ -114,13 +138,11 @@ def links(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame
     # two different sets link only from sizes 9 and 10 on
     live = first.where("n >= 9").groupBy("fp").agg(F.min(id_col).alias("__rep"), F.first("n").alias("n")).join(alone, "fp", "left").where("10 * coalesce(alone, 0) <= n").select("__rep", "fp", "n")
     live = saved(live, "join-live")
-    again = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__body")).join(live, F.col("__id") == F.col("__rep"))
-    again = again.select("fp", "n", F.col("__body").alias("text"))
-    sets = map_texts(again, "own_fp long, bits array<bigint>, shingles array<bigint>", whole, ["fp", "n"], "text").where("fp = own_fp").drop("own_fp")
-    sets = saved(sets, "join-sets")
+    sets = saved(whole_sets(docs, live, id_col, text), "join-sets")
 
     own = lonely(sets).groupBy("fp").agg(F.collect_list("shingle").alias("own"))
-    near = sets.join(own, "fp", "left").withColumn("own", F.coalesce("own", F.expr("array()").cast("array<bigint>"))).withColumn("alone", F.size("own").cast("long")).where("10 * alone <= n")
+    known_own = live.join(own, "fp", "left").withColumn("own", F.coalesce("own", F.expr("array()").cast("array<bigint>"))).withColumn("alone", F.size("own").cast("long")).where("10 * alone <= n")
+    near = sets.join(known_own, (sets["fp"] == known_own["fp"]) & (sets["__id"] == known_own["__rep"])).drop(sets["fp"])
     prefix = F.expr("slice(array_except(shingles, own), 1, cast(n div 10 + 1 - alone as int))")
     near = saved(near.select("fp", "n", "alone", "bits", "shingles", prefix.alias("prefix")), "join-near")
 
