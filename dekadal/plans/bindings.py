@@ -40,7 +40,7 @@ def obs(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of 25 nations as irregular observations."""
     orders, customer, nation = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
     named = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey).select("c_custkey", F.col("n_name").alias("series"))
-    return orders.join(named, orders.o_custkey == named.c_custkey).select("series", F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("value"))
+    return orders.join(named, orders.o_custkey == named.c_custkey).select("series", F.col("o_orderdate").alias("ts"), (F.col("o_totalprice") * PRICE).alias("value"))
 
 
 def spine(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,6 +78,9 @@ def ensemble(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("horizon < 6").select("run_id", "sample", "horizon", F.col("v").cast("double").alias("value"))
 
 
+#: Prices have two decimals, so their means lie on ties of any rounding; times this factor they don't.
+PRICE = 0.01414213562
+
 SRC = {"x0": 0.0, "y0": 8.0, "dx": 1.0, "dy": -1.0, "height": 8, "width": 8}
 DST = {"x0": 0.0, "y0": 8.0, "dx": 0.5, "dy": -0.5, "height": 16, "width": 16}
 META16 = {"x0": 20.0, "y0": 10.0, "dx": 0.5, "dy": -0.5, "height": 16, "width": 16}
@@ -91,7 +94,7 @@ def dk(e: str) -> str:
     return DK.format(f"({e})::DATE")
 
 
-_OBS = "obs AS (SELECT n_name AS series, o_orderdate AS ts, o_totalprice AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+_OBS = "obs AS (SELECT n_name AS series, o_orderdate AS ts, o_totalprice * 0.01414213562::DOUBLE AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 _SPINE = "days AS (SELECT unnest(generate_series(min(o_orderdate)::DATE::TIMESTAMP, max(o_orderdate)::DATE::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM orders), spine AS (SELECT date FROM days WHERE day(date) IN (1, 11, 21))"
 _ASOF = "dated AS (SELECT series, ts, value, s.date AS dekad FROM obs ASOF JOIN spine s ON obs.ts > s.date)"
 _MEANS = "means AS (SELECT series, dekad AS date, avg(value) AS value FROM dated GROUP BY ALL)"

@@ -25,19 +25,23 @@ LEVELS = """lv AS (SELECT run_id, horizon, date, greatest(prior + sum(delta) OVE
 HISTORY = "hi AS (SELECT series AS run_id, date, value FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS r FROM filled) WHERE r > 6)"
 
 
+def numbered(spark: S, sf: str) -> DataFrame:
+    """Filled series with their differences, and rows numbered from the last one: one plan that all three parts share."""
+    back = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("date")))
+    return features.delta(filled(spark, sf)).withColumn("r", back).withColumnRenamed("series", "run_id")
+
+
 def deltas(spark: S, sf: str) -> DataFrame:
-    rows = features.last_n(features.delta(filled(spark, sf)), ["series"], n=6)
-    n = F.row_number().over(Window.partitionBy("series").orderBy("date")) - 1
-    return rows.select(F.col("series").alias("run_id"), n.cast("int").alias("horizon"), "date", "delta", (F.abs("delta") / 10).alias("std"))
+    rows = numbered(spark, sf).where("r <= 6")
+    return rows.select("run_id", (6 - F.col("r")).cast("int").alias("horizon"), "date", "delta", (F.abs("delta") / 10).alias("std"))
 
 
 def history(spark: S, sf: str) -> DataFrame:
-    rows = filled(spark, sf)
-    return rows.join(features.last_n(rows, ["series"], n=6).select("series", "date"), ["series", "date"], "left_anti").withColumnRenamed("series", "run_id")
+    return numbered(spark, sf).where("r > 6").select("run_id", "date", "value")
 
 
 def prior(spark: S, sf: str) -> DataFrame:
-    return features.last_n(history(spark, sf), ["run_id"], n=1).select("run_id", F.col("value").alias("prior"))
+    return numbered(spark, sf).where("r = 7").select("run_id", F.col("value").alias("prior"))
 
 
 def levels(spark: S, sf: str) -> DataFrame:
@@ -56,12 +60,12 @@ def forecast_accumulate(spark: S, sf: str) -> DataFrame:
 
 
 @query(sql("filled", """, st AS (SELECT series AS run_id, strftime(date, '%m-%d') AS md, avg(value) AS m, stddev_samp(value) AS s FROM filled GROUP BY ALL),
-    sd AS (SELECT run_id, horizon, date, delta / 1e5 AS z, std / 1e5 AS e, m, s, prior FROM d6 JOIN pr USING (run_id) JOIN st USING (run_id) WHERE strftime(date, '%m-%d') = md)
+    sd AS (SELECT run_id, horizon, date, delta / 1e3 AS z, std / 1e3 AS e, m, s, prior FROM d6 JOIN pr USING (run_id) JOIN st USING (run_id) WHERE strftime(date, '%m-%d') = md)
     SELECT run_id, horizon, date, round(greatest(prior + sum(z * s + m) OVER w, 0), 1) + 0 AS level, round(greatest(prior + sum((z - 1.959963984540054 * e) * s + m) OVER w, 0), 1) + 0 AS lower_bound_95,
     round(greatest(prior + sum((z + 1.959963984540054 * e) * s + m) OVER w, 0), 1) + 0 AS upper_bound_95 FROM sd WINDOW w AS (PARTITION BY run_id ORDER BY horizon)""", LAST6, PRIOR).replace("\n, st AS", ",\n st AS"))
 def rescale_forecast(spark: S, sf: str) -> DataFrame:
     stats = scale.seasonal_stats(filled(spark, sf)).withColumnRenamed("series", "run_id")
-    scaled = deltas(spark, sf).withColumn("delta", F.col("delta") / 1e5).withColumn("std", F.col("std") / 1e5)
+    scaled = deltas(spark, sf).withColumn("delta", F.col("delta") / 1e3).withColumn("std", F.col("std") / 1e3)
     out = forecast.rescale_forecast(scaled, stats, prior(spark, sf))
     return out.withColumns({c: F.round(c, 1) + 0.0 for c in ("level", "lower_bound_95", "upper_bound_95")})
 
@@ -76,9 +80,9 @@ ALERT = """, pk AS (SELECT run_id, max(level) AS peak FROM lv GROUP BY run_id),
     al AS (SELECT *, peak - season_min AS rise FROM pd JOIN lo USING (run_id))"""
 
 
-@query(sql("filled", ALERT + " SELECT run_id, round(peak, 2) + 0 AS peak, peak_date, round(season_min, 2) + 0 AS season_min, round(rise, 2) + 0 AS rise, rise > 50000 AS alert FROM al", LAST6, PRIOR, LEVELS, HISTORY).replace("\n, pk AS", ",\n pk AS"))
+@query(sql("filled", ALERT + " SELECT run_id, round(peak, 2) + 0 AS peak, peak_date, round(season_min, 2) + 0 AS season_min, round(rise, 2) + 0 AS rise, rise > 700 AS alert FROM al", LAST6, PRIOR, LEVELS, HISTORY).replace("\n, pk AS", ",\n pk AS"))
 def flood_alert(spark: S, sf: str) -> DataFrame:
-    out = forecast.flood_alert(history(spark, sf), levels(spark, sf), threshold=50000)
+    out = forecast.flood_alert(history(spark, sf), levels(spark, sf), threshold=700)
     return out.select("run_id", (F.round("peak", 2) + 0.0).alias("peak"), "peak_date", (F.round("season_min", 2) + 0.0).alias("season_min"), (F.round("rise", 2) + 0.0).alias("rise"), "alert")
 
 
@@ -288,7 +292,7 @@ def spatial_join_points(spark: S, sf: str) -> DataFrame:
     return region.spatial_join_points(points(spark, sf), regions(spark, sf), "lon", "lat").select("c_custkey", "region")
 
 
-@query("SELECT n_name AS region, round(20.0137 + (n_nationkey % 5) * 1.3 - 0.42, 4) + 0 AS xmin, round(22.1137 + (n_nationkey % 5) * 1.3 + 0.42, 4) + 0 AS xmax, round(3.0071 + (n_nationkey // 5) * 1.1 - 0.38, 4) + 0 AS ymin, round(4.9071 + (n_nationkey // 5) * 1.1 + 0.019, 4) + 0 AS ymax FROM nation")
+@query("SELECT n_name AS region, round(20.0137 + (n_nationkey % 5) * 1.3 - 0.42, 4)::DOUBLE AS xmin, round(22.1137 + (n_nationkey % 5) * 1.3 + 0.42, 4)::DOUBLE AS xmax, round(3.0071 + (n_nationkey // 5) * 1.1 - 0.38, 4)::DOUBLE AS ymin, round(4.9071 + (n_nationkey // 5) * 1.1 + 0.019, 4)::DOUBLE AS ymax FROM nation")
 def region_bbox(spark: S, sf: str) -> DataFrame:
     return region.region_bbox(regions(spark, sf), (0.2, 0.2, 0.2, 0.01)).select("region", *[r4(c).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
 

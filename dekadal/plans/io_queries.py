@@ -132,7 +132,7 @@ def refresh_tail(spark: S, sf: str) -> DataFrame:
     return sinks.refresh_tail(history, history.withColumn("value", F.lit(-1.0))).withColumn("value", r4("value"))
 
 
-@query(f"WITH {FLAG_SQL} SELECT date, round(value, 4) + 0 AS percent_inundation, CASE WHEN date >= DATE '2001-01-01' THEN 0.5 END AS lower_bound_95, CASE WHEN date >= DATE '2001-01-01' THEN 1.5 END AS upper_bound_95 FROM fs WHERE series = 'N'")
+@query(f"WITH {FLAG_SQL} SELECT date, round(value, 4) + 0 AS percent_inundation, CASE WHEN date >= DATE '2001-01-01' THEN 0.5::DOUBLE END AS lower_bound_95, CASE WHEN date >= DATE '2001-01-01' THEN 1.5::DOUBLE END AS upper_bound_95 FROM fs WHERE series = 'N'")
 def write_forecast(spark: S, sf: str) -> DataFrame:
     return files.latest_forecast(spark, run_folder(spark, sf))
 
@@ -146,7 +146,7 @@ def run_folder(spark: S, sf: str) -> str:
     return path
 
 
-@query(f"WITH {FLAG_SQL} SELECT max(date) AS last_date, count(*) AS n, count(lower_bound_95) AS n_forecast FROM (SELECT date, CASE WHEN date >= DATE '2001-01-01' THEN 0.5 END AS lower_bound_95 FROM fs WHERE series = 'N')")
+@query(f"WITH {FLAG_SQL} SELECT max(date) AS last_date, count(*) AS n, count(lower_bound_95) AS n_forecast FROM (SELECT date, CASE WHEN date >= DATE '2001-01-01' THEN 0.5::DOUBLE END AS lower_bound_95 FROM fs WHERE series = 'N')")
 def latest_forecast(spark: S, sf: str) -> DataFrame:
     rows = files.latest_forecast(spark, run_folder(spark, sf))
     return rows.agg(F.max("date").alias("last_date"), F.count("*").alias("n"), F.count("lower_bound_95").alias("n_forecast"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import scalar
 from ..operators import align, features, fill, scale
-from .bindings import aligned, dk, filled, means, obs, query, r4, spine, sql, table
+from .bindings import PRICE, aligned, dk, filled, means, obs, query, r4, spine, sql, table
 
 S = SparkSession
 
@@ -283,10 +283,10 @@ def assemble_features(spark: S, sf: str) -> DataFrame:
 
 def monthly(spark: S, sf: str, status: str, name: str) -> DataFrame:
     rows = table(spark, sf, "orders").where(F.col("o_orderstatus") == status)
-    return rows.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(r4(F.avg("o_totalprice")).alias(name))
+    return rows.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(r4(F.avg(F.col("o_totalprice") * PRICE)).alias(name))
 
 
-MONTHLY = "{1} AS (SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, round(avg(o_totalprice), 4) + 0 AS {1} FROM orders WHERE o_orderstatus = '{0}' GROUP BY ALL)"
+MONTHLY = "{1} AS (SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, round(avg(o_totalprice * 0.01414213562::DOUBLE), 4) + 0 AS {1} FROM orders WHERE o_orderstatus = '{0}' GROUP BY ALL)"
 
 
 @query(f"WITH {MONTHLY.format('O', 'open')}, {MONTHLY.format('F', 'done')} SELECT make_date(year, month, 25) AS date_represented, (make_date(year, month, 25) + INTERVAL 1 MONTH)::DATE AS date_reported, open, done FROM open FULL JOIN done USING (year, month)")
@@ -299,10 +299,10 @@ def join_sections(spark: S, sf: str) -> DataFrame:
     return align.join_sections(monthly(spark, sf, "O", "open"), monthly(spark, sf, "F", "done"))
 
 
-@query("SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, round(avg(o_totalprice), 4) + 0 AS price FROM orders GROUP BY ALL")
+@query("SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, round(avg(o_totalprice * 0.01414213562::DOUBLE), 4) + 0 AS price FROM orders GROUP BY ALL")
 def unpivot_months(spark: S, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select(F.year("o_orderdate").alias("YEAR"), F.upper(F.date_format("o_orderdate", "MMM")).alias("m"), "o_totalprice")
-    wide = rows.groupBy("YEAR").pivot("m", cal.MONTH_NAMES).agg(r4(F.avg("o_totalprice")))
+    wide = rows.groupBy("YEAR").pivot("m", cal.MONTH_NAMES).agg(r4(F.avg(F.col("o_totalprice") * PRICE)))
     return align.unpivot_months(wide, "price").where("price is not null")
 
 
