@@ -1,21 +1,11 @@
 import random
 
 import pytest
+from brute import prose
 
-VOWELS, CONSONANTS = "aeiou", "bcdfglmnprstv"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, fp long, score double, label int, item_id long"
 
 
-def prose(rng, n):
-    word = lambda: "".join(rng.choice(CONSONANTS) + rng.choice(VOWELS) for _ in range(rng.randint(1, 4)))
-    words = [word() for _ in range(n)]
-    for i in range(0, n, 9):
-        words[i] = words[i].capitalize()
-        if i:
-            words[i - 1] += rng.choice([".", ".", "!", ".\n"])
-    return " ".join(words)
-
-
 @pytest.fixture(scope="session")
 def texts():
     """Texts with every odd case: nulls, empty, white space, short, long, copies, near copies, repeated lines."""

@@ -4,7 +4,7 @@ import random
 
 import brute
 import pytest
-from conftest import prose
+from brute import prose
 from pyspark.sql import functions as F
 
 from dekadal.llm import components, decontamination, html_extraction, jaccard_join, quality_classifier, toxicity
