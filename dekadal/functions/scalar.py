@@ -51,7 +51,7 @@ def change_class(current: Column, worst: Column, average: Column, best: Column)
 
 def alert_message(as_of: Column, peak: Column, peak_date: Column, rise: Column, low: Column) -> Column:
     """One sentence with percentages of one place, rounded half to even."""
-    pct = lambda c: F.format_number(F.bround(c * 100, 1), 1)
+    pct = lambda c: F.translate(F.format_number(F.bround(c * 100, 1), 1), ",", "")
     return F.concat(
         F.lit("Alert of "), as_of.cast("string"), F.lit(": extent expected to reach "), pct(peak), F.lit("% by "), peak_date.cast("string"), F.lit(", a rise of "), pct(rise), F.lit("% above the season's minimum of "), pct(low), F.lit("%.")
     )

@@ -177,11 +177,21 @@ def write_masks(spark: S, sf: str) -> DataFrame:
 
 @query(sql("cube", "SELECT c_custkey, date, round_even(value, 4) + 0 AS value FROM nc JOIN cube USING (y, x) WHERE c_custkey % 50 = 0", PTS, CELLS))
 def extract_to_csv(spark: S, sf: str) -> DataFrame:
+    return extracted(spark, sf, points(spark, sf).where("c_custkey % 50 = 0"))
+
+
+def extracted(spark: S, sf: str, at: DataFrame) -> DataFrame:
     path = staging_dir(spark, "extract")
-    sinks.extract_to_csv(grid.extract_point(cube(spark, sf), points(spark, sf).where("c_custkey % 50 = 0"), META16).select("c_custkey", "date", "value"), path)
+    sinks.extract_to_csv(grid.extract_point(cube(spark, sf), at, META16).select("c_custkey", "date", "value"), path)
     return spark.read.schema("c_custkey bigint, date date, value double").option("header", True).csv(path)
 
 
+@query(None)
+def extract_to_csv_all(spark: S, sf: str) -> DataFrame:
+    """All points, held against brute force as extract_point_all is."""
+    return extracted(spark, sf, points(spark, sf))
+
+
 FILE = "'mask_' || o_orderkey || '_' || strftime(date, '%Y%m%d') || CASE o_orderkey % 4 WHEN 0 THEN ' (1).tif' WHEN 1 THEN '.nc' WHEN 2 THEN 'x.tif' ELSE '.tif' END"
 
 
