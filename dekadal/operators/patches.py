@@ -19,24 +19,27 @@ def starts(axis: str, size: int, stride: int, extent: int) -> Column:
     return F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.expr("cast(array() as array<bigint>)")), lambda k: (k * stride).cast("int"))
 
 
-def patch_windows(cube: DataFrame, height: int, width: int, size: int = 64, stride: int = 32, steps: int = 6, end_offset: int = 0) -> DataFrame:
-    """(y0, x0, data) of the patches over the last ``steps`` dates before end_offset: data is sorted (step, channel, y, x,
-    value) with y and x inside the patch. The cube is long: (date, y, x, channel, value).
+def patch_windows(cube: DataFrame, height: int, width: int, size: int = 64, stride: int = 32, steps: int = 6, end_offset: int = 0, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """(keys, y0, x0, data) of the patches over the last ``steps`` dates of each key before end_offset: data is sorted (step,
+    channel, y, x, value) with y and x inside the patch. The cube is long: (keys, date, y, x, channel, value).
 
-    The wanted dates are ranked in a small table of distinct dates; a cell goes to at most (size / stride)^2 patches and
-    each patch is one group of steps * channels * size^2 values.
+    The wanted dates are ranked in a small table of distinct dates, per key if there are keys; a cell goes to at most
+    (size / stride)^2 patches and each patch is one group of steps * channels * size^2 values. The table per key is
+    joined without a hint: there may be any number of keys.
     """
-    dates = cube.select("date").distinct().orderBy(F.desc("date")).limit(steps + end_offset)
-    ranked = dates.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("date")))).where(F.col("__r") > end_offset)
-    ranked = ranked.select("date", (F.lit(steps + end_offset) - F.col("__r")).cast("int").alias("step"))
-    rows = cube.join(F.broadcast(ranked), "date")
+    dates = cube.select(*keys, "date").distinct()
+    if not keys:
+        dates = dates.orderBy(F.desc("date")).limit(steps + end_offset)
+    ranked = dates.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("date")))).where(F.col("__r").between(end_offset + 1, end_offset + steps))
+    ranked = ranked.select(*keys, "date", (F.lit(steps + end_offset) - F.col("__r")).cast("int").alias("step"))
+    rows = cube.join(ranked if keys else F.broadcast(ranked), [*keys, "date"])
     rows = rows.withColumn("y0", F.explode(starts("y", size, stride, height))).withColumn("x0", F.explode(starts("x", size, stride, width)))
     value = F.struct("step", "channel", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "value")
-    return rows.groupBy("y0", "x0").agg(F.array_sort(F.collect_list(value)).alias("data"))
+    return rows.groupBy(*keys, "y0", "x0").agg(F.array_sort(F.collect_list(value)).alias("data"))
 
 
-def patch_pixels(patches: DataFrame) -> DataFrame:
-    return patches.select("y0", "x0", F.inline("data"))
+def patch_pixels(patches: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    return patches.select(*keys, "y0", "x0", F.inline("data"))
 
 
 def crop_border(pixels: DataFrame, size: int, border: int = 4) -> DataFrame:

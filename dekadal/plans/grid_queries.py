@@ -361,6 +361,34 @@ def mosaic_mean(spark: S, sf: str) -> DataFrame:
     return patches.mosaic_mean(patches.patch_pixels(patch_rows(spark, sf)), 8, 8, 4, border=1, keys=["step"]).withColumn("value", r4("value"))
 
 
+# the same over all labels, a stack each
+
+
+def labelled_pixels(spark: S, sf: str, steps: int = 3) -> DataFrame:
+    rows = grids(spark, sf).select("label", "date", "y", "x", F.lit("g").alias("channel"), "value")
+    return patches.patch_pixels(patches.patch_windows(rows, 8, 8, size=4, stride=2, steps=steps, end_offset=1, keys=["label"]), ["label"])
+
+
+LABEL_DATES = "ld AS (SELECT label, date, (4 - r)::INT AS step FROM (SELECT label, date, row_number() OVER (PARTITION BY label ORDER BY date DESC) AS r FROM (SELECT DISTINCT label, date FROM grids)) WHERE r BETWEEN 2 AND 4)"
+LABEL_PIX = "px AS (SELECT label, p AS y0, q AS x0, step, (y - p)::INT AS y, (x - q)::INT AS x, value FROM grids JOIN ld USING (label, date), range(0, 5, 2) a(p), range(0, 5, 2) b(q) WHERE y BETWEEN p AND p + 3 AND x BETWEEN q AND q + 3)"
+
+
+@query(sql("grids", "SELECT label, y0::INT AS y0, x0::INT AS x0, step, y, x, round(value, 4) + 0 AS value FROM px", LABEL_DATES, LABEL_PIX))
+def patch_windows_by_label(spark: S, sf: str) -> DataFrame:
+    return labelled_pixels(spark, sf).select("label", "y0", "x0", "step", "y", "x", r4("value").alias("value"))
+
+
+@query(sql("grids", "SELECT label, y0::INT AS y0, x0::INT AS x0, step, y, x, round(value, 4) + 0 AS value FROM px WHERE y BETWEEN 1 AND 2 AND x BETWEEN 1 AND 2", LABEL_DATES, LABEL_PIX))
+def crop_border_by_label(spark: S, sf: str) -> DataFrame:
+    return patches.crop_border(labelled_pixels(spark, sf), 4, 1).select("label", "y0", "x0", "step", "y", "x", r4("value").alias("value"))
+
+
+@query(sql("grids", """SELECT st.label, st.step, a.y::INT AS y, b.x::INT AS x, round(m.value, 4) + 0 AS value FROM (SELECT DISTINCT label, step FROM px) st, range(0, 8) a(y), range(0, 8) b(x)
+    LEFT JOIN (SELECT label, step, y0 + y AS y, x0 + x AS x, avg(value) AS value FROM px WHERE y BETWEEN 1 AND 2 AND x BETWEEN 1 AND 2 GROUP BY ALL) m ON m.label = st.label AND m.step = st.step AND m.y = a.y AND m.x = b.x""", LABEL_DATES, LABEL_PIX))
+def mosaic_mean_by_label(spark: S, sf: str) -> DataFrame:
+    return patches.mosaic_mean(labelled_pixels(spark, sf), 8, 8, 4, border=1, keys=["label", "step"]).withColumn("value", r4("value"))
+
+
 @query(sql("grids", "SELECT vec_id, y, x, (rk <= n)::INT AS flooded FROM (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY value DESC) AS rk, round_even(0.3 * count(*) OVER (PARTITION BY vec_id), 0) AS n FROM grids)"))
 def rank_mask(spark: S, sf: str) -> DataFrame:
     return patches.rank_mask(grids(spark, sf), 0.3, ["vec_id"]).select("vec_id", "y", "x", "flooded")

@@ -2,11 +2,13 @@
 
 import datetime
 import math
+import os
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from dekadal.operators import patches
 from dekadal.plans import catalog
 
 
@@ -21,10 +23,14 @@ def small(spark, tmp_path_factory):
     return sf, keys, items
 
 
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+
+
 def against_sql(spark, sf, name, *tables):
     con = duckdb.connect()
     for t in tables:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet{'' if os.path.isfile(f'{sf}/{t}.parquet') else '/*.parquet'}'")
     df = catalog.QUERIES[name](spark, sf)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
     got = list(map(tuple, df.collect()))
@@ -47,3 +53,20 @@ def test_all_points_are_extracted(spark, small, name):
         x, y = cell((18 + k % 97 * 0.125 - 20) / 0.5), cell((1 + k % 89 * 0.125 - 10) / -0.5)
         want += [(k, d, v) for d, s, p, v in items if (s, p) == (y, x)]
     assert sorted(map(tuple, catalog.QUERIES[name](spark, sf).collect())) == sorted(want)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["patch_windows_by_label", "crop_border_by_label", "mosaic_mean_by_label"])
+def test_all_labels_are_patched(spark, name):
+    got = against_sql(spark, SF, name, "embeddings")
+    labels = spark.read.parquet(f"{SF}/embeddings.parquet").select("label").distinct().count()
+    assert labels > 1 and len({r[0] for r in got}) == labels
+
+
+def test_patches_rank_the_dates_of_each_key(spark):
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(days=n)
+    rows = [(k, day(100 * k + d), y, x, "g", 1000.0 * k + 100 * d + 10 * y + x) for k, n in ((0, 5), (1, 3), (2, 1)) for d in range(n) for y in range(2) for x in range(2)]
+    cube = spark.createDataFrame(rows, "k int, date date, y int, x int, channel string, value double")
+    got = patches.patch_pixels(patches.patch_windows(cube, 2, 2, size=2, stride=2, steps=2, end_offset=1, keys=["k"]), ["k"])
+    want = [(k, s, y, x, 1000.0 * k + 100 * d + 10 * y + x) for k, s, d in ((0, 0, 2), (0, 1, 3), (1, 0, 0), (1, 1, 1)) for y in range(2) for x in range(2)]
+    assert sorted(map(tuple, got.select("k", "step", "y", "x", "value").collect())) == want
