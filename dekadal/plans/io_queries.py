@@ -104,9 +104,9 @@ def read_sectioned_fwf(spark: S, sf: str) -> DataFrame:
     return readers.read_sectioned_fwf(spark, path, {"anomaly": "ANOMALY", "standardized": "STANDARDIZEDDATA"})
 
 
-def stored_cube(spark: S, sf: str) -> str:
+def stored_cube(spark: S, sf: str, rows: DataFrame | None = None) -> str:
     path = staging_dir(spark, "cube")
-    sinks.append_cube(cube(spark, sf).where("date < '1995-03-01'"), path)
+    sinks.append_cube(cube(spark, sf) if rows is None else rows, path)
     return path
 
 
@@ -119,13 +119,24 @@ def read_cube(spark: S, sf: str) -> DataFrame:
 @query(sql("cube", "SELECT date, y, x, CASE WHEN date >= DATE '1995-02-15' THEN -1 ELSE round(value, 4) + 0 END AS value FROM cube WHERE date < DATE '1995-03-10'"))
 def append_cube(spark: S, sf: str) -> DataFrame:
     """New dates join, dates that come again are replaced."""
-    path = stored_cube(spark, sf)
+    path = stored_cube(spark, sf, cube(spark, sf).where("date < '1995-03-01'"))
     more = cube(spark, sf).where("date between '1995-02-15' and '1995-03-09'").withColumn("value", F.lit(-1.0))
     for _ in range(2):
         sinks.append_cube(more, path)
     return readers.read_cube(spark, path).select("date", "y", "x", r4("value").alias("value"))
 
 
+@query(sql("cube", "SELECT date, y, x, CASE WHEN date > m - 22 THEN -1 ELSE round(value, 4) + 0 END AS value FROM cube, (SELECT max(date) AS m FROM cube)"))
+def append_cube_whole(spark: S, sf: str) -> DataFrame:
+    """The whole cube: all but its last 9 days are stored, and the last 22 appended twice."""
+    rows = cube(spark, sf)
+    end = F.lit(table(spark, sf, "lineitem").agg(F.max(F.to_date("l_shipdate"))).first()[0])
+    path = stored_cube(spark, sf, rows.where(F.col("date") <= F.date_sub(end, 9)))
+    for _ in range(2):
+        sinks.append_cube(rows.where(F.col("date") > F.date_sub(end, 22)).withColumn("value", F.lit(-1.0)), path)
+    return readers.read_cube(spark, path).select("date", "y", "x", r4("value").alias("value"))
+
+
 @query(sql("aligned", ", mx AS (SELECT max(year(date) * 36 + month(date) * 3 + (day(date) - 1) // 10) AS m FROM aligned) SELECT series, date, CASE WHEN year(date) * 36 + month(date) * 3 + (day(date) - 1) // 10 > m - 18 THEN -1 ELSE round(value, 4) + 0 END AS value FROM aligned, mx").replace("\n, mx", ",\n mx"))
 def refresh_tail(spark: S, sf: str) -> DataFrame:
     history = aligned(spark, sf)

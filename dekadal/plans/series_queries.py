@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import scalar
 from ..operators import align, features, fill, scale
-from .bindings import PRICE, aligned, dk, filled, means, obs, query, r4, spine, sql, table
+from .bindings import ORACLE_SQL, PRICE, aligned, dk, filled, means, obs, query, r4, spine, sql, table
 
 S = SparkSession
 
@@ -245,24 +245,42 @@ def stats_lookup(spark: S, sf: str) -> DataFrame:
 SEASON = "st AS (SELECT series, strftime(date, '%m-%d') AS month_day, avg(value) AS mean, stddev_samp(value) AS std FROM filled WHERE month(date) <> 2 GROUP BY ALL)"
 
 
-def season(spark: S, sf: str) -> DataFrame:
-    return scale.seasonal_stats(filled(spark, sf).where("month(date) <> 2"))
+def season(spark: S, sf: str, rows: str = "month(date) <> 2") -> DataFrame:
+    return scale.seasonal_stats(filled(spark, sf).where(rows))
 
 
 @query(sql("filled", "SELECT series, month_day, round(mean, 3) + 0 AS mean, round(std, 3) + 0 AS std FROM st", SEASON))
-def seasonal_stats(spark: S, sf: str) -> DataFrame:
-    return season(spark, sf).select("series", "month_day", (F.round("mean", 3) + 0.0).alias("mean"), (F.round("std", 3) + 0.0).alias("std"))
+def seasonal_stats(spark: S, sf: str, rows: str = "month(date) <> 2") -> DataFrame:
+    return season(spark, sf, rows).select("series", "month_day", (F.round("mean", 3) + 0.0).alias("mean"), (F.round("std", 3) + 0.0).alias("std"))
 
 
 @query(sql("filled", "SELECT f.series, f.date, strftime(f.date, '%m-%d') AS month_day, round(mean, 3) + 0 AS mean, round(std, 3) + 0 AS std FROM filled f LEFT JOIN st ON f.series = st.series AND strftime(f.date, '%m-%d') = month_day", SEASON))
-def seasonal_lookup(spark: S, sf: str) -> DataFrame:
-    return scale.seasonal_lookup(filled(spark, sf), season(spark, sf)).select("series", "date", "month_day", (F.round("mean", 3) + 0.0).alias("mean"), (F.round("std", 3) + 0.0).alias("std"))
+def seasonal_lookup(spark: S, sf: str, rows: str = "month(date) <> 2") -> DataFrame:
+    return scale.seasonal_lookup(filled(spark, sf), season(spark, sf, rows)).select("series", "date", "month_day", (F.round("mean", 3) + 0.0).alias("mean"), (F.round("std", 3) + 0.0).alias("std"))
 
 
 @query(sql("filled", """SELECT f.series, f.date, round(CASE WHEN mean IS NULL AND std IS NULL THEN value WHEN std = 0 THEN 0 ELSE (value - mean) / std END, 3) + 0 AS value
     FROM filled f LEFT JOIN st ON f.series = st.series AND strftime(f.date, '%m-%d') = month_day WHERE CASE WHEN mean IS NULL AND std IS NULL THEN value WHEN std = 0 THEN 0 ELSE (value - mean) / std END IS NOT NULL""", SEASON))
-def seasonal_zscore(spark: S, sf: str) -> DataFrame:
-    return scale.seasonal_zscore(filled(spark, sf), season(spark, sf)).select("series", "date", (F.round("value", 3) + 0.0).alias("value"))
+def seasonal_zscore(spark: S, sf: str, rows: str = "month(date) <> 2") -> DataFrame:
+    return scale.seasonal_zscore(filled(spark, sf), season(spark, sf, rows)).select("series", "date", (F.round("value", 3) + 0.0).alias("value"))
+
+
+WHOLE_YEAR = {n: ORACLE_SQL[n].replace(" WHERE month(date) <> 2", "") for n in ("seasonal_stats", "seasonal_lookup", "seasonal_zscore")}
+
+
+@query(WHOLE_YEAR["seasonal_stats"])
+def seasonal_stats_whole_year(spark: S, sf: str) -> DataFrame:
+    return seasonal_stats(spark, sf, "true")
+
+
+@query(WHOLE_YEAR["seasonal_lookup"])
+def seasonal_lookup_whole_year(spark: S, sf: str) -> DataFrame:
+    return seasonal_lookup(spark, sf, "true")
+
+
+@query(WHOLE_YEAR["seasonal_zscore"])
+def seasonal_zscore_whole_year(spark: S, sf: str) -> DataFrame:
+    return seasonal_zscore(spark, sf, "true")
 
 
 FLAGS = ["A", "N", "R"]

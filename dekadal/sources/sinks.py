@@ -15,8 +15,9 @@ def write_series(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def append_cube(df: DataFrame, path: str) -> None:
-    """New dates of a cube; dates that are there already are replaced, all others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("variable", "date").parquet(path)
+    """New dates of a cube; dates that are there already are replaced, all others stay. Rows move to their date first, so
+    that a date is one file and not one of each task; adaptive execution splits a large date."""
+    df.hint("rebalance", "variable", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("variable", "date").parquet(path)
 
 
 def refresh_tail(history: DataFrame, fresh: DataFrame, n: int = 18, time: str = "date") -> DataFrame:

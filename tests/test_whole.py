@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__
 from dekadal.operators import patches
-from dekadal.plans import catalog
+from dekadal.plans import catalog, io_queries
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +70,27 @@ def test_patches_rank_the_dates_of_each_key(spark):
     got = patches.patch_pixels(patches.patch_windows(cube, 2, 2, size=2, stride=2, steps=2, end_offset=1, keys=["k"]), ["k"])
     want = [(k, s, y, x, 1000.0 * k + 100 * d + 10 * y + x) for k, s, d in ((0, 0, 2), (0, 1, 3), (1, 0, 0), (1, 1, 1)) for y in range(2) for x in range(2)]
     assert sorted(map(tuple, got.select("k", "step", "y", "x", "value").collect())) == want
+
+
+def test_the_whole_cube_is_stored(spark, small):
+    sf, _, items = small
+    stored = spark.read.parquet(io_queries.stored_cube(spark, sf))
+    assert sorted(map(tuple, stored.select("date", "y", "x", "value").collect())) == sorted(items)
+    assert all(len(os.listdir(f)) <= 2 for f in {os.path.dirname(p.removeprefix("file://")) for p in stored.inputFiles()})  # a file and its checksum
+
+
+def test_the_whole_cube_is_appended_to(spark, small):
+    got = against_sql(spark, small[0], "append_cube_whole", "lineitem")
+    assert len(got) == len(small[2]) and {r[0] for r in got if r[3] == -1} == {max(i[0] for i in small[2])}
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["seasonal_stats_whole_year", "seasonal_lookup_whole_year", "seasonal_zscore_whole_year"])
+def test_february_has_statistics(spark, name):
+    got = against_sql(spark, SF, name, "orders", "customer", "nation")
+    if name == "seasonal_stats_whole_year":
+        assert {r[1] for r in got} >= {"02-01", "02-11", "02-21"}
+
+
+def test_the_reader_prunes_the_whole_cube(spark, small):
+    assert against_sql(spark, small[0], "read_cube", "lineitem")
