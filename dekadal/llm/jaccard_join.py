@@ -1,7 +1,7 @@
 """N-gram Jaccard join: grouped prefix join on sets of word shingles.
 
 1. Documents with equal sets are one set from here on (its members are expanded at the end).
-2. A set that links with another shares all but a tenth of its shingles with it. Shingles of one set alone, counted first
+2. A set that links with another shares all but a tenth of its shingles with it (at 0.9; bounds() has the general form). Shingles of one set alone, counted first
    over a hashed fifth of the shingles and then over all that is left, rule out the sets that have more of them.
 3. The order of shingles is: those of one set alone, then by hash. Two sets that link share a shingle of their prefixes,
    the first n // 10 + 1 in that order, at places that leave enough behind.
@@ -16,6 +16,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,8 +66,8 @@ def fingerprints(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).astype(np.int64)
 
 
-def sampled(buf: np.ndarray, offs: np.ndarray) -> dict:
-    sets, at = shingle_sets(buf, offs)
+def sampled(buf: np.ndarray, offs: np.ndarray, n: int = 3) -> dict:
+    sets, at = shingle_sets(buf, offs, n)
     own = sets.astype(np.uint64) % np.uint64(FIRST_COUNT) == 0
     counted = np.concatenate([[0], np.cumsum(own)])
     return {"n": np.diff(at), "fp": fingerprints(sets, at), "shingles": pa.ListArray.from_arrays(counted[at].astype(np.int32), pa.array(sets[own]))}
@@ -80,12 +82,12 @@ def parities(sets: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, docs * WORDS + 1, WORDS, dtype=np.int32), pa.array(longs))
 
 
-def whole(buf: np.ndarray, offs: np.ndarray) -> dict:
-    sets, at = shingle_sets(buf, offs)
+def whole(buf: np.ndarray, offs: np.ndarray, n: int = 3) -> dict:
+    sets, at = shingle_sets(buf, offs, n)
     return {"fp": fingerprints(sets, at), "bits": parities(sets, at), "shingles": pa.ListArray.from_arrays(at.astype(np.int32), pa.array(sets))}
 
 
-def whole_sets(docs: DataFrame, live: DataFrame, id_col: str, text: str) -> DataFrame:
+def whole_sets(docs: DataFrame, live: DataFrame, id_col: str, text: str, n: int = 3) -> DataFrame:
     """(__id, fp, bits, shingles) of the documents whose id an id filter of the live sets lets pass: all of those, and
     a few others, which the join by id and fingerprint drops later. No text is shuffled."""
     tuned(docs.sparkSession)
@@ -99,7 +101,7 @@ def whole_sets(docs: DataFrame, live: DataFrame, id_col: str, text: str) -> Data
             own = passing(words, batch.column(1).to_numpy()) & passing(words, batch.column(2).to_numpy())
             batch = batch.filter(pa.array(own))
             for row, stop, buf, offs in chunks(batch.column(3)):
-                made = whole(buf, offs)
+                made = whole(buf, offs, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), *map(as_array, made.values())], names=["__id", *made])
 
     return rows.mapInArrow(run, f"__id {rows.dtypes[0][1]}, fp long, bits array<bigint>, shingles array<bigint>")
@@ -116,34 +118,40 @@ def lonely(sets: DataFrame) -> DataFrame:
     return rows.groupBy("shingle").agg(F.min("fp").alias("fp"), F.max("fp").alias("other")).where("fp = other").select("fp", "shingle")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = 90) -> DataFrame:
     """The pairs (x, y) of sets that link, by exact intersection."""
     a = sets.select(F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("shingles").alias("sx"))
     b = sets.select(F.col("fp").alias("y"), F.col("n").alias("ny"), F.col("shingles").alias("sy"))
     both = F.size(F.array_intersect("sx", "sy")).cast("long")
-    return pairs.join(a, "x").join(b, "y").select("x", "y", (F.col("nx") + F.col("ny")).alias("n"), both.alias("both")).where("100 * both >= 90 * (n - both)").select("x", "y")
+    return pairs.join(a, "x").join(b, "y").select("x", "y", (F.col("nx") + F.col("ny")).alias("n"), both.alias("both")).where(f"100 * both >= {percent} * (n - both)").select("x", "y")
 
 
-FILTER = "10 * least(n1, n2) >= 9 * greatest(n1, n2) AND 19 * least(n1 - at1, n2 - at2) >= 9 * (n1 + n2)"
-#: Sets that link differ in at most a nineteenth of the sum of their sizes.
-MEMBERS = f"19 * ({' + '.join(f'bit_count(b1[{i}] ^ b2[{i}])' for i in range(WORDS))}) <= n1 + n2"
-GROUPS = f"19 * ({' + '.join(f'bit_count((b1[{i}] ^ b2[{i}]) & e1[{i}] & e2[{i}])' for i in range(WORDS))}) <= n1 + n2"
+def bounds(percent: int) -> tuple[str, str, str]:
+    """Filters of pairs that can link: by size and place, by members' parities, by groups' parities. Sets that link share
+    at least percent / (100 + percent) of the sum of their sizes, so they differ in at most (100 - percent) / (100 + percent)
+    of it."""
+    more, less = 100 + percent, 100 - percent
+    bits = lambda mask: " + ".join(f"bit_count({mask.format(i=i)})" for i in range(WORDS))
+    places = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) AND {more} * least(n1 - at1, n2 - at2) >= {percent} * (n1 + n2)"
+    return places, *(f"{more} * ({bits(mask)}) <= {less} * (n1 + n2)" for mask in ("b1[{i}] ^ b2[{i}]", "(b1[{i}] ^ b2[{i}]) & e1[{i}] & e2[{i}]"))
 
 
-def links(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, id_col: str, text: str, words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """(id, n, fp) per row, and (fp, component) of the sets that link with a different one."""
-    first = saved(map_texts(docs, "n long, fp long, shingles array<bigint>", sampled, [id_col], text), "join-first")
+    places, parity, group_parity = bounds(percent)
+    less = 100 - percent
+    first = saved(map_texts(docs, "n long, fp long, shingles array<bigint>", partial(sampled, n=words), [id_col], text), "join-first")
     rows = first.select(id_col, "n", "fp")
     alone = lonely(first).groupBy("fp").agg(F.count("*").alias("alone"))
-    # two different sets link only from sizes 9 and 10 on
-    live = first.where("n >= 9").groupBy("fp").agg(F.min(id_col).alias("__rep"), F.first("n").alias("n")).join(alone, "fp", "left").where("10 * coalesce(alone, 0) <= n").select("__rep", "fp", "n")
+    # two different sets link only from sizes m and m + 1 on with m / (m + 1) >= percent / 100: 9 and 10 at 90
+    live = first.where(f"{less} * n >= {percent}").groupBy("fp").agg(F.min(id_col).alias("__rep"), F.first("n").alias("n")).join(alone, "fp", "left").where(f"100 * coalesce(alone, 0) <= {less} * n").select("__rep", "fp", "n")
     live = saved(live, "join-live")
-    sets = saved(whole_sets(docs, live, id_col, text), "join-sets")
+    sets = saved(whole_sets(docs, live, id_col, text, words), "join-sets")
 
     own = lonely(sets).groupBy("fp").agg(F.collect_list("shingle").alias("own"))
-    known_own = live.join(own, "fp", "left").withColumn("own", F.coalesce("own", F.expr("array()").cast("array<bigint>"))).withColumn("alone", F.size("own").cast("long")).where("10 * alone <= n")
+    known_own = live.join(own, "fp", "left").withColumn("own", F.coalesce("own", F.expr("array()").cast("array<bigint>"))).withColumn("alone", F.size("own").cast("long")).where(f"100 * alone <= {less} * n")
     near = sets.join(known_own, (sets["fp"] == known_own["fp"]) & (sets["__id"] == known_own["__rep"])).drop(sets["fp"])
-    prefix = F.expr("slice(array_except(shingles, own), 1, cast(n div 10 + 1 - alone as int))")
+    prefix = F.expr(f"slice(array_except(shingles, own), 1, cast({less} * n div 100 + 1 - alone as int))")
     near = saved(near.select("fp", "n", "alone", "bits", "shingles", prefix.alias("prefix")), "join-near")
 
     heads = near.select("fp", "n", "alone", "bits", "prefix")
@@ -154,9 +162,9 @@ def links(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame
     posted = saved(posted, "join-posted")
 
     centre = posted.groupBy("shingle").agg(F.min(F.struct("at", "g", "n", "bits")).alias("c")).select("shingle", F.col("c.g").alias("x"), F.col("c.n").alias("n1"), F.col("c.at").alias("at1"), F.col("c.bits").alias("b1"))
-    star = posted.withColumnsRenamed({"n": "n2", "at": "at2", "bits": "b2"}).join(centre.withColumnRenamed("shingle", "s1"), F.expr(f"shingle = s1 AND x <> g AND {FILTER} AND {MEMBERS}")).select("x", F.col("g").alias("y"))
+    star = posted.withColumnsRenamed({"n": "n2", "at": "at2", "bits": "b2"}).join(centre.withColumnRenamed("shingle", "s1"), F.expr(f"shingle = s1 AND x <> g AND {places} AND {parity}")).select("x", F.col("g").alias("y"))
     pairs = saved(members.where("fp <> g").select(F.col("g").alias("x"), F.col("fp").alias("y")).union(star).distinct(), "join-star")
-    edges = saved(verified(pairs, near), "join-star-edges")
+    edges = saved(verified(pairs, near, percent), "join-star-edges")
     if edges.isEmpty() and posted.isEmpty():
         return rows, edges.select(F.col("x").alias("fp"), F.col("y").alias("component"))
     known = connected_components(edges)
@@ -169,23 +177,24 @@ def links(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame
     mixed = open_rows.groupBy("shingle").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b").select("shingle")
     open_rows = saved(open_rows.join(mixed, "shingle", "left_semi"), "join-open")
     one, two = (open_rows.select(F.col("shingle").alias(f"s{k}"), *[F.col(c).alias(f"{a}{k}") for c, a in (("g", "g"), ("n", "n"), ("at", "at"), ("low", "l"), ("high", "h"), ("all", "b"), ("agree", "e"))]) for k in (1, 2))
-    group_pairs = one.join(two, F.expr(f"s1 = s2 AND g1 <= g2 AND least(l1, l2) < greatest(h1, h2) AND {FILTER} AND {GROUPS}")).select("g1", "g2").distinct()
+    group_pairs = one.join(two, F.expr(f"s1 = s2 AND g1 <= g2 AND least(l1, l2) < greatest(h1, h2) AND {places} AND {group_parity}")).select("g1", "g2").distinct()
     left, right = (inside.select(F.col("g").alias(f"h{k}"), F.col("fp").alias(v), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}")) for k, v in ((1, "x"), (2, "y")))
-    rest = group_pairs.join(left, F.expr("g1 = h1")).join(right, F.expr(f"g2 = h2 AND c1 <> c2 AND (g1 < g2 OR x < y) AND {MEMBERS}")).select("x", "y")
-    more = saved(verified(saved(rest.distinct(), "join-rest"), near), "join-rest-edges")
+    rest = group_pairs.join(left, F.expr("g1 = h1")).join(right, F.expr(f"g2 = h2 AND c1 <> c2 AND (g1 < g2 OR x < y) AND {parity}")).select("x", "y")
+    more = saved(verified(saved(rest.distinct(), "join-rest"), near, percent), "join-rest-edges")
     if more.isEmpty():
         return rows, known.withColumnRenamed("node", "fp")
     return rows, connected_components(edges.union(more)).withColumnRenamed("node", "fp")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) per row: word 3-shingle sets link from a Jaccard similarity of 0.9 on.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
+    """(id, n_shingles, component_id) per row: sets of shingles of so many words link from a Jaccard similarity of percent
+    / 100 on.
 
     component_id is the smallest id that links reach. Null texts, and texts without words, have no shingles, link with
     nothing and keep their own id. Repeated rows stay, each in the component of its set; extra columns are not read.
     Shingles are 64-bit hashes of their words, sets 64-bit fingerprints.
     """
-    rows, component = links(docs, id_col, text)
+    rows, component = links(docs, id_col, text, words, percent)
     named = rows.where("n > 0").join(component, "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     # ids of a component meet as one minimum per set first
     least = named.groupBy("c").agg(F.min(id_col).alias("component_id"))
@@ -198,10 +207,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """docs with one document of each component: that of the smallest id, and one row of it where rows repeat its id.
     Rows with a null id stay."""
-    found = saved(jaccard_components(docs, id_col, text), "join-components")
+    found = saved(jaccard_components(docs, id_col, text, words, percent), "join-components")
     gone = saved(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "join-gone")
     kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
     repeated = saved(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "join-repeated")
