@@ -11,7 +11,7 @@ from ..operators import align, features, forecast, grid, models
 from ..sources import files, readers, sinks
 from ..sources.staging import staging_dir
 from ..streaming import incremental
-from .bindings import META16, aligned, cube, dk, filled, query, r4, sql, table
+from .bindings import META16, ORACLE_SQL, aligned, cube, dk, filled, query, r4, sql, table
 from .grid_queries import CELLS, FC, MASKS, MEAN_GRID, PTS, mask_rows, points, regions
 from .series_queries import FLAG_SQL, days, flag_series
 
@@ -328,7 +328,7 @@ def continue_cumulative(spark: S, sf: str) -> DataFrame:
 # ---- models
 
 
-def windows(spark: S, sf: str, look_back: int = 12, ahead: int = 2) -> DataFrame:
+def windows(spark: S, sf: str, look_back: int = 36, ahead: int = 6) -> DataFrame:
     rows = filled(spark, sf).withColumn("value", F.col("value") / 1e5)
     out = features.supervised_windows(rows, ["value"], look_back, ahead, target="value")
     return out.withColumn("window", F.flatten("window"))
@@ -344,16 +344,21 @@ def mean_model():
 
 
 @query(sql("filled", "SELECT series, date, round(m, 4) + 0 AS mean, round(value / 1e5, 4) + 0 AS last FROM (SELECT *, avg(value / 1e5) OVER w AS m, count(*) OVER w AS n FROM filled WINDOW w AS (PARTITION BY series ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) WHERE n = 12"))
-def batch_score(spark: S, sf: str) -> DataFrame:
-    scored = models.batch_score(windows(spark, sf), mean_model, ["window"], [12], 2)
+def batch_score(spark: S, sf: str, look_back: int = 12) -> DataFrame:
+    scored = models.batch_score(windows(spark, sf, look_back), mean_model, ["window"], [look_back], 2)
     return scored.select("series", "date", r4(F.col("prediction")[0]).alias("mean"), r4(F.col("prediction")[1]).alias("last"))
 
 
+@query(ORACLE_SQL["batch_score"].replace("11 PRECEDING", "35 PRECEDING").replace("n = 12", "n = 36"))
+def batch_score_36(spark: S, sf: str) -> DataFrame:
+    return batch_score(spark, sf, 36)
+
+
 def noisy_model():
-    """A stochastic model: two horizons of the window's mean with noise of the given seed."""
+    """A stochastic model: six horizons of the window's mean with noise of the given seed."""
 
     def predict(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
-        noise = np.stack([np.random.default_rng(int(s)).normal(0, 0.01, 2) for s in np.ravel(seed)])
+        noise = np.stack([np.random.default_rng(int(s)).normal(0, 0.01, 6) for s in np.ravel(seed)])
         return x.mean(axis=1)[:, None] + noise
 
     return predict
@@ -362,12 +367,12 @@ def noisy_model():
 @query(None)
 def mc_dropout_score(spark: S, sf: str) -> DataFrame:
     last = features.last_n(windows(spark, sf), ["series"], n=1).select("series", "window")
-    samples = models.mc_dropout_score(last, noisy_model, ["series"], "window", [12], 2, n=100)
+    samples = models.mc_dropout_score(last, noisy_model, ["series"], "window", [36], 6, n=1000)
     return forecast.ensemble_summary(samples, ["series", "horizon"])
 
 
 @query(None)
 def rf_forecast(spark: S, sf: str) -> DataFrame:
-    return models.rf_forecast(windows(spark, sf), k=4, trees=8, depth=4, ahead=2)
+    return models.rf_forecast(windows(spark, sf))
 
 

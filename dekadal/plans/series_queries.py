@@ -333,6 +333,15 @@ def supervised_windows(spark: S, sf: str) -> DataFrame:
     return out.select("series", "date", total.alias("total"), F.size("window").alias("n"), F.round(F.col("targets")[0], 2).alias("t1"), F.round(F.col("targets")[1], 2).alias("t2"))
 
 
+@query(sql("filled", """SELECT series, date, list_sum(w)::BIGINT AS total, len(w)::INT AS n, t1, t2, t3, t4, t5, t6 FROM (SELECT series, date, list(round(value)) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) AS w,
+    """ + ", ".join(f"round(lead(value, {h}) OVER (PARTITION BY series ORDER BY date), 2) AS t{h}" for h in range(1, 7)) + " FROM filled) WHERE len(w) = 36"))
+def supervised_windows_6(spark: S, sf: str) -> DataFrame:
+    """All six horizons."""
+    out = features.supervised_windows(filled(spark, sf).withColumn("v", F.round("value")), ["v"], 36, 6, target="value")
+    total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x[0]).cast("bigint")
+    return out.select("series", "date", total.alias("total"), F.size("window").alias("n"), *[F.round(F.col("targets")[h], 2).alias(f"t{h + 1}") for h in range(6)])
+
+
 @query("SELECT o_orderkey AS id, o_custkey AS px_custkey, o_orderdate::DATE AS px_date FROM (SELECT o_orderkey, o_custkey, o_orderdate FROM orders)")
 def select_rename(spark: S, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").withColumn("date", F.to_date("o_orderdate")).withColumnRenamed("o_custkey", "custkey")

@@ -94,3 +94,16 @@ def test_february_has_statistics(spark, name):
 
 def test_the_reader_prunes_the_whole_cube(spark, small):
     assert against_sql(spark, small[0], "read_cube", "lineitem")
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["batch_score_36", "supervised_windows_6"])
+def test_whole_windows(spark, name):
+    assert against_sql(spark, SF, name, "orders", "customer", "nation")
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["mc_dropout_score", "rf_forecast"])
+def test_six_horizons_per_series(spark, name):
+    got = catalog.QUERIES[name](spark, SF).groupBy("series").agg({"horizon": "collect_set"}).collect()
+    assert len(got) == 25 and all(sorted(r[1]) == list(range(6)) for r in got)
