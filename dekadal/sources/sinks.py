@@ -38,8 +38,8 @@ def write_forecast(history: DataFrame, forecast: DataFrame, path: str) -> None:
 
 
 def write_alert(alert: DataFrame, path: str) -> None:
-    """A line of text per alert; no alert, no line."""
-    alert.where("alert").select(F.col("message").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """A line of text per alert, in a file per partition; no alert, no line."""
+    alert.where("alert").select(F.col("message").alias("value")).write.mode("overwrite").text(path)
 
 
 def write_masks(masks: DataFrame, path: str) -> None:

@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__
 from dekadal.operators import patches
 from dekadal.plans import catalog, io_queries
+from dekadal.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +108,10 @@ def test_whole_windows(spark, name):
 def test_six_horizons_per_series(spark, name):
     got = catalog.QUERIES[name](spark, SF).groupBy("series").agg({"horizon": "collect_set"}).collect()
     assert len(got) == 25 and all(sorted(r[1]) == list(range(6)) for r in got)
+
+
+def test_alerts_are_written_by_all_tasks(spark, tmp_path):
+    rows = spark.range(0, 100, 1, 4).selectExpr("id % 2 = 0 as alert", "concat('alert ', id) as message")
+    sinks.write_alert(rows, str(tmp_path / "alert"))
+    assert len(list((tmp_path / "alert").glob("part-*"))) == 4
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "alert")).collect()) == sorted(f"alert {i}" for i in range(0, 100, 2))
