@@ -27,24 +27,42 @@ def edges(pts: Column) -> Column:
     return F.zip_with(pts, closed, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
 
 
-def crossings(x: Column, y: Column, pts: Column) -> Column:
-    """How many edges of the ring a ray to the right of the point crosses."""
+def outlines(regions: DataFrame, pad_x: float = 0.0, pad_y: float = 0.0) -> DataFrame:
+    """A row per region: __edges, those of all its rings together, and the box around them, padded."""
+    every = F.collect_list(edges(F.col("pts"))).alias("rings")
+    rows = regions.groupBy("region").agg(every).select("region", F.flatten("rings").alias("__edges"))
+    at = lambda f, a: f(F.transform("__edges", lambda e: e[a]))
+    box = {"__x0": at(F.array_min, "ax") - pad_x, "__x1": at(F.array_max, "ax") + pad_x, "__y0": at(F.array_min, "ay") - pad_y, "__y1": at(F.array_max, "ay") + pad_y}
+    return rows.withColumns(box)
+
+
+def crossed(x: Column, y: Column) -> Column:
+    """How many of the __edges a ray to the right of the point crosses."""
 
     def crosses(e: Column) -> Column:
         spans = (e["ay"] > y) != (e["by"] > y)
         return spans & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / F.when(spans, e["by"] - e["ay"]) + e["ax"])
 
-    return F.size(F.filter(edges(pts), crosses))
+    return F.size(F.filter("__edges", crosses))
 
 
-def point_in_region(x: Column, y: Column, pts: Column) -> Column:
-    """Inside one ring by the even-odd rule."""
-    return crossings(x, y, pts) % 2 == 1
+#: Buckets of a coarse grid, in each direction, that the box of one region may reach over.
+REACH = 256
 
 
-def ring_bounds(regions: DataFrame) -> DataFrame:
-    at = lambda f, a: f(F.transform("pts", lambda p: p[a]))
-    return regions.withColumns({"__x0": at(F.array_min, "x"), "__x1": at(F.array_max, "x"), "__y0": at(F.array_min, "y"), "__y1": at(F.array_max, "y")})
+def near_regions(points: DataFrame, shapes: DataFrame, x: str, y: str) -> DataFrame:
+    """Each point with the outlines of the regions in whose box it lies: an equi-join on the buckets of a coarse grid. A
+    point has one bucket, and a region those of its box; buckets are as wide as a mean box, and wide enough for the largest
+    box to have at most REACH x REACH of them."""
+    wide = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"))
+    width = F.greatest(F.avg(wide), F.max(wide) / REACH, F.lit(1e-9)).alias("__w")
+    one = F.broadcast(shapes.agg(width))  # one row
+    bucket = lambda c: F.floor(F.col(c) / F.col("__w"))
+    reach = lambda a, b: F.explode(F.sequence(bucket(a), bucket(b)))
+    cells = shapes.drop("__edges").crossJoin(one).withColumn("__bx", reach("__x0", "__x1")).withColumn("__by", reach("__y0", "__y1")).drop("__w")
+    placed = points.crossJoin(one).withColumns({"__bx": bucket(x), "__by": bucket(y)}).drop("__w")
+    met = placed.join(cells, ["__bx", "__by"]).where(f"`{x}` between __x0 and __x1 and `{y}` between __y0 and __y1")
+    return met.select(*points.columns, "region").join(shapes.select("region", "__edges"), "region")
 
 
 def touches(e: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
@@ -62,18 +80,16 @@ def touches(e: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column
 
 
 def rasterize_region(cells: DataFrame, regions: DataFrame, meta: dict, all_touched: bool = True) -> DataFrame:
-    """(region, y, x) of the cells in a region: by their centre or, with all_touched, by any touch of its edges too.
-
-    Cells meet only rings whose box they overlap. Regions are a small table of polygons: Spark broadcasts it up to its
-    threshold; beyond, this is a nested loop over partitions of both sides.
-    """
+    """(region, y, x) of the cells in a region: by their centre or, with all_touched, by any touch of its edges too. A cell
+    that cells repeats is one cell. Cells meet only regions whose box they overlap."""
     hx, hy = abs(meta["dx"]) / 2, abs(meta["dy"]) / 2
-    rings = ring_bounds(regions)
-    near = cell_geometry(cells, meta).join(rings, F.expr(f"lon + {hx} >= __x0 and lon - {hx} <= __x1 and lat + {hy} >= __y0 and lat - {hy} <= __y1"))
+    grid = cell_geometry(cells.select("y", "x").distinct(), meta)
+    near = near_regions(grid, outlines(regions, hx, hy), "lon", "lat")
     x, y = F.col("lon"), F.col("lat")
-    touched = F.exists(edges(F.col("pts")), lambda e: touches(e, x - hx, x + hx, y - hy, y + hy)) if all_touched else F.lit(False)
-    per = near.select("region", "y", "x", crossings(x, y, F.col("pts")).alias("n"), touched.alias("t"))
-    return per.groupBy("region", "y", "x").agg(F.sum("n").alias("n"), F.max("t").alias("t")).where("n % 2 = 1 or t").select("region", "y", "x")
+    inside = crossed(x, y) % 2 == 1
+    if all_touched:
+        inside = inside | F.exists("__edges", lambda e: touches(e, x - hx, x + hx, y - hy, y + hy))
+    return near.where(inside).select("region", "y", "x")
 
 
 def mask_cube(cube: DataFrame, region_cells: DataFrame, drop: bool = True) -> DataFrame:
@@ -90,7 +106,9 @@ def zonal_mean(cube: DataFrame, region_cells: DataFrame, keys: list[str] = ["var
     return cube.join(region_cells, ["y", "x"]).groupBy(*keys, "region", "date").agg(F.avg("value").alias("value"))
 
 
-def clip_to_geometry(cube: DataFrame, region_cells: DataFrame, fill: float = 0.0, keys: list[str] = ["variable", "date"]) -> DataFrame:  # noqa: B006
+def clip_to_geometry(
+    cube: DataFrame, region_cells: DataFrame, fill: float = 0.0, keys: list[str] = ["variable", "date"],
+) -> DataFrame:  # noqa: B006
     """The box of the region's cells, indices from 0; cells in the box but outside the region hold the fill value."""
     cells = region_cells.select("y", "x").distinct()
     box = cells.agg(F.min("y").alias("__y0"), F.max("y").alias("__y1"), F.min("x").alias("__x0"), F.max("x").alias("__x1"))
@@ -101,11 +119,10 @@ def clip_to_geometry(cube: DataFrame, region_cells: DataFrame, fill: float = 0.0
 
 
 def spatial_join_points(points: DataFrame, regions: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """(point columns, region) of the points inside a region. Boxes first; rings of one region count together."""
-    rings = ring_bounds(regions)
-    near = points.join(rings, F.expr(f"{x} between __x0 and __x1 and {y} between __y0 and __y1"))
-    odd = near.groupBy(*points.columns, "region").agg(F.sum(crossings(F.col(x), F.col(y), F.col("pts"))).alias("n"))
-    return odd.where("n % 2 = 1").drop("n")
+    """(point columns, region) of the points inside a region, a row for each that a point has; rows that repeat a point
+    stay. Boxes first; rings of one region count together."""
+    near = near_regions(points, outlines(regions), x, y)
+    return near.where(crossed(F.col(x), F.col(y)) % 2 == 1).select(*points.columns, "region")
 
 
 def region_filter(df: DataFrame, region: str, name: str = "region") -> DataFrame:

@@ -31,6 +31,39 @@ def test_points_and_boxes(spark):
     assert (box.xmin, box.xmax) == (-0.6000000000000001, 6.0) or abs(box.xmin + 0.6) < 1e-9
 
 
+def test_repeated_points_stay_and_repeated_cells_are_one(spark):
+    places = spark.createDataFrame([("a", 1.0, 1.0), ("b", 5.0, 5.0), ("b", 5.0, 5.0), ("c", 3.0, 3.0), ("d", None, 1.0)], "name string, x double, y double")
+    got = sorted((r.name, r.region) for r in region.spatial_join_points(places, polygons(spark)).collect())
+    assert got == [("a", "square"), ("b", "square"), ("b", "square")]
+    twice = cells(spark).union(cells(spark))
+    for touched in (False, True):
+        once = sorted(map(tuple, region.rasterize_region(cells(spark), polygons(spark), META, touched).collect()))
+        assert sorted(map(tuple, region.rasterize_region(twice, polygons(spark), META, touched).collect())) == once
+
+
+def test_boxes_of_any_size_meet_their_points(spark):
+    """Against every point and region: boxes from a speck to the whole plane, points on both sides of zero."""
+    import random
+
+    rng = random.Random(6)
+    rings = [(f"r{k}", 0, False, [{"x": x + w * a, "y": y + w * b} for a, b in ((0, 0), (1, 0.2), (0.7, 1), (0.1, 0.8))]) for k in range(40) for x, y, w in [(rng.uniform(-50, 50), rng.uniform(-50, 50), 10 ** rng.uniform(-2, 2))]]
+    table = spark.createDataFrame(rings, "region string, ring_id int, is_hole boolean, pts array<struct<x double, y double>>")
+    points = [(i, rng.uniform(-60, 60), rng.uniform(-60, 60)) for i in range(400)]
+
+    def inside(x, y, pts):
+        odd = False
+        for a, b in zip(pts, [*pts[1:], pts[0]], strict=True):
+            if (a["y"] > y) != (b["y"] > y) and x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]:
+                odd = not odd
+        return odd
+
+    want = sorted((i, r) for i, x, y in points for r, _, _, pts in rings if inside(x, y, pts))
+    found = region.spatial_join_points(spark.createDataFrame(points, "id int, x double, y double"), table)
+    assert sorted((r.id, r.region) for r in found.collect()) == want and len(want) > 50
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (" in plan
+
+
 def test_zonal_mean_skips_nulls(spark):
     cube = cells(spark).withColumn("variable", F.lit("v")).withColumn("date", F.lit("2020-01-01").cast("date")).withColumn("value", F.when(F.col("x") > 0, F.col("x").cast("double")))
     own = region.rasterize_region(cells(spark), polygons(spark), META, all_touched=False)
