@@ -27,15 +27,22 @@ def asof_dekad(obs: DataFrame, spine: DataFrame | None = None, time: str = "ts",
     return found.crossJoin(F.broadcast(ends)).withColumn(name, clamped).drop("__lo", "__hi")
 
 
-def asof_calendar(obs: DataFrame, calendar: DataFrame, keys: list[str] = [], time: str = "ts", strict: bool = True, name: str = "dekad") -> DataFrame:  # noqa: B006
-    """As asof_dekad for any calendar of dates: calendar rows are mixed among the observations and carried forward."""
-    marks = calendar.select(F.col("date").cast("timestamp").alias("__at"), F.col("date").alias(name), F.lit(0 if not strict else 1).alias("__rank"))
-    rows = obs.withColumn("__at", F.col(time).cast("timestamp")).withColumn("__rank", F.lit(1 if not strict else 0))
-    if keys:
-        marks = obs.select(*keys).distinct().crossJoin(F.broadcast(marks))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__at", "__rank").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(name, F.last(name, ignorenulls=True).over(w)).where(F.col(time).isNotNull()).drop("__at", "__rank")
+def asof_calendar(obs: DataFrame, calendar: DataFrame, time: str = "ts", strict: bool = True, name: str = "dekad") -> DataFrame:
+    """As asof_dekad for any calendar of dates; before its first date there is none. Marks are dates, so what an observation
+    gets follows from its own date and from whether it is later than midnight: a table of the days that occur, which a
+    window carries the marks along, is joined by date. That window has a row per day, however many observations there are."""
+    day = F.to_date(time)
+    marks = calendar.select(F.col("date").alias("__mark")).where("__mark is not null").distinct()
+    days = obs.select(day.alias("__day")).where("__day is not null").union(marks.select("__mark")).distinct()
+    w = Window.orderBy("__day")
+    known = days.join(marks, F.col("__day") == F.col("__mark"), "left")
+    upto = F.last("__mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto")
+    before = F.last("__mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__before")
+    carried = known.select("__day", upto, before)
+    first = F.col(time).cast("timestamp") == F.col("__day").cast("timestamp")
+    value = F.when(first & F.lit(strict), F.col("__before")).otherwise(F.col("__upto"))
+    found = obs.where(F.col(time).isNotNull()).withColumn("__own", day).join(carried, F.col("__own") == F.col("__day"))
+    return found.withColumn(name, value).drop("__own", "__day", "__upto", "__before")
 
 
 def daily_mean(obs: DataFrame, keys: list[str] = KEYS, time: str = "ts", value: str = "value") -> DataFrame:
@@ -55,7 +62,7 @@ def align_to_spine(means: DataFrame, spine: DataFrame, keys: list[str] = KEYS, v
 
 def merge_indices(frames: dict[str, DataFrame], on: tuple[str, ...] = ("date_represented", "date_reported")) -> DataFrame:
     """Full outer join of tables with distinct value columns, as one union and one aggregation: one shuffle for any
-    number of tables. Rows that repeat a key in one table keep the first value that is not null."""
+    number of tables. Of rows that repeat a key in one table, the largest value stays."""
     values = [c for df in frames.values() for c in df.columns if c not in on]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames.values())
     return rows.groupBy(*on).agg(*[F.max(v).alias(v) for v in values])

@@ -30,7 +30,10 @@ def missing_runs(df: DataFrame, keys: list[str] = ["series"], time: str = "date"
     return runs.withColumn("kind", kind).drop("__p", "__n")
 
 
-def trend_fit(df: DataFrame, keys: list[str] = ["series"], time: str = "date", value: str = "value", n: int = 6, as_of: Column | None = None) -> DataFrame:  # noqa: B006
+def trend_fit(
+    df: DataFrame, keys: list[str] = ["series"], time: str = "date", value: str = "value", n: int = 6,
+    as_of: Column | None = None,
+) -> DataFrame:  # noqa: B006
     """Least-squares line through the last n present values, at t = 0 .. n-1; series with fewer values have none."""
     past = df if as_of is None else df.where(F.col(time) <= as_of)
     w = Window.partitionBy(*keys).orderBy(F.desc(time))
@@ -39,10 +42,14 @@ def trend_fit(df: DataFrame, keys: list[str] = ["series"], time: str = "date", v
     return last.groupBy(*keys).agg(F.regr_slope(F.col(value), t).alias("slope"), F.regr_intercept(F.col(value), t).alias("intercept"), F.count("*").alias("__c")).where(F.col("__c") == n).drop("__c")
 
 
-def trend_extrapolate(df: DataFrame, keys: list[str] = ["series"], time: str = "date", value: str = "value", n: int = 6, as_of: Column | None = None, where: str = "all") -> DataFrame:  # noqa: B006
+def trend_extrapolate(
+    df: DataFrame, keys: list[str] = ["series"], time: str = "date", value: str = "value", n: int = 6,
+    as_of: Column | None = None, where: str = "all",
+) -> DataFrame:  # noqa: B006
     """Remaining gaps filled from the trend: the k-th missing row, in date order, is at t = n - 1 + k.
 
-    ``where='trailing'`` leaves leading gaps. Rows after as_of are not touched. The fit is a row per series.
+    ``where='trailing'`` leaves leading gaps. Rows after as_of are not touched. The fit is a row per series. A series is a
+    task's work: a row per date. Without keys the table is one series, with one row of fit.
     """
     fit = trend_fit(df, keys, time, value, n, as_of)
     w = Window.partitionBy(*keys).orderBy(time)

@@ -20,7 +20,10 @@ SUFFIX = {"daily": "_{day}", "pentadal": "-pt{pentad}", "dekadal": "-dk{dekad}",
 FULL_RESOLUTION = "0.0375"
 
 
-def file_manifest(calendar: DataFrame, product: str = "rfe", timestep: str = "dekadal", version: str = "3.1", resolution: str = FULL_RESOLUTION, root: str = "", anomalies: bool = False) -> DataFrame:
+def file_manifest(
+    calendar: DataFrame, product: str = "rfe", timestep: str = "dekadal", version: str = "3.1",
+    resolution: str = FULL_RESOLUTION, root: str = "", anomalies: bool = False,
+) -> DataFrame:
     """(start_date, path) of the files expected for the periods of a calendar (period_calendar's columns).
 
     Products are rfe and sm; coarser resolutions of rfe are in a folder of their own and carry it in their names, sm has

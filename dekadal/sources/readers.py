@@ -49,7 +49,9 @@ def read_rainfall_products(spark: SparkSession, path: str, products: tuple[str,
     return long.select("series", "ts", number(F.col("raw")).alias("value")).where("ts is not null")
 
 
-def read_climate_index(spark: SparkSession, path: str, kind: str, columns: list[str] = [], prefix: str | None = None) -> DataFrame:  # noqa: B006
+def read_climate_index(
+    spark: SparkSession, path: str, kind: str, columns: list[str] = [], prefix: str | None = None,
+) -> DataFrame:  # noqa: B006
     """One index file. kind: season (YR SEAS values), monthly (YR MON values), pentad (yyyymmdd values), dipole (Year Month
     values). Values get the prefix; lines that begin with no year are headers; starred values are null (a pentad row
     with one is dropped). columns name the values in order."""
@@ -71,7 +73,10 @@ def read_climate_index(spark: SparkSession, path: str, kind: str, columns: list[
     return rows.select(*keys, *values).where("month is not null")
 
 
-def read_sectioned_fwf(spark: SparkSession, path: str, markers: dict[str, str], widths: tuple[int, ...] = (4, *[6] * 12), missing: float = -999.9) -> DataFrame:
+def read_sectioned_fwf(
+    spark: SparkSession, path: str, markers: dict[str, str], widths: tuple[int, ...] = (4, *[6] * 12),
+    missing: float = -999.9,
+) -> DataFrame:
     """(section, YEAR, JAN ... DEC) of fixed-width files that hold several sections, each begun by a line with its marker
     (blanks left out). markers: name -> marker. A file is one row, so files are to be small, as such files are."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line"), F.col("_metadata.file_path").alias("file"))
@@ -87,7 +92,10 @@ def read_sectioned_fwf(spark: SparkSession, path: str, markers: dict[str, str],
     return rows.select("section", fields[0].cast("int").alias("YEAR"), *[F.when(v != missing, v).alias(n) for n, v in zip(cal.MONTH_NAMES, values, strict=False)])
 
 
-def read_cube(spark: SparkSession, path: str, variable: str | None = None, dates: tuple[str, str] | None = None, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+def read_cube(
+    spark: SparkSession, path: str, variable: str | None = None, dates: tuple[str, str] | None = None,
+    box: tuple[int, int, int, int] | None = None,
+) -> DataFrame:
     """A stored cube, partitioned by variable and date: filters on both prune folders, a box (y0, y1, x0, x1) is pushed
     to the Parquet scan."""
     cube = spark.read.parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.scalar import round4
+from .staging import staging_dir
 
 
 def write_series(df: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -20,6 +21,23 @@ def append_cube(df: DataFrame, path: str) -> None:
     df.hint("rebalance", "variable", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("variable", "date").parquet(path)
 
 
+def merge_cube(df: DataFrame, path: str, keys: tuple[str, ...] = ("variable", "date", "y", "x")) -> None:
+    """Cells of a stored cube: those that come again are replaced, all others stay, those of the same dates among them. The
+    dates that df touches are put together in the shared folder, and then overwritten."""
+    from pyspark.errors import AnalysisException
+
+    spark = df.sparkSession
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:  # nothing is stored yet
+        return append_cube(df, path)
+    days = df.select("variable", "date").distinct()
+    old = stored.join(days, ["variable", "date"], "left_semi").join(df.select(*keys).distinct(), [*keys], "left_anti")
+    whole = staging_dir(spark, "merged-cube")
+    old.select(df.columns).union(df).write.parquet(whole)
+    append_cube(spark.read.schema(df.schema).parquet(whole), path)
+
+
 def refresh_tail(history: DataFrame, fresh: DataFrame, n: int = 18, time: str = "date") -> DataFrame:
     """History without its last n dekads, and the fresh rows from there on. n = 0 keeps all of the history; a full rebuild is
     the fresh rows alone."""

@@ -4,25 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import calendar as cal
-from ..sources.sinks import append_cube
+from ..sources.sinks import merge_cube
 
 
-def incremental_update(stream: DataFrame, target: str, transform: Callable[[DataFrame], DataFrame], checkpoint: str, partition: str = "date") -> StreamingQuery:
-    """Process what has come since the last run, and stop. transform makes a batch's rows, with the partition column;
-    dates of the batch that the target holds are replaced, so a batch that is run again changes nothing."""
+def incremental_update(
+    stream: DataFrame, target: str, transform: Callable[[DataFrame], DataFrame], checkpoint: str, store: str,
+    date: Column, partition: str = "date",
+) -> StreamingQuery:
+    """Process what has come since the last run, and stop.
 
-    def write(batch: DataFrame, _: int) -> None:
-        transform(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
+    date says which date a row of the stream belongs to. Rows are kept in store, by date and batch; the dates that a batch
+    touches are made anew by transform from all the rows that have come for them (with the partition column), and replace
+    those of the target. So a date whose rows come in several batches has them all, and a batch that is run again changes
+    nothing.
+    """
+
+    def put(rows: DataFrame, path: str, *parts: str) -> None:
+        """Replace the partitions that the rows touch."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        put(batch.withColumns({partition: date, "__batch": F.lit(number)}), store, partition, "__batch")
+        touched = batch.select(date.alias(partition)).distinct()
+        own = batch.sparkSession.read.parquet(store).join(F.broadcast(touched), partition, "left_semi").drop("__batch")
+        put(transform(own), target, partition)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def late_data_refresh(history: DataFrame, batch: DataFrame, n: int = 18, time: str = "date", keys: list[str] = ["series"]) -> tuple[DataFrame, DataFrame]:  # noqa: B006
+def late_data_refresh(
+    history: DataFrame, batch: DataFrame, n: int = 18, time: str = "date", keys: list[str] = ["series"],
+) -> tuple[DataFrame, DataFrame]:  # noqa: B006
     """(history with the batch's rows of its last n dekads and later, rows that came too late). Within the window a
     batch row replaces the history's row of its key and date."""
     last = history.agg(F.max(cal.dekad_index(time)).alias("__last"))
@@ -38,7 +55,9 @@ def tumbling_dekad(stream: DataFrame, time: str = "ts", value: str = "value", ke
     return stream.groupBy(*keys, cal.dekad_start(time).alias("dekad")).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
 
 
-def continue_cumulative(batch: DataFrame, state: DataFrame | None, keys: list[str] = ["y", "x"], time: str = "date", value: str = "value") -> tuple[DataFrame, DataFrame]:  # noqa: B006
+def continue_cumulative(
+    batch: DataFrame, state: DataFrame | None, keys: list[str] = ["y", "x"], time: str = "date", value: str = "value",
+) -> tuple[DataFrame, DataFrame]:  # noqa: B006
     """(running sums of the batch continued from the state, the new state). The state is one row per key: the last sum."""
     from pyspark.sql import Window
 
@@ -54,8 +73,9 @@ def continue_cumulative(batch: DataFrame, state: DataFrame | None, keys: list[st
 
 
 def stream_to_cube(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the dates of arriving cube files to a stored cube."""
-    return stream.writeStream.foreachBatch(lambda batch, _: append_cube(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Put the cells of arriving cube files into a stored cube. Cells that come again are replaced; a date whose cells come
+    in several batches has them all."""
+    return stream.writeStream.foreachBatch(lambda batch, _: merge_cube(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def parquet_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
