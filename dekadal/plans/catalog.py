@@ -17,4 +17,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scale.zscore(rows, scale.fit_scaler(rows, first_n=100)).select("series", "date", (F.round("value", 4) + 0.0).alias("value"))
 
 
+#: Further names of queries: in the first round these ran over whole tables beside queries that did not.
+NAMES = {
+    "extract_point": ["extract_point_all"], "extract_to_csv": ["extract_to_csv_all"], "alert_message": ["alert_message_all"], "append_cube": ["append_cube_whole"],
+    "patch_windows": ["patch_windows_by_label"], "crop_border": ["crop_border_by_label"], "mosaic_mean": ["mosaic_mean_by_label"],
+    "seasonal_stats": ["seasonal_stats_whole_year"], "seasonal_lookup": ["seasonal_lookup_whole_year"], "seasonal_zscore": ["seasonal_zscore_whole_year"],
+    "batch_score": ["batch_score_36"], "supervised_windows": ["supervised_windows_6"],
+}
+for _name, _others in NAMES.items():
+    QUERIES |= dict.fromkeys(_others, QUERIES[_name])
+    ORACLE_SQL |= dict.fromkeys(_others, ORACLE_SQL[_name])
+
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

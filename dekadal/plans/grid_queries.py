@@ -92,20 +92,11 @@ PCT = "format('{{:.1f}}', round_even({0} * 100, 1))"
 ALERT_TEXT = "SELECT c_custkey, 'Alert of 2024-05-01: extent expected to reach ' || " + PCT.format("(c_custkey / 16384)") + " || '% by 2024-06-11, a rise of ' || " + PCT.format("(c_custkey / 32768)") + " || '% above the season''s minimum of ' || " + PCT.format("(c_custkey / 65536)") + " || '%.' AS message FROM customer"
 
 
-def alert_messages(c: DataFrame) -> DataFrame:
+@query(ALERT_TEXT)
+def alert_message(spark: S, sf: str) -> DataFrame:
     day = lambda d: F.lit(d).cast("date")
     k = F.col("c_custkey")
-    return c.select("c_custkey", scalar.alert_message(day("2024-05-01"), k / 16384, day("2024-06-11"), k / 32768, k / 65536).alias("message"))
-
-
-@query(ALERT_TEXT + " WHERE c_custkey < 100000")
-def alert_message(spark: S, sf: str) -> DataFrame:
-    return alert_messages(table(spark, sf, "customer").where("c_custkey < 100000"))
-
-
-@query(ALERT_TEXT)
-def alert_message_all(spark: S, sf: str) -> DataFrame:
-    return alert_messages(table(spark, sf, "customer"))
+    return table(spark, sf, "customer").select("c_custkey", scalar.alert_message(day("2024-05-01"), k / 16384, day("2024-06-11"), k / 32768, k / 65536).alias("message"))
 
 
 @query(sql("ens", "SELECT run_id, horizon, round(avg(value), 4) + 0 AS mean, round(stddev_pop(value), 4) + 0 AS std FROM ens GROUP BY ALL"))
@@ -203,14 +194,8 @@ def nearest_cell(spark: S, sf: str) -> DataFrame:
     return grid.nearest_cell(points(spark, sf), META16).select("c_custkey", "y", "x")
 
 
-@query(sql("cube", "SELECT c_custkey, date, round(value, 4) + 0 AS value FROM nc JOIN cube USING (y, x) WHERE c_custkey % 50 = 0", PTS, CELLS))
+@query(sql("cube", "SELECT c_custkey, date, round(value, 4) + 0 AS value FROM nc JOIN cube USING (y, x)", PTS, CELLS))
 def extract_point(spark: S, sf: str) -> DataFrame:
-    return grid.extract_point(cube(spark, sf), points(spark, sf).where("c_custkey % 50 = 0"), META16).select("c_custkey", "date", r4("value").alias("value"))
-
-
-@query(None)
-def extract_point_all(spark: S, sf: str) -> DataFrame:
-    """All points; too many rows for the SQL's engine, so the tests hold it against brute force."""
     return grid.extract_point(cube(spark, sf), points(spark, sf), META16).select("c_custkey", "date", r4("value").alias("value"))
 
 
@@ -282,6 +267,24 @@ def rasterize_region(spark: S, sf: str) -> DataFrame:
     return region.rasterize_region(cells16(spark, sf), regions(spark, sf), META16, all_touched=False)
 
 
+#: An edge meets a box if their boxes meet and the corners of the one are not all on one side of the line of the other.
+SIDE = "((vx - ux) * ({y} - uy) - (vy - uy) * ({x} - ux))"
+CORNERS = [SIDE.format(x=f"(lon {a} 0.25)", y=f"(lat {b} 0.25)") for a in "+-" for b in "+-"]
+TOUCHED = f"least(ux, vx) <= lon + 0.25 AND greatest(ux, vx) >= lon - 0.25 AND least(uy, vy) <= lat + 0.25 AND greatest(uy, vy) >= lat - 0.25 AND least({', '.join(CORNERS)}) <= 0 AND greatest({', '.join(CORNERS)}) >= 0"
+RT = f"rt AS (SELECT region, y, x FROM rc UNION SELECT region, y, x FROM cl, edges WHERE {TOUCHED})"
+
+
+@query(sql("cube", "SELECT region, y, x FROM rt", REGION_SQL, CELL_SQL, RC, RT))
+def rasterize_region_all_touched(spark: S, sf: str) -> DataFrame:
+    """From a table that repeats its cells, a row for each date."""
+    return region.rasterize_region(cube(spark, sf).select("y", "x"), regions(spark, sf), META16, all_touched=True)
+
+
+@query(sql("cube", "SELECT variable, region, date, round(avg(value), 4) + 0 AS value FROM cube JOIN rt USING (y, x) GROUP BY ALL", REGION_SQL, CELL_SQL, RC, RT))
+def zonal_mean_all_touched(spark: S, sf: str) -> DataFrame:
+    return region.zonal_mean(cube(spark, sf), rasterize_region_all_touched(spark, sf)).withColumn("value", r4("value"))
+
+
 def region_cells(spark: S, sf: str) -> DataFrame:
     return rasterize_region(spark, sf)
 
@@ -309,6 +312,12 @@ def spatial_join_points(spark: S, sf: str) -> DataFrame:
     return region.spatial_join_points(points(spark, sf), regions(spark, sf), "lon", "lat").select("c_custkey", "region")
 
 
+@query(f"WITH {PTS}, {REGION_SQL} SELECT lon::DOUBLE AS lon, lat::DOUBLE AS lat, region FROM (SELECT c_custkey, lon, lat, region FROM pts, edges WHERE {INSIDE.format(x='lon', y='lat')} GROUP BY ALL HAVING count(*) % 2 = 1)")
+def spatial_join_places(spark: S, sf: str) -> DataFrame:
+    """The points without their keys, so that rows repeat."""
+    return region.spatial_join_points(points(spark, sf).select("lon", "lat"), regions(spark, sf), "lon", "lat")
+
+
 @query("SELECT n_name AS region, round(20.0137 + (n_nationkey % 5) * 1.3 - 0.42, 4)::DOUBLE AS xmin, round(22.1137 + (n_nationkey % 5) * 1.3 + 0.42, 4)::DOUBLE AS xmax, round(3.0071 + (n_nationkey // 5) * 1.1 - 0.38, 4)::DOUBLE AS ymin, round(4.9071 + (n_nationkey // 5) * 1.1 + 0.019, 4)::DOUBLE AS ymax FROM nation")
 def region_bbox(spark: S, sf: str) -> DataFrame:
     return region.region_bbox(regions(spark, sf), (0.2, 0.2, 0.2, 0.01)).select("region", *[r4(c).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
@@ -328,40 +337,7 @@ def union_regions(spark: S, sf: str) -> DataFrame:
     return region.union_regions([n, r])
 
 
-# ---- patches: the grids of one label are a stack of dates; patch 4, stride 2
-
-LABEL0 = "g0 AS (SELECT date, y, x, value FROM grids WHERE label = 0)"
-
-
-def label0(spark: S, sf: str) -> DataFrame:
-    return grids(spark, sf).where("label = 0").select("date", "y", "x", "value")
-
-
-def patch_rows(spark: S, sf: str, steps: int = 3) -> DataFrame:
-    return patches.patch_windows(label0(spark, sf).withColumn("channel", F.lit("g")), 8, 8, size=4, stride=2, steps=steps, end_offset=1)
-
-
-LAST_DATES = "ld AS (SELECT date, (4 - r)::INT AS step FROM (SELECT date, row_number() OVER (ORDER BY date DESC) AS r FROM (SELECT DISTINCT date FROM g0)) WHERE r BETWEEN 2 AND 4)"
-PIX = "px AS (SELECT p AS y0, q AS x0, step, (y - p)::INT AS y, (x - q)::INT AS x, value FROM g0 JOIN ld USING (date), range(0, 5, 2) a(p), range(0, 5, 2) b(q) WHERE y BETWEEN p AND p + 3 AND x BETWEEN q AND q + 3)"
-
-
-@query(sql("grids", "SELECT y0::INT AS y0, x0::INT AS x0, step, y, x, round(value, 4) + 0 AS value FROM px", LABEL0, LAST_DATES, PIX))
-def patch_windows(spark: S, sf: str) -> DataFrame:
-    return patches.patch_pixels(patch_rows(spark, sf)).select("y0", "x0", "step", "y", "x", r4("value").alias("value"))
-
-
-@query(sql("grids", "SELECT y0::INT AS y0, x0::INT AS x0, step, y, x, round(value, 4) + 0 AS value FROM px WHERE y BETWEEN 1 AND 2 AND x BETWEEN 1 AND 2", LABEL0, LAST_DATES, PIX))
-def crop_border(spark: S, sf: str) -> DataFrame:
-    return patches.crop_border(patches.patch_pixels(patch_rows(spark, sf)), 4, 1).select("y0", "x0", "step", "y", "x", r4("value").alias("value"))
-
-
-@query(sql("grids", """SELECT st.step, a.y::INT AS y, b.x::INT AS x, round(m.value, 4) + 0 AS value FROM (SELECT DISTINCT step FROM px) st, range(0, 8) a(y), range(0, 8) b(x)
-    LEFT JOIN (SELECT step, y0 + y AS y, x0 + x AS x, avg(value) AS value FROM px WHERE y BETWEEN 1 AND 2 AND x BETWEEN 1 AND 2 GROUP BY ALL) m ON m.step = st.step AND m.y = a.y AND m.x = b.x""", LABEL0, LAST_DATES, PIX))
-def mosaic_mean(spark: S, sf: str) -> DataFrame:
-    return patches.mosaic_mean(patches.patch_pixels(patch_rows(spark, sf)), 8, 8, 4, border=1, keys=["step"]).withColumn("value", r4("value"))
-
-
-# the same over all labels, a stack each
+# ---- patches: the grids of each label are a stack of dates; patch 4, stride 2
 
 
 def labelled_pixels(spark: S, sf: str, steps: int = 3) -> DataFrame:
@@ -374,18 +350,18 @@ LABEL_PIX = "px AS (SELECT label, p AS y0, q AS x0, step, (y - p)::INT AS y, (x
 
 
 @query(sql("grids", "SELECT label, y0::INT AS y0, x0::INT AS x0, step, y, x, round(value, 4) + 0 AS value FROM px", LABEL_DATES, LABEL_PIX))
-def patch_windows_by_label(spark: S, sf: str) -> DataFrame:
+def patch_windows(spark: S, sf: str) -> DataFrame:
     return labelled_pixels(spark, sf).select("label", "y0", "x0", "step", "y", "x", r4("value").alias("value"))
 
 
 @query(sql("grids", "SELECT label, y0::INT AS y0, x0::INT AS x0, step, y, x, round(value, 4) + 0 AS value FROM px WHERE y BETWEEN 1 AND 2 AND x BETWEEN 1 AND 2", LABEL_DATES, LABEL_PIX))
-def crop_border_by_label(spark: S, sf: str) -> DataFrame:
+def crop_border(spark: S, sf: str) -> DataFrame:
     return patches.crop_border(labelled_pixels(spark, sf), 4, 1).select("label", "y0", "x0", "step", "y", "x", r4("value").alias("value"))
 
 
 @query(sql("grids", """SELECT st.label, st.step, a.y::INT AS y, b.x::INT AS x, round(m.value, 4) + 0 AS value FROM (SELECT DISTINCT label, step FROM px) st, range(0, 8) a(y), range(0, 8) b(x)
     LEFT JOIN (SELECT label, step, y0 + y AS y, x0 + x AS x, avg(value) AS value FROM px WHERE y BETWEEN 1 AND 2 AND x BETWEEN 1 AND 2 GROUP BY ALL) m ON m.label = st.label AND m.step = st.step AND m.y = a.y AND m.x = b.x""", LABEL_DATES, LABEL_PIX))
-def mosaic_mean_by_label(spark: S, sf: str) -> DataFrame:
+def mosaic_mean(spark: S, sf: str) -> DataFrame:
     return patches.mosaic_mean(labelled_pixels(spark, sf), 8, 8, 4, border=1, keys=["label", "step"]).withColumn("value", r4("value"))
 
 

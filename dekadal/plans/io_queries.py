@@ -11,9 +11,9 @@ from ..operators import align, features, forecast, grid, models
 from ..sources import files, readers, sinks
 from ..sources.staging import staging_dir
 from ..streaming import incremental
-from .bindings import META16, ORACLE_SQL, aligned, cube, dk, filled, query, r4, sql, table
+from .bindings import META16, aligned, cube, dk, filled, query, r4, sql, table
 from .grid_queries import CELLS, FC, MASKS, MEAN_GRID, PTS, mask_rows, points, regions
-from .series_queries import FLAG_SQL, days, flag_series
+from .series_queries import days
 
 S = SparkSession
 
@@ -116,18 +116,8 @@ def read_cube(spark: S, sf: str) -> DataFrame:
     return rows.select("date", "y", "x", r4("value").alias("value"))
 
 
-@query(sql("cube", "SELECT date, y, x, CASE WHEN date >= DATE '1995-02-15' THEN -1 ELSE round(value, 4) + 0 END AS value FROM cube WHERE date < DATE '1995-03-10'"))
-def append_cube(spark: S, sf: str) -> DataFrame:
-    """New dates join, dates that come again are replaced."""
-    path = stored_cube(spark, sf, cube(spark, sf).where("date < '1995-03-01'"))
-    more = cube(spark, sf).where("date between '1995-02-15' and '1995-03-09'").withColumn("value", F.lit(-1.0))
-    for _ in range(2):
-        sinks.append_cube(more, path)
-    return readers.read_cube(spark, path).select("date", "y", "x", r4("value").alias("value"))
-
-
 @query(sql("cube", "SELECT date, y, x, CASE WHEN date > m - 22 THEN -1 ELSE round(value, 4) + 0 END AS value FROM cube, (SELECT max(date) AS m FROM cube)"))
-def append_cube_whole(spark: S, sf: str) -> DataFrame:
+def append_cube(spark: S, sf: str) -> DataFrame:
     """The whole cube: all but its last 9 days are stored, and the last 22 appended twice."""
     rows = cube(spark, sf)
     end = F.lit(table(spark, sf, "lineitem").agg(F.max(F.to_date("l_shipdate"))).first()[0])
@@ -143,13 +133,17 @@ def refresh_tail(spark: S, sf: str) -> DataFrame:
     return sinks.refresh_tail(history, history.withColumn("value", F.lit(-1.0))).withColumn("value", r4("value"))
 
 
-@query(f"WITH {FLAG_SQL} SELECT date, round(value, 4) + 0 AS percent_inundation, CASE WHEN date >= DATE '2001-01-01' THEN 0.5::DOUBLE END AS lower_bound_95, CASE WHEN date >= DATE '2001-01-01' THEN 1.5::DOUBLE END AS upper_bound_95 FROM fs WHERE series = 'N'")
+ALL_SQL = f"fa AS (SELECT {dk('l_shipdate')} AS date, avg(l_quantity) AS value FROM lineitem GROUP BY ALL)"
+
+
+@query(f"WITH {ALL_SQL} SELECT date, round(value, 4) + 0 AS percent_inundation, CASE WHEN date >= DATE '2001-01-01' THEN 0.5::DOUBLE END AS lower_bound_95, CASE WHEN date >= DATE '2001-01-01' THEN 1.5::DOUBLE END AS upper_bound_95 FROM fa")
 def write_forecast(spark: S, sf: str) -> DataFrame:
     return files.latest_forecast(spark, run_folder(spark, sf))
 
 
 def run_folder(spark: S, sf: str) -> str:
-    rows = flag_series(spark, sf).where("series = 'N'").select("date", r4("value").alias("percent_inundation"))
+    days = table(spark, sf, "lineitem").groupBy(cal.dekad_start("l_shipdate").alias("date")).agg(F.avg("l_quantity").alias("value"))
+    rows = days.select("date", r4("value").alias("percent_inundation"))
     fc = rows.where("date >= '2001-01-01'").withColumn("lower_bound_95", F.lit(0.5)).withColumn("upper_bound_95", F.lit(1.5))
     path = staging_dir(spark, "runs")
     sinks.write_forecast(rows.where("date < '2000-01-01'"), fc.where("date < '2001-03-01'"), path)
@@ -157,7 +151,7 @@ def run_folder(spark: S, sf: str) -> str:
     return path
 
 
-@query(f"WITH {FLAG_SQL} SELECT max(date) AS last_date, count(*) AS n, count(lower_bound_95) AS n_forecast FROM (SELECT date, CASE WHEN date >= DATE '2001-01-01' THEN 0.5::DOUBLE END AS lower_bound_95 FROM fs WHERE series = 'N')")
+@query(f"WITH {ALL_SQL} SELECT max(date) AS last_date, count(*) AS n, count(lower_bound_95) AS n_forecast FROM (SELECT date, CASE WHEN date >= DATE '2001-01-01' THEN 0.5::DOUBLE END AS lower_bound_95 FROM fa)")
 def latest_forecast(spark: S, sf: str) -> DataFrame:
     rows = files.latest_forecast(spark, run_folder(spark, sf))
     return rows.agg(F.max("date").alias("last_date"), F.count("*").alias("n"), F.count("lower_bound_95").alias("n_forecast"))
@@ -186,23 +180,13 @@ def write_masks(spark: S, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query(sql("cube", "SELECT c_custkey, date, round_even(value, 4) + 0 AS value FROM nc JOIN cube USING (y, x) WHERE c_custkey % 50 = 0", PTS, CELLS))
+@query(sql("cube", "SELECT c_custkey, date, round_even(value, 4) + 0 AS value FROM nc JOIN cube USING (y, x)", PTS, CELLS))
 def extract_to_csv(spark: S, sf: str) -> DataFrame:
-    return extracted(spark, sf, points(spark, sf).where("c_custkey % 50 = 0"))
-
-
-def extracted(spark: S, sf: str, at: DataFrame) -> DataFrame:
     path = staging_dir(spark, "extract")
-    sinks.extract_to_csv(grid.extract_point(cube(spark, sf), at, META16).select("c_custkey", "date", "value"), path)
+    sinks.extract_to_csv(grid.extract_point(cube(spark, sf), points(spark, sf), META16).select("c_custkey", "date", "value"), path)
     return spark.read.schema("c_custkey bigint, date date, value double").option("header", True).csv(path)
 
 
-@query(None)
-def extract_to_csv_all(spark: S, sf: str) -> DataFrame:
-    """All points, held against brute force as extract_point_all is."""
-    return extracted(spark, sf, points(spark, sf))
-
-
 FILE = "'mask_' || o_orderkey || '_' || strftime(date, '%Y%m%d') || CASE o_orderkey % 4 WHEN 0 THEN ' (1).tif' WHEN 1 THEN '.nc' WHEN 2 THEN 'x.tif' ELSE '.tif' END"
 
 
@@ -279,18 +263,22 @@ def event_files(spark: S, sf: str) -> tuple[str, object]:
 
 @query(f"SELECT {dk('ts')} AS date, event_type, count(*) AS n, round(sum(value), 3) + 0 AS total FROM events GROUP BY ALL")
 def incremental_update(spark: S, sf: str) -> DataFrame:
-    """Files arrive one by one; each batch recomputes the dekads that it touches from all that has arrived."""
+    """Files arrive one by one, so a dekad's events come in several batches."""
     path, schema = event_files(spark, sf)
     target, seen, state = (staging_dir(spark, n) for n in ("target", "seen", "checkpoint"))
+    sums = lambda rows: rows.groupBy("date", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    incremental.incremental_update(incremental.parquet_stream(spark, path, schema), target, sums, state, seen, cal.dekad_start("ts")).awaitTermination()
+    return spark.read.parquet(target).select("date", "event_type", "n", (F.round("total", 3) + 0.0).alias("total"))
 
-    def touched(batch: DataFrame) -> DataFrame:
-        batch.withColumn("dekad", cal.dekad_start("ts")).write.mode("append").partitionBy("dekad").parquet(seen)
-        dekads = batch.select(cal.dekad_start("ts").alias("dekad")).distinct()
-        own = batch.sparkSession.read.parquet(seen).join(F.broadcast(dekads), "dekad", "left_semi")
-        return own.groupBy(F.col("dekad").alias("date"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
-    incremental.incremental_update(incremental.parquet_stream(spark, path, schema), target, touched, state).awaitTermination()
-    return spark.read.parquet(target).select("date", "event_type", "n", (F.round("total", 3) + 0.0).alias("total"))
+@query(sql("cube", "SELECT date, y, x, round(value, 4) + 0 AS value FROM cube"))
+def stream_to_cube(spark: S, sf: str) -> DataFrame:
+    """The cube arrives by cell, so that every date comes in four batches."""
+    path, target = staging_dir(spark, "arriving"), staging_dir(spark, "cube")
+    rows = cube(spark, sf)
+    rows.repartition(4, "y", "x").write.parquet(path)
+    incremental.stream_to_cube(incremental.parquet_stream(spark, path, rows.schema), target, staging_dir(spark, "checkpoint")).awaitTermination()
+    return readers.read_cube(spark, target).select("date", "y", "x", r4("value").alias("value"))
 
 
 @query(f"SELECT {dk('ts')} AS dekad, event_type, count(*) AS n, round(sum(value), 3) + 0 AS total, round(avg(value), 4) + 0 AS mean FROM events GROUP BY ALL")
@@ -343,17 +331,12 @@ def mean_model():
     return predict
 
 
-@query(sql("filled", "SELECT series, date, round(m, 4) + 0 AS mean, round(value / 1e5, 4) + 0 AS last FROM (SELECT *, avg(value / 1e5) OVER w AS m, count(*) OVER w AS n FROM filled WINDOW w AS (PARTITION BY series ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) WHERE n = 12"))
-def batch_score(spark: S, sf: str, look_back: int = 12) -> DataFrame:
-    scored = models.batch_score(windows(spark, sf, look_back), mean_model, ["window"], [look_back], 2)
+@query(sql("filled", "SELECT series, date, round(m, 4) + 0 AS mean, round(value / 1e5, 4) + 0 AS last FROM (SELECT *, avg(value / 1e5) OVER w AS m, count(*) OVER w AS n FROM filled WINDOW w AS (PARTITION BY series ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)) WHERE n = 36"))
+def batch_score(spark: S, sf: str) -> DataFrame:
+    scored = models.batch_score(windows(spark, sf), mean_model, ["window"], [36], 2)
     return scored.select("series", "date", r4(F.col("prediction")[0]).alias("mean"), r4(F.col("prediction")[1]).alias("last"))
 
 
-@query(ORACLE_SQL["batch_score"].replace("11 PRECEDING", "35 PRECEDING").replace("n = 12", "n = 36"))
-def batch_score_36(spark: S, sf: str) -> DataFrame:
-    return batch_score(spark, sf, 36)
-
-
 def noisy_model():
     """A stochastic model: six horizons of the window's mean with noise of the given seed."""
 
@@ -364,15 +347,38 @@ def noisy_model():
     return predict
 
 
+def last_windows(spark: S, sf: str) -> DataFrame:
+    return features.last_n(windows(spark, sf), ["series"], n=1).select("series", "window")
+
+
 @query(None)
 def mc_dropout_score(spark: S, sf: str) -> DataFrame:
-    last = features.last_n(windows(spark, sf), ["series"], n=1).select("series", "window")
-    samples = models.mc_dropout_score(last, noisy_model, ["series"], "window", [36], 6, n=1000)
+    samples = models.mc_dropout_score(last_windows(spark, sf), noisy_model, ["series"], "window", [36], 6, n=1000)
     return forecast.ensemble_summary(samples, ["series", "horizon"])
 
 
+@query(sql("filled", "SELECT series, h::INT AS horizon, 1000::BIGINT AS n, true AS mean_near, true AS std_near FROM (SELECT DISTINCT series FROM filled), range(0, 6) t(h)"))
+def mc_dropout_bounds(spark: S, sf: str) -> DataFrame:
+    """What holds of the noise whatever its seeds: every horizon has all samples, their mean is within six standard errors
+    of the window's, and their spread within a tenth of the model's."""
+    last = last_windows(spark, sf)
+    samples = models.mc_dropout_score(last, noisy_model, ["series"], "window", [36], 6, n=1000)
+    own = last.select("series", (F.aggregate("window", F.lit(0.0), lambda a, v: a + v) / 36).alias("centre"))
+    rows = samples.groupBy("series", "horizon").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).join(own, "series")
+    return rows.select("series", "horizon", "n", (F.abs(F.col("mean") - F.col("centre")) < 0.0019).alias("mean_near"), (F.abs(F.col("std") - 0.01) < 0.001).alias("std_near"))
+
+
 @query(None)
 def rf_forecast(spark: S, sf: str) -> DataFrame:
     return models.rf_forecast(windows(spark, sf))
 
 
+@query(sql("filled", """SELECT series, date, h::INT AS horizon, true AS in_range, true AS in_order FROM (SELECT series, date, count(*) OVER (PARTITION BY series ORDER BY date) AS n, count(*) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k FROM filled), range(0, 6) t(h) WHERE n >= 36 AND k <= 6"""))
+def rf_forecast_bounds(spark: S, sf: str) -> DataFrame:
+    """What holds of any forest: every window without all its targets has six horizons, a mean of trees lies in the range of
+    the values that they learnt from, and the bounds lie around it."""
+    rows = windows(spark, sf)
+    ends = filled(spark, sf).agg((F.min("value") / 1e5).alias("low"), (F.max("value") / 1e5).alias("high"))  # one row
+    out = models.rf_forecast(rows).crossJoin(F.broadcast(ends))
+    inside = F.col("mean").between(F.col("low") - 1e-9, F.col("high") + 1e-9)
+    return out.select("series", "date", "horizon", inside.alias("in_range"), F.expr("lower <= mean and mean <= upper").alias("in_order"))

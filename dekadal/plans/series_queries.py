@@ -137,6 +137,19 @@ def asof_dekad(spark: S, sf: str) -> DataFrame:
     return align.asof_dekad(obs(spark, sf), spine(spark, sf)).where("dekad is not null").withColumn("value", r4("value"))
 
 
+@query("""WITH c AS (SELECT max(o_orderdate)::DATE AS date FROM orders GROUP BY date_trunc('month', o_orderdate)),
+    o AS (SELECT o_orderkey, o_orderdate + (o_orderkey % 2) * INTERVAL 1 HOUR AS ts FROM orders),
+    s AS (SELECT o_orderkey, c.date AS before FROM o ASOF LEFT JOIN c ON ts > c.date), u AS (SELECT o_orderkey, c.date AS upto FROM o ASOF LEFT JOIN c ON ts >= c.date)
+    SELECT o_orderkey, before, upto FROM s JOIN u USING (o_orderkey)""")
+def asof_calendar(spark: S, sf: str) -> DataFrame:
+    """A calendar of the last order of each month; every other order comes an hour after midnight."""
+    o = table(spark, sf, "orders")
+    calendar = o.groupBy(F.trunc("o_orderdate", "month")).agg(F.to_date(F.max("o_orderdate")).alias("date"))
+    rows = o.select("o_orderkey", F.expr("o_orderdate + make_dt_interval(0, cast(o_orderkey % 2 as int))").alias("ts"))
+    both = align.asof_calendar(align.asof_calendar(rows, calendar, name="before"), calendar, strict=False, name="upto")
+    return both.select("o_orderkey", "before", "upto")
+
+
 @query(sql("obs", "SELECT series, ts::DATE AS date, round(avg(value), 4) + 0 AS value FROM obs GROUP BY ALL"))
 def daily_mean(spark: S, sf: str) -> DataFrame:
     return align.daily_mean(obs(spark, sf)).withColumn("value", r4("value"))
@@ -226,6 +239,12 @@ def fit_scaler(spark: S, sf: str) -> DataFrame:
     return scaler(spark, sf).select("series", (F.round("mean", 3) + 0.0).alias("mean"), (F.round("std", 3) + 0.0).alias("std"))
 
 
+@query(sql("filled", "SELECT series, round(mean, 3) + 0 AS mean, round(std, 3) + 0 AS std FROM sc", SCALER.replace("r <= 100", "r <= 804")))
+def fit_scaler_804(spark: S, sf: str) -> DataFrame:
+    """The operator's own number of rows, which the series do not reach."""
+    return scale.fit_scaler(filled(spark, sf)).select("series", (F.round("mean", 3) + 0.0).alias("mean"), (F.round("std", 3) + 0.0).alias("std"))
+
+
 @query(sql("filled", "SELECT series, date, round((value - mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 4) + 0 AS value FROM filled JOIN sc USING (series)", SCALER))
 def zscore(spark: S, sf: str) -> DataFrame:
     return scale.zscore(filled(spark, sf), scaler(spark, sf)).select("series", "date", r4("value").alias("value"))
@@ -242,45 +261,38 @@ def stats_lookup(spark: S, sf: str) -> DataFrame:
     return scale.stats_lookup(filled(spark, sf), scaler(spark, sf), ["series"]).select("series", "date", (F.round("mean", 3) + 0.0).alias("mean"), (F.round("std", 3) + 0.0).alias("std"))
 
 
-SEASON = "st AS (SELECT series, strftime(date, '%m-%d') AS month_day, avg(value) AS mean, stddev_samp(value) AS std FROM filled WHERE month(date) <> 2 GROUP BY ALL)"
+SEASON = "st AS (SELECT series, strftime(date, '%m-%d') AS month_day, avg(value) AS mean, stddev_samp(value) AS std FROM filled GROUP BY ALL)"
 
 
-def season(spark: S, sf: str, rows: str = "month(date) <> 2") -> DataFrame:
-    return scale.seasonal_stats(filled(spark, sf).where(rows))
+def season(spark: S, sf: str) -> DataFrame:
+    return scale.seasonal_stats(filled(spark, sf))
 
 
 @query(sql("filled", "SELECT series, month_day, round(mean, 3) + 0 AS mean, round(std, 3) + 0 AS std FROM st", SEASON))
-def seasonal_stats(spark: S, sf: str, rows: str = "month(date) <> 2") -> DataFrame:
-    return season(spark, sf, rows).select("series", "month_day", (F.round("mean", 3) + 0.0).alias("mean"), (F.round("std", 3) + 0.0).alias("std"))
+def seasonal_stats(spark: S, sf: str) -> DataFrame:
+    return season(spark, sf).select("series", "month_day", (F.round("mean", 3) + 0.0).alias("mean"), (F.round("std", 3) + 0.0).alias("std"))
 
 
 @query(sql("filled", "SELECT f.series, f.date, strftime(f.date, '%m-%d') AS month_day, round(mean, 3) + 0 AS mean, round(std, 3) + 0 AS std FROM filled f LEFT JOIN st ON f.series = st.series AND strftime(f.date, '%m-%d') = month_day", SEASON))
-def seasonal_lookup(spark: S, sf: str, rows: str = "month(date) <> 2") -> DataFrame:
-    return scale.seasonal_lookup(filled(spark, sf), season(spark, sf, rows)).select("series", "date", "month_day", (F.round("mean", 3) + 0.0).alias("mean"), (F.round("std", 3) + 0.0).alias("std"))
+def seasonal_lookup(spark: S, sf: str) -> DataFrame:
+    return scale.seasonal_lookup(filled(spark, sf), season(spark, sf)).select("series", "date", "month_day", (F.round("mean", 3) + 0.0).alias("mean"), (F.round("std", 3) + 0.0).alias("std"))
 
 
 @query(sql("filled", """SELECT f.series, f.date, round(CASE WHEN mean IS NULL AND std IS NULL THEN value WHEN std = 0 THEN 0 ELSE (value - mean) / std END, 3) + 0 AS value
     FROM filled f LEFT JOIN st ON f.series = st.series AND strftime(f.date, '%m-%d') = month_day WHERE CASE WHEN mean IS NULL AND std IS NULL THEN value WHEN std = 0 THEN 0 ELSE (value - mean) / std END IS NOT NULL""", SEASON))
-def seasonal_zscore(spark: S, sf: str, rows: str = "month(date) <> 2") -> DataFrame:
-    return scale.seasonal_zscore(filled(spark, sf), season(spark, sf, rows)).select("series", "date", (F.round("value", 3) + 0.0).alias("value"))
-
-
-WHOLE_YEAR = {n: ORACLE_SQL[n].replace(" WHERE month(date) <> 2", "") for n in ("seasonal_stats", "seasonal_lookup", "seasonal_zscore")}
-
+def seasonal_zscore(spark: S, sf: str) -> DataFrame:
+    return scale.seasonal_zscore(filled(spark, sf), season(spark, sf)).select("series", "date", (F.round("value", 3) + 0.0).alias("value"))
 
-@query(WHOLE_YEAR["seasonal_stats"])
-def seasonal_stats_whole_year(spark: S, sf: str) -> DataFrame:
-    return seasonal_stats(spark, sf, "true")
 
+# a lookup whose table lacks keys: the statistics of eleven months
+ELEVEN = SEASON.replace("FROM filled", "FROM filled WHERE month(date) <> 2")
 
-@query(WHOLE_YEAR["seasonal_lookup"])
-def seasonal_lookup_whole_year(spark: S, sf: str) -> DataFrame:
-    return seasonal_lookup(spark, sf, "true")
 
-
-@query(WHOLE_YEAR["seasonal_zscore"])
-def seasonal_zscore_whole_year(spark: S, sf: str) -> DataFrame:
-    return seasonal_zscore(spark, sf, "true")
+@query(sql("filled", """SELECT f.series, f.date, round(CASE WHEN mean IS NULL AND std IS NULL THEN value WHEN std = 0 THEN 0 ELSE (value - mean) / std END, 3) + 0 AS value
+    FROM filled f LEFT JOIN st ON f.series = st.series AND strftime(f.date, '%m-%d') = month_day WHERE CASE WHEN mean IS NULL AND std IS NULL THEN value WHEN std = 0 THEN 0 ELSE (value - mean) / std END IS NOT NULL""", ELEVEN))
+def seasonal_zscore_missing_keys(spark: S, sf: str) -> DataFrame:
+    some = season(spark, sf).where("month_day not like '02-%'")
+    return scale.seasonal_zscore(filled(spark, sf), some).select("series", "date", (F.round("value", 3) + 0.0).alias("value"))
 
 
 FLAGS = ["A", "N", "R"]
@@ -324,22 +336,14 @@ def unpivot_months(spark: S, sf: str) -> DataFrame:
     return align.unpivot_months(wide, "price").where("price is not null")
 
 
-@query(sql("filled", """SELECT series, date, w AS "window", t AS targets FROM (SELECT series, date, list([round(value, 2)]) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) AS w,
-    [round(lead(value, 1) OVER (PARTITION BY series ORDER BY date), 2), round(lead(value, 2) OVER (PARTITION BY series ORDER BY date), 2)] AS t FROM filled) WHERE len(w) = 36""").replace('w AS "window", t AS targets', "list_sum([x[1] for x in w])::BIGINT AS total, len(w)::INT AS n, round(t[1], 2) AS t1, round(t[2], 2) AS t2").replace("list([round(value, 2)])", "list([round(value)])"))
-def supervised_windows(spark: S, sf: str) -> DataFrame:
-    rows = filled(spark, sf).withColumn("v", F.round("value"))
-    out = features.supervised_windows(rows, ["v"], 36, 2, target="value")
-    total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x[0]).cast("bigint")
-    return out.select("series", "date", total.alias("total"), F.size("window").alias("n"), F.round(F.col("targets")[0], 2).alias("t1"), F.round(F.col("targets")[1], 2).alias("t2"))
-
-
-@query(sql("filled", """SELECT series, date, list_sum(w)::BIGINT AS total, len(w)::INT AS n, t1, t2, t3, t4, t5, t6 FROM (SELECT series, date, list(round(value)) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) AS w,
+@query(sql("filled", """SELECT series, date, list_sum(w)::BIGINT AS total, len(w)::INT AS n, array_to_string([x::BIGINT for x in w], ',') AS steps, t1, t2, t3, t4, t5, t6 FROM (SELECT series, date, list(round(value)) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) AS w,
     """ + ", ".join(f"round(lead(value, {h}) OVER (PARTITION BY series ORDER BY date), 2) AS t{h}" for h in range(1, 7)) + " FROM filled) WHERE len(w) = 36"))
-def supervised_windows_6(spark: S, sf: str) -> DataFrame:
-    """All six horizons."""
+def supervised_windows(spark: S, sf: str) -> DataFrame:
+    """All six horizons, and the window's values in their order."""
     out = features.supervised_windows(filled(spark, sf).withColumn("v", F.round("value")), ["v"], 36, 6, target="value")
     total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x[0]).cast("bigint")
-    return out.select("series", "date", total.alias("total"), F.size("window").alias("n"), *[F.round(F.col("targets")[h], 2).alias(f"t{h + 1}") for h in range(6)])
+    steps = F.concat_ws(",", F.transform("window", lambda x: x[0].cast("bigint").cast("string")))
+    return out.select("series", "date", total.alias("total"), F.size("window").alias("n"), steps.alias("steps"), *[F.round(F.col("targets")[h], 2).alias(f"t{h + 1}") for h in range(6)])
 
 
 @query("SELECT o_orderkey AS id, o_custkey AS px_custkey, o_orderdate::DATE AS px_date FROM (SELECT o_orderkey, o_custkey, o_orderdate FROM orders)")

@@ -103,6 +103,18 @@ def test_whole_windows(spark, name):
     assert against_sql(spark, SF, name, "orders", "customer", "nation")
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["mc_dropout_bounds", "rf_forecast_bounds", "supervised_windows", "batch_score"])
+def test_models_and_their_windows(spark, name):
+    assert against_sql(spark, SF, name, "orders", "customer", "nation")
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["write_forecast", "latest_forecast", "extract_point", "extract_to_csv", "append_cube", "stream_to_cube"])
+def test_all_items_count(spark, name):
+    assert against_sql(spark, SF, name, "lineitem", "customer")
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["mc_dropout_score", "rf_forecast"])
 def test_six_horizons_per_series(spark, name):
