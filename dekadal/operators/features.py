@@ -12,7 +12,9 @@ def delta(df: DataFrame, keys: list[str] = ["series"], time: str = "date", value
     return df.withColumn("delta", F.col(value) - F.lag(value).over(w))
 
 
-def rolling_min(df: DataFrame, keys: list[str] = ["series"], time: str = "date", value: str = "value", n: int = 18) -> DataFrame:  # noqa: B006
+def rolling_min(
+    df: DataFrame, keys: list[str] = ["series"], time: str = "date", value: str = "value", n: int = 18,
+) -> DataFrame:  # noqa: B006
     """Minimum of the last n rows by date, of fewer at the start."""
     w = Window.partitionBy(*keys).orderBy(time).rowsBetween(1 - n, 0)
     return df.withColumn("rolling_min", F.min(value).over(w))
@@ -26,7 +28,9 @@ def last_n(df: DataFrame, keys: list[str], time: str = "date", n: int = 1) -> Da
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
-def recent_slices(df: DataFrame, keys: list[str] = ["series"], time: str = "date", sizes: tuple[int, ...] = (180, 36)) -> DataFrame:  # noqa: B006
+def recent_slices(
+    df: DataFrame, keys: list[str] = ["series"], time: str = "date", sizes: tuple[int, ...] = (180, 36),
+) -> DataFrame:  # noqa: B006
     """A row per slice that a row belongs to: 0 is the whole record, n the last n rows."""
     w = Window.partitionBy(*keys).orderBy(F.desc(time))
     ranked = df.withColumn("__r", F.row_number().over(w))
@@ -47,7 +51,10 @@ def distinct_years(df: DataFrame, time: str = "date") -> DataFrame:
     return df.select(F.year(time).alias("year")).distinct()
 
 
-def supervised_windows(df: DataFrame, features: list[str], look_back: int = 36, ahead: int = 6, keys: list[str] = ["series"], time: str = "date", target: str | None = None, complete: bool = True) -> DataFrame:  # noqa: B006
+def supervised_windows(
+    df: DataFrame, features: list[str], look_back: int = 36, ahead: int = 6, keys: list[str] = ["series"],
+    time: str = "date", target: str | None = None, complete: bool = True,
+) -> DataFrame:  # noqa: B006
     """One row per key and date with the last look_back rows of the features as an array of arrays, oldest first, and
     the next ``ahead`` targets. complete keeps only full look-backs; targets beyond the data are null."""
     w = Window.partitionBy(*keys).orderBy(time)

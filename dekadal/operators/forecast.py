@@ -19,13 +19,19 @@ def z_interval(df: DataFrame, mean: str = "mean", std: str = "std", z: float = Z
     return df.withColumn("lower", F.col(mean) - z * F.col(std)).withColumn("upper", F.col(mean) + z * F.col(std))
 
 
-def forecast_accumulate(deltas: DataFrame, keys: list[str] = ["run_id"], order: str = "horizon", cols: tuple[str, ...] = ("delta", "lower", "upper"), prior: str = "prior") -> DataFrame:  # noqa: B006
+def forecast_accumulate(
+    deltas: DataFrame, keys: list[str] = ["run_id"], order: str = "horizon",
+    cols: tuple[str, ...] = ("delta", "lower", "upper"), prior: str = "prior",
+) -> DataFrame:  # noqa: B006
     """Level = prior + running sum of deltas, step by step for each bound; values below 0 become 0 afterwards."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return deltas.withColumns({c: clip_zero(F.col(prior) + F.sum(c).over(w)) for c in cols})
 
 
-def rescale_forecast(deltas: DataFrame, stats: DataFrame, prior: DataFrame, keys: list[str] = ["run_id"], order: str = "horizon", time: str = "date") -> DataFrame:  # noqa: B006
+def rescale_forecast(
+    deltas: DataFrame, stats: DataFrame, prior: DataFrame, keys: list[str] = ["run_id"], order: str = "horizon",
+    time: str = "date",
+) -> DataFrame:  # noqa: B006
     """Scaled deltas with std to levels with 95 % bounds: interval, unscaling by month-day, accumulation from the prior
     level, floor at 0. Bounds centre on the plain prediction."""
     bounded = z_interval(deltas, "delta", "std")
@@ -43,7 +49,10 @@ def peak_forecast(forecast: DataFrame, keys: list[str] = ["run_id"], time: str =
     return forecast.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.v").alias("peak"), F.date_from_unix_date((-F.col("b.d")).cast("int")).alias("peak_date"))
 
 
-def flood_alert(history: DataFrame, forecast: DataFrame, keys: list[str] = ["run_id"], as_of: Column | None = None, n: int = 18, threshold: float = 0.05, value: str = "value", level: str = "level") -> DataFrame:  # noqa: B006
+def flood_alert(
+    history: DataFrame, forecast: DataFrame, keys: list[str] = ["run_id"], as_of: Column | None = None, n: int = 18,
+    threshold: float = 0.05, value: str = "value", level: str = "level",
+) -> DataFrame:  # noqa: B006
     """Per key: the least of the last n values by date, the forecast's peak, the rise between, whether it exceeds the
     threshold, and the sentence of the alert (null without one)."""
     low = last_n(history, keys, n=n).groupBy(*keys).agg(F.min(value).alias("season_min"), F.max("date").alias("last_date"))
@@ -53,7 +62,10 @@ def flood_alert(history: DataFrame, forecast: DataFrame, keys: list[str] = ["run
     return rows.withColumn("alert", fired).withColumn("message", F.when(fired, said))
 
 
-def forecast_loss(pairs: DataFrame, keys: list[str] = ["run_id"], truth: str = "truth", predicted: str = "predicted", sign_weight: float = 20.0, sum_weight: float = 0.1) -> DataFrame:  # noqa: B006
+def forecast_loss(
+    pairs: DataFrame, keys: list[str] = ["run_id"], truth: str = "truth", predicted: str = "predicted",
+    sign_weight: float = 20.0, sum_weight: float = 0.1,
+) -> DataFrame:  # noqa: B006
     """Mean squared error times the mean sign penalty, plus the weighted mean squared difference of sequence sums. Two
     levels: sums per sequence, then one row."""
     e = F.col(truth) - F.col(predicted)
@@ -68,7 +80,10 @@ def forecast_metrics(pairs: DataFrame, keys: list[str] = [], truth: str = "truth
     return pairs.groupBy(*keys).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"))
 
 
-def focal_loss(pixels: DataFrame, size: int, gamma: float = 3.0, alpha: float = 0.95, border: int = 4, truth: str = "truth", p: str = "p", epsilon: float = 1e-7) -> DataFrame:
+def focal_loss(
+    pixels: DataFrame, size: int, gamma: float = 3.0, alpha: float = 0.95, border: int = 4, truth: str = "truth",
+    p: str = "p", epsilon: float = 1e-7,
+) -> DataFrame:
     """Mean focal loss over the pixels of patches without their rim."""
     inner = pixels.where(f"y between {border} and {size - border - 1} and x between {border} and {size - border - 1}")
     q = F.least(F.greatest(F.col(p), F.lit(epsilon)), F.lit(1 - epsilon))

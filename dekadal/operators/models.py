@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def batch_score(df: DataFrame, make_predict_fn: Callable, inputs: list[str], shape: list[int], n_outputs: int, batch_size: int = 32, name: str = "prediction") -> DataFrame:
+def batch_score(
+    df: DataFrame, make_predict_fn: Callable, inputs: list[str], shape: list[int], n_outputs: int,
+    batch_size: int = 32, name: str = "prediction",
+) -> DataFrame:
     """Apply any model in batches: make_predict_fn() loads it once per worker and returns a function of numpy arrays.
     Inputs are flat arrays of doubles that are reshaped to ``shape``."""
     predict = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()) if n_outputs > 1 else T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[shape] * len(inputs))
     return df.withColumn(name, predict(*inputs))
 
 
-def mc_dropout_score(df: DataFrame, make_predict_fn: Callable, keys: list[str], window: str, shape: list[int], ahead: int, n: int = 1000, batch_size: int = 32) -> DataFrame:
+def mc_dropout_score(
+    df: DataFrame, make_predict_fn: Callable, keys: list[str], window: str, shape: list[int], ahead: int,
+    n: int = 1000, batch_size: int = 32,
+) -> DataFrame:
     """(keys, sample, horizon, value): a model with noise scored n times, each with its own seed as second input."""
     seeds = df.repartition(*keys).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))  # a window moves once
     seeded = seeds.withColumn("__seed", F.pmod(F.xxhash64(*keys, "sample"), F.lit(2**31)).cast("double"))
@@ -28,7 +34,10 @@ def mc_dropout_score(df: DataFrame, make_predict_fn: Callable, keys: list[str],
     return scored.select(*keys, "sample", F.posexplode("__p").alias("horizon", "value")).where(F.col("horizon") < ahead)
 
 
-def rf_forecast(windows: DataFrame, k: int = 8, trees: int = 20, depth: int = 5, ahead: int = 6, keys: list[str] = ["series", "date"], seed: int = 5, z: float = 1.96) -> DataFrame:  # noqa: B006
+def rf_forecast(
+    windows: DataFrame, k: int = 8, trees: int = 20, depth: int = 5, ahead: int = 6,
+    keys: list[str] = ["series", "date"], seed: int = 5, z: float = 1.96,
+) -> DataFrame:  # noqa: B006
     """(keys, horizon, mean, std, lower, upper) for windows (flat array) whose targets are not known yet.
 
     PCA of the flattened window, one forest per horizon; the spread is that of the trees. Learns from the windows with

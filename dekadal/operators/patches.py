@@ -19,7 +19,10 @@ def starts(axis: str, size: int, stride: int, extent: int) -> Column:
     return F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.expr("cast(array() as array<bigint>)")), lambda k: (k * stride).cast("int"))
 
 
-def patch_windows(cube: DataFrame, height: int, width: int, size: int = 64, stride: int = 32, steps: int = 6, end_offset: int = 0, keys: list[str] = []) -> DataFrame:  # noqa: B006
+def patch_windows(
+    cube: DataFrame, height: int, width: int, size: int = 64, stride: int = 32, steps: int = 6, end_offset: int = 0,
+    keys: list[str] = [],
+) -> DataFrame:  # noqa: B006
     """(keys, y0, x0, data) of the patches over the last ``steps`` dates of each key before end_offset: data is sorted (step,
     channel, y, x, value) with y and x inside the patch. The cube is long: (keys, date, y, x, channel, value).
 
@@ -47,7 +50,10 @@ def crop_border(pixels: DataFrame, size: int, border: int = 4) -> DataFrame:
     return pixels.where(f"y between {border} and {size - border - 1} and x between {border} and {size - border - 1}")
 
 
-def mosaic_mean(pixels: DataFrame, height: int, width: int, size: int, border: int = 4, keys: list[str] = [], value: str = "value") -> DataFrame:  # noqa: B006
+def mosaic_mean(
+    pixels: DataFrame, height: int, width: int, size: int, border: int = 4, keys: list[str] = [],
+    value: str = "value",
+) -> DataFrame:  # noqa: B006
     """Mean over the cropped patches that cover a cell, on the full grid; cells without a patch are null."""
     inner = crop_border(pixels, size, border)
     means = inner.groupBy(*keys, (F.col("y0") + F.col("y")).alias("y"), (F.col("x0") + F.col("x")).alias("x")).agg(F.avg(value).alias(value))
@@ -56,7 +62,10 @@ def mosaic_mean(pixels: DataFrame, height: int, width: int, size: int, border: i
     return grid.join(means, [*keys, "y", "x"], "left")
 
 
-def rank_mask(prob: DataFrame, pct: DataFrame | float, keys: list[str] = ["scenario"], value: str = "value", denominator: str = "valid") -> DataFrame:  # noqa: B006
+def rank_mask(
+    prob: DataFrame, pct: DataFrame | float, keys: list[str] = ["scenario"], value: str = "value",
+    denominator: str = "valid",
+) -> DataFrame:  # noqa: B006
     """The top cells by value as 0/1: n = round half even(pct * cells), ties of the n-th included, n = 0 is empty.
 
     Two passes, so that no task ranks a whole map: cells are counted in 4096 value buckets per key, the bucket with the

@@ -12,7 +12,9 @@ from ..functions.scalar import safe_divide
 SCALER_ROWS = 804
 
 
-def fit_scaler(df: DataFrame, keys: list[str] = ["series"], time: str = "date", value: str = "value", first_n: int = SCALER_ROWS) -> DataFrame:  # noqa: B006
+def fit_scaler(
+    df: DataFrame, keys: list[str] = ["series"], time: str = "date", value: str = "value", first_n: int = SCALER_ROWS,
+) -> DataFrame:  # noqa: B006
     """Mean and population standard deviation of the first rows of each series."""
     w = Window.partitionBy(*keys).orderBy(time)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= first_n).groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
@@ -44,7 +46,9 @@ def seasonal_lookup(df: DataFrame, stats: DataFrame, keys: list[str] = ["series"
     return df.withColumn("month_day", cal.month_day(time)).join(stats, [*keys, "month_day"], "left")
 
 
-def seasonal_zscore(df: DataFrame, stats: DataFrame, keys: list[str] = ["series"], time: str = "date", value: str = "value") -> DataFrame:  # noqa: B006
+def seasonal_zscore(
+    df: DataFrame, stats: DataFrame, keys: list[str] = ["series"], time: str = "date", value: str = "value",
+) -> DataFrame:  # noqa: B006
     """z-score by month-day: std 0 gives 0, no statistics leave the value; rows that are null then are dropped."""
     rows = seasonal_lookup(df, stats, keys, time)
     z = F.when(F.col("mean").isNull() & F.col("std").isNull(), F.col(value)).when(F.col("std") == 0, F.lit(0.0)).otherwise(safe_divide(F.col(value) - F.col("mean"), F.col("std")))
