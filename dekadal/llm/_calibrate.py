@@ -15,7 +15,9 @@ def isotonic(scored: DataFrame, score: str = "raw", label: str = "label") -> tup
 
     Without rows of both classes: the raw score, clipped to 0..1.
     """
-    bins = scored.groupBy(F.round(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col(score))) * BINS).cast("int").alias("bin")).agg(F.sum(F.col(label).cast("double")).alias("y"), F.count("*").alias("n"))
+    clipped = F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col(score)))
+    bins = scored.groupBy(F.round(clipped * BINS).cast("int").alias("bin"))
+    bins = bins.agg(F.sum(F.col(label).cast("double")).alias("y"), F.count("*").alias("n"))
     rows = sorted((r["bin"], r["y"], r["n"]) for r in bins.collect())
     if not rows or sum(r[1] for r in rows) in (0, sum(r[2] for r in rows)):
         return np.array([0.0, 1.0]), np.array([0.0, 1.0])

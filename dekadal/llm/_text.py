@@ -7,33 +7,43 @@ them alike is a class of bytes.
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass handles; a longer document is a chunk of its own.
-CHUNK = 1 << 20
-#: Rows that Spark hands to Python at once; long documents make larger rows, not more of them.
-BATCH_ROWS = 512
+#: Bytes of text that one numpy pass handles; a longer document is a chunk of its own, hashed in blocks of this size.
+CHUNK = 1 << 18
+#: Settings of a session whose tasks hand texts to Python: rows and bytes of an Arrow batch. A longer row is a batch alone.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that a batch of very long documents still fits a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """A session with Arrow batches of a few megabytes. The queries and stages, which are applications, call this for the
+    session that they are given; the operators leave sessions as they are and work with any size of batch."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, str(value))
     return spark
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder, which
+    goes when the driver ends; a cluster has no such folder that all its machines share, so there this is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="dekadal-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
@@ -84,27 +94,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 _MULT = 0x9E3779B97F4A7C15
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULT))
 _INV = np.uint64(pow(_MULT, -1, 1 << 64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(0)
-    if have is None or len(have[0]) < n + 1:
-        size = max(n + 1, CHUNK + 1)
-        p, q = np.full(size, np.uint64(_MULT)), np.full(size, _INV)
-        p[0] = q[0] = 1
-        have = np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64)
-        if size <= 4 * CHUNK:
-            _powers[0] = have
-    return have
+_POWER = np.full(CHUNK, np.uint64(_MULT))
+_POWER[0] = 1
+_POWER = np.cumprod(_POWER, dtype=np.uint64)
+_INVERSE = np.full(CHUNK, _INV)
+_INVERSE[0] = 1
+_INVERSE = np.cumprod(_INVERSE, dtype=np.uint64)
 
 
 def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte run ``buf[start:end]``, from one running sum over the buffer."""
-    p, q = _power(len(buf))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * p[: len(buf)], dtype=np.uint64, out=total[1:])
-    return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each byte run ``buf[start:end]``, from one running sum over the buffer. Starts rise, and so do
+    ends. The sum is taken in blocks, so that a long text needs memory for its runs only."""
+    below, scale = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    upto = np.zeros(len(ends), np.uint64)
+    carry, power, inverse = np.uint64(0), 1, 1  # at the block's first byte
+    for at in range(0, len(buf) + 1, CHUNK):
+        block = buf[at : at + CHUNK]
+        sums = np.empty(len(block) + 1, np.uint64)
+        sums[0] = carry
+        np.cumsum(_BYTE[block] * (_POWER[: len(block)] * np.uint64(power)), dtype=np.uint64, out=sums[1:])
+        sums[1:] += carry
+        own = slice(*np.searchsorted(starts, [at, at + CHUNK]))
+        below[own] = sums[starts[own] - at]
+        scale[own] = _INVERSE[starts[own] - at] * np.uint64(inverse)
+        own = slice(*np.searchsorted(ends, [at, at + CHUNK]))
+        upto[own] = sums[ends[own] - at]
+        carry = sums[-1]
+        power, inverse = power * pow(_MULT, CHUNK, 1 << 64) % (1 << 64), inverse * pow(int(_INV), CHUNK, 1 << 64) % (1 << 64)
+    return mix((upto - below) * scale + (ends - starts).astype(np.uint64))
 
 
 def hash_word(word: str) -> int:
@@ -126,6 +143,18 @@ def runs(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def running(mask: np.ndarray) -> np.ndarray:
+    """How many places before each one, and before the end, the mask has. A text is below 2 GB, as Arrow's strings are."""
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, dtype=np.int32, out=out[1:])
+    return out
+
+
+def hits(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many places of each document's slice the mask has."""
+    return np.diff(running(mask)[offs]).astype(np.int64)
+
+
 def per_doc(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sums of values over each document's slice."""
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
@@ -157,12 +186,19 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         row = stop
 
 
+def give_back() -> None:
+    """Return what a finished task has freed to the system: workers live on, and wait beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(df: DataFrame, schema: str, each: Callable, keep: list[str], text: str = "text") -> DataFrame:
     """Apply ``each(bytes, offsets) -> dict of columns`` to the texts, batch by batch; columns in keep pass through.
 
-    Other columns of df are not read, whatever their names.
+    Other columns of df are not read, whatever their names. Texts reach ``each`` in chunks of about CHUNK bytes, a longer
+    text by itself and whole.
     """
-    tuned(df.sparkSession)
     kept = df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches):
@@ -173,28 +209,44 @@ def map_texts(df: DataFrame, schema: str, each: Callable, keep: list[str], text:
                 cols = [batch.column(i).slice(row, stop - row) for i in range(len(keep))]
                 cols += [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *made])
+        give_back()
 
     types = dict(kept.dtypes)
     return kept.mapInArrow(run, ", ".join([f"`{k}` {types[k]}" for k in keep] + [schema]))
 
 
-#: Bits of an id filter: 8 MB, whatever the number of ids. With more than some tens of millions of ids it lets ever more
-#: others pass, which costs time and changes no result.
-FILTER_BITS = 1 << 26
+#: Bits of an id filter: its table of 64-bit words has at most FILTER_BITS / 64 rows, whatever the number of ids, which
+#: bounds its broadcast by some 10 MB. More than tens of millions of ids let ever more other rows pass, which costs time and
+#: changes no result.
+FILTER_BITS = 1 << 24
 
 
-def id_hashes(id_col: str) -> list:
-    return [F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)]
+def _place(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(FILTER_BITS))
 
 
-def id_filter(ids: DataFrame, id_col: str) -> np.ndarray:
-    """A Bloom filter of the ids, as 64-bit words; built by a bitwise aggregation of at most FILTER_BITS / 64 rows."""
-    at = ids.select(F.explode(F.array(*id_hashes(id_col))).alias("at"))
-    words = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
+def id_filter(ids: DataFrame, id_col: str) -> DataFrame:
+    """(__word, __bits): a bit for each hash class of ids that the table of ids has."""
+    at = ids.select(_place(id_col).alias("at"))
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("__bits")
+    return saved(at.groupBy(F.floor(F.col("at") / 64).alias("__word")).agg(bits), "id-filter")
+
+
+def passing(docs: DataFrame, id_col: str, words: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose id the filter lets pass (or, ``left_anti``, those whose id is surely not among its ids). The filter
+    is a hash table in every task, so no text is shuffled."""
+    set_ = F.getbit(F.col("__bits"), (_place(id_col) % 64).cast("int")) == 1
+    return docs.join(F.broadcast(words), (F.floor(_place(id_col) / 64) == F.col("__word")) & set_, how)
+
+
+def having(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is in ids, a saved table; only rows that an id filter lets pass are shuffled."""
+    return passing(docs, id_col, id_filter(ids, id_col)).join(ids.select(id_col).distinct(), id_col, "left_semi").select(docs.columns)
 
 
-def passing(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+def lacking(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not in ids, a saved table, null ids among them; only rows that an id filter lets pass
+    are shuffled."""
+    words = id_filter(ids, id_col)
+    perhaps = passing(docs, id_col, words).join(ids.select(id_col).distinct(), id_col, "left_anti")
+    return passing(docs, id_col, words, "left_anti").select(docs.columns).union(perhaps.select(docs.columns))

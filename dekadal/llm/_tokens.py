@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from ._text import LOWER, byte_table
 
-#: Pieces that a worker's cache holds before it starts anew.
-CACHE = 600_000
+#: Bytes that a worker's cache takes before it starts anew; a piece counts with PIECE bytes besides its characters.
+CACHE, PIECE = 48 << 20, 160
 SPACE, LETTER, OTHER, WHOLE = range(4)
 CLASS = np.full(256, OTHER, np.uint8)
 CLASS[byte_table((0x20, 0x20), (0x09, 0x0D))] = SPACE
@@ -60,7 +60,7 @@ class WordTokenizer:
     def _clear(self) -> None:
         self.slot: dict[str, int] = {}  # piece -> its place in the two arrays
         self.starts, self.sizes, self.store = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 17, np.uint32)
-        self.ids = 0
+        self.ids = self.bytes = 0
 
     def ends_of_sentence(self) -> np.ndarray:
         """True for the ids that end a sentence."""
@@ -90,13 +90,14 @@ class WordTokenizer:
             self.starts[n : n + len(some)] = m + np.cumsum(size) - size
             self.slot.update(zip(some, range(n, n + len(some)), strict=True))
             self.ids = m + len(ids)
+            self.bytes += PIECE * len(some) + sum(map(len, some)) + 4 * len(ids)
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the ids' offsets per text."""
         low, at = piece_bounds(buf, offs)
         cut = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(low)).dictionary_encode()
         pieces = cut.dictionary.to_pylist()
-        if len(self.slot) > CACHE:
+        if self.bytes > CACHE:
             self._clear()
         fresh = [p for p in pieces if p not in self.slot]
         if fresh:
