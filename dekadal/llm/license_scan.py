@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._text import ALNUM_LOWER, LOWER, hash_word, map_texts, run_hashes, runs, table
+from ._text import ALNUM_LOWER, LOWER, hash_word, map_texts, run_hashes, runs, table, tuned
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -49,11 +49,12 @@ class Automaton:
     def __init__(self, strings: list[list[str]]):
         self.vocab = {w: i for i, w in enumerate(sorted({w for s in strings for w in s}))}
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.place = [-1], [0], [(-1, -1)]
+        self.link, self.length, self.place = [-1], [0], [()]
         for k, s in enumerate(strings):
             last = 0
             for i, w in enumerate(s):
-                last = self._add(last, self.vocab[w], (k, i))
+                last = self._add(last, self.vocab[w])
+                self.place[last] += ((k, i),)
         n, m = len(self.next), len(self.vocab)
         self.goto, self.cap = np.zeros((n, m), np.int32), np.full((n, m), -1, np.int32)
         for s in sorted(range(n), key=self.length.__getitem__):
@@ -62,28 +63,46 @@ class Automaton:
             for a, t in self.next[s].items():
                 self.goto[s, a], self.cap[s, a] = t, self.length[s]
 
-    def _state(self, length: int, place: tuple[int, int]) -> int:
+        self.matches = self._matches()
+
+    def _matches(self) -> list[list[tuple[int, int, list[int]]]]:
+        """Per state the strings that hold a suffix of what the state reads: (string, length of the longest such suffix, its
+        last places in the string). A state's places are its own and those of the states whose links lead to it."""
+        ends: list[dict[int, set[int]]] = [{} for _ in self.link]
+        by_length = sorted(range(len(self.link)), key=self.length.__getitem__)
+        for s in reversed(by_length):
+            for k, i in self.place[s]:
+                ends[s].setdefault(k, set()).add(i)
+            if self.link[s] > 0:
+                for k, own in ends[s].items():
+                    ends[self.link[s]].setdefault(k, set()).update(own)
+        found: list[dict[int, tuple[int, list[int]]]] = [{} for _ in self.link]
+        for s in by_length[1:]:
+            found[s] = found[self.link[s]] | {k: (self.length[s], sorted(own)) for k, own in ends[s].items()}
+        return [[(k, n, own) for k, (n, own) in sorted(f.items())] for f in found]
+
+    def _state(self, length: int) -> int:
         self.next.append({})
         self.link.append(0)
         self.length.append(length)
-        self.place.append(place)
+        self.place.append(())
         return len(self.next) - 1
 
     def _split(self, p: int, q: int, a: int) -> int:
         """The state of strings of length at most length[p] + 1 in q; q itself if it has no longer ones."""
         if self.length[q] == self.length[p] + 1:
             return q
-        c = self._state(self.length[p] + 1, self.place[q])
+        c = self._state(self.length[p] + 1)
         self.next[c], self.link[c], self.link[q] = dict(self.next[q]), self.link[q], c
         while p >= 0 and self.next[p].get(a) == q:
             self.next[p][a] = c
             p = self.link[p]
         return c
 
-    def _add(self, last: int, a: int, place: tuple[int, int]) -> int:
+    def _add(self, last: int, a: int) -> int:
         if a in self.next[last]:  # another template has this prefix
             return self._split(last, self.next[last][a], a)
-        new, p = self._state(self.length[last] + 1, place), last
+        new, p = self._state(self.length[last] + 1), last
         while p >= 0 and a not in self.next[p]:
             self.next[p][a] = new
             p = self.link[p]
@@ -117,7 +136,10 @@ class Scanner:
     """Labels of licences in documents. min_match: words of a match that chaining takes; max_gap: words between two
     matches of one chain; min_words and min_cover: what a chain must cover to count as a label."""
 
-    def __init__(self, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, min_match: int = 4, max_gap: int = 8, min_words: int = 8, min_cover: float = 0.5):
+    def __init__(
+        self, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, min_match: int = 4,
+        max_gap: int = 8, min_words: int = 8, min_cover: float = 0.5,
+    ):
         self.templates = [(label, words(t)) for label, t in templates]
         self.phrases = [(words(p), label) for p, label in phrases.items()]
         self.sam = Automaton([t for _, t in self.templates] + [p for p, _ in self.phrases])
@@ -134,31 +156,43 @@ class Scanner:
             self.ends.append((top, below, len(p), label))
 
     def chains(self, at: np.ndarray, state: np.ndarray, length: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(label, first word, word after the last, covered share) of one document's chains of long matches."""
-        peak = length >= self.min_match
-        peak[:-1] &= ~((at[1:] == at[:-1] + 1) & (length[1:] == length[:-1] + 1))
-        found, open_ = [], {}
-        for i in np.flatnonzero(peak):
-            k, end = self.sam.place[state[i]]
-            if k >= len(self.templates):
+        """(label, first word, word after the last, covered share) of one document's chains of long matches.
+
+        Every template that holds a match is credited with it. Where chains of several templates overlap, those that cover
+        the most words stay, all of them on a tie, since templates share long passages.
+        """
+        by_template: dict[int, list[tuple[int, int, list[int]]]] = {}
+        for i in np.flatnonzero(length >= self.min_match).tolist():
+            for k, most, ends in self.sam.matches[state[i]]:
+                size = min(most, int(length[i]))
+                if size >= self.min_match and k < len(self.templates):
+                    by_template.setdefault(k, []).append((int(at[i]) + 1, size, ends))
+        found = [(k, *c) for k, rows in by_template.items() for c in self.chain(rows)]
+        long = [c for c in found if c[3] >= self.min_words or c[3] >= self.min_cover * len(self.templates[c[0]][1])]
+        best: list[tuple[int, int, int, int]] = []
+        for c in sorted(long, key=lambda c: -c[3]):
+            if not any(o[3] > c[3] and o[1] < c[2] and c[1] < o[2] for o in best):
+                best.append(c)
+        return sorted((self.templates[k][0], first, stop, n / len(self.templates[k][1])) for k, first, stop, n in best)
+
+    def chain(self, rows: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, int]]:
+        """(first word, word after the last, covered words) of one template's matches (word after it, length, last places in
+        the template), by rising word. A match counts where it is longest; it joins the chain before it if the gap is small
+        and it has a place in the template not before that chain's; of several places, it takes the first."""
+        out: list[tuple[int, int, int]] = []
+        open_: list[int] | None = None  # first, stop, covered, place in the template
+        for j, (stop, size, ends) in enumerate(rows):
+            if j + 1 < len(rows) and rows[j + 1][0] == stop + 1 and rows[j + 1][1] == size + 1:
+                continue
+            place = next((e for e in ends if open_ and e >= open_[3]), None)
+            if open_ and place is not None and stop - size - open_[1] <= self.max_gap:
+                new = max(0, min(size, stop - open_[1], place - open_[3]))
+                open_ = [open_[0], stop, open_[2] + new, place]
                 continue
-            size, stop = int(length[i]), int(at[i]) + 1
-            chain = open_.get(k)
-            if chain is None or stop - size - chain[1] > self.max_gap or end < chain[3]:
-                if chain:
-                    found.append((k, *chain))
-                chain = [stop - size, stop, 0, end]
-                new = size
-            else:
-                new = min(size, stop - chain[1], end - chain[3])
-            open_[k] = [chain[0], stop, chain[2] + max(0, new), end]
-        found += [(k, *c) for k, c in open_.items()]
-        out = []
-        for k, first, stop, n, _ in found:
-            label, t = self.templates[k]
-            if n >= self.min_words or n >= self.min_cover * len(t):
-                out.append((label, first, stop, n / len(t)))
-        return sorted(out)
+            if open_:
+                out.append((open_[0], open_[1], open_[2]))
+            open_ = [stop - size, stop, size, ends[0]]
+        return [*out, (open_[0], open_[1], open_[2])] if open_ else out
 
     def scan(self, buf: np.ndarray, offs: np.ndarray) -> dict:
         buf = LOWER[buf]
@@ -187,7 +221,7 @@ class Scanner:
                 base[d].add(label)
         spans: list[list] = [[] for _ in range(docs)]
         for d in np.unique(doc[length >= self.min_match]):
-            own = doc == d if docs < 4 else slice(*np.searchsorted(doc, [d, d + 1]))
+            own = slice(*np.searchsorted(doc, [d, d + 1]))
             spans[d] = self.chains(place[own] - wo[d], state[own], length[own])
         none = n_base == 0
         labels = [b | {s[0] for s in x} for b, x in zip(base, spans, strict=True)]
@@ -211,10 +245,12 @@ def scan_licenses(df: DataFrame, scanner: Scanner | None = None, id_col: str = "
     """One row per input row, with the licence spans (``label:first word:word after the last``) and labels of its text.
 
     No shuffle: the automaton (a few thousand states, fixed by the templates) goes to the tasks with the function.
-    Null and empty texts have no words, no labels and score 0; repeated rows stay; extra columns are not read.
+    Null and empty texts have no words, no labels and score 0; a null id passes through; repeated rows stay, and an empty
+    table gives none. Chains that cover equally many words of the same place all count. A very long text is scanned whole,
+    in memory of some 30 bytes a byte. Extra columns are not read.
     """
     return map_texts(df, SCHEMA, (scanner or Scanner()).scan, [id_col], text)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(tuned(spark), sf_dir, "documents"))
