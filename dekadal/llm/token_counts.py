@@ -1,84 +1,148 @@
 """Token counts: separator scan over flat, unindexed token files.
 
-A token file is nothing but little-endian ids, each document ended by a separator id. Files are read in blocks; each
-block searches its ids for the separator at once and keeps the lengths between, before the first and after the last. A
-running sum over the blocks of a file then stitches the documents that cross block boundaries.
+A token file is nothing but little-endian ids, each document ended by a separator id. Files are read in blocks, each a byte
+range and a row of its own, so that a file of any size spreads over tasks; each block searches its ids for the separator
+at once and keeps the lengths between, before the first and after the last. A running sum over the blocks of a file then
+stitches the documents that cross block boundaries.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import map_texts, shared_dir, table
+from ._text import map_texts, saved, shared_dir, table, tuned
 from ._tokens import default_vocabulary, tokenizer
 
-#: <|endoftext|> of the vocabulary of words, which no text's ids hold (texts that spell it out apart).
-END = 49407
+#: The first id beyond the vocabulary of words, which therefore no text's ids hold, not even those of a text that spells
+#: out a special token.
+END = 49408
+#: Bytes of token files that one task searches.
+TASK_BYTES = 32 << 20
+
+
+def write_token_files(
+    docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END, text: str = "text", width: int = 2,
+) -> None:
+    """Write the ids of the texts as flat files of ids of ``width`` bytes (2 or 4), one file a partition, its documents in
+    the partition's order. Null and empty texts are an end id alone; repeated rows are written each; a very long text is
+    one document, tokenised in one task; an empty table makes files without ids; other columns are not read.
 
+    An id that does not fit the width, and a text that holds the end id, are errors: neither could be read back.
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END, text: str = "text") -> None:
-    """Write the ids of the texts as flat files of 16-bit ids, one file a partition, with Spark's own text writer: a
-    document is a line of raw bytes, and the line separator is the end id. Null and empty texts are an end id alone."""
+    Spark's own text writer does the writing, so that files are committed as Spark commits any output, to any store: a
+    document is a line, and the line separator is the end id. This rests on the writer passing on the bytes of a line as
+    they are, which it does without a compression codec; the tests read the files back id by id.
+    """
     vocabulary = vocabulary or default_vocabulary()
+    if not 0 <= end_id < 1 << 8 * width:
+        raise ValueError(f"end id {end_id} does not fit {width} bytes")
 
     def each(buf: np.ndarray, offs: np.ndarray) -> dict:
         ids, at = tokenizer(vocabulary).encode(buf, offs)
-        ids = np.where(ids == end_id, 0, ids)  # a text that spells out the end token
-        data = pa.py_buffer(np.ascontiguousarray(ids, "<u2"))
-        return {"ids": pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int32)), data])}
+        if len(ids) and int(ids.max()) >= 1 << 8 * width:
+            raise ValueError(f"id {int(ids.max())} does not fit {width} bytes; write with a larger width")
+        if (ids == end_id).any():
+            raise ValueError(f"a text holds the end id {end_id}; take one beyond the vocabulary")
+        data = pa.py_buffer(np.ascontiguousarray(ids, f"<u{width}"))
+        return {"ids": pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((width * at).astype(np.int32)), data])}
 
     lines = map_texts(docs, "ids binary", each, [], text).select(F.col("ids").cast("string").alias("value"))
-    separator = int(end_id).to_bytes(2, "little").decode("latin-1")
-    lines.write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
+    separator = int(end_id).to_bytes(width, "little").decode("latin-1")
+    lines.write.options(lineSep=separator, encoding="ISO-8859-1", compression="none").text(path)
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file of any store that Arrow knows, by the path that Spark lists."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + (rest or path).lstrip("/"))
+    store, name = fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + quote(rest))
+    return store.open_input_file(name)
 
 
-def token_counts(spark: SparkSession, path: str, end_id: int = END, block_ids: int = 1 << 17) -> DataFrame:
+def token_counts(spark: SparkSession, path: str, end_id: int = END, block_ids: int = 1 << 17, width: int = 2) -> DataFrame:
     """(file, document, start, n_tokens) of the documents of the token files below path: document counts from 0 in its
     file, start is the place of its first id, n_tokens leaves out the separator. Ids after the last separator of a file
-    are a document of their own; an empty file has none.
+    are a document of their own; an empty file has none, and so has an empty folder's table; a document may be longer than
+    a block, or than many. A file whose bytes are no whole number of ids is an error.
 
-    Blocks of block_ids ids are searched independently; only one summary row a block is ordered within its file. Spark
-    reads a file of up to 2 GB as one row, so files are to be written of moderate size, as write_token_files does.
+    A block of block_ids ids is a row and is searched independently; TASK_BYTES of blocks make a task. Only one summary
+    row a block, without the documents inside it, is ordered within its file.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    width = 2 * block_ids
-    numbered = files.select("file", "content", F.explode(F.sequence(F.lit(0), F.greatest((F.octet_length("content") - 1) / width, F.lit(0)).cast("int"))).alias("block"))
-    blocks = numbered.select("file", "block", F.expr(f"substring(content, block * {width} + 1, {width})").alias("ids")).where(F.octet_length("ids") > 0)
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")  # contents are not read
+    size = files.agg(F.sum("length")).first()[0] or 0
+    step = width * block_ids
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {step}"))).alias("block"))
+    blocks = ranges.selectExpr("path", "block", f"least({step}, length - block * {step}) as n_bytes").repartition(max(1, -(-size // TASK_BYTES)))
+    whole, lists = ("block", "size", "ends", "head", "tail"), ("inner", "starts")
+    schema = pa.schema([("file", pa.string()), *[(c, pa.int64()) for c in whole], *[(c, pa.list_(pa.int64())) for c in lists]])
+    spark_schema = ", ".join(["file string", *[f"{c} long" for c in whole], *[f"{c} array<bigint>" for c in lists]])
 
     def search(batches):
         for batch in batches:
             rows = []
-            for file, block, ids in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                v = np.frombuffer(ids.as_buffer(), "<u2")
+            for name, block, n_bytes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with opened(name) as file:
+                    v = np.frombuffer(file.read_at(n_bytes, block * step), f"<u{width}")
                 at = np.flatnonzero(v == end_id)
-                inner = np.diff(at) - 1
-                rows.append({"file": file.as_py(), "block": block.as_py(), "size": len(v), "ends": len(at), "head": int(at[0]) if len(at) else len(v), "tail": len(v) - 1 - int(at[-1]) if len(at) else len(v), "inner": inner.tolist(), "starts": (at[:-1] + 1).tolist()})
+                row = {"file": name.rsplit("/", 1)[-1], "block": block, "size": len(v), "ends": len(at)}
+                row |= {"head": int(at[0]), "tail": len(v) - 1 - int(at[-1])} if len(at) else {"head": len(v), "tail": len(v)}
+                rows.append(row | {"inner": (np.diff(at) - 1).tolist(), "starts": (at[:-1] + 1).tolist()})
+                if len(rows) == 64:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    schema = pa.schema([("file", pa.string()), ("block", pa.int32()), ("size", pa.int64()), ("ends", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("inner", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
-    found = blocks.mapInArrow(search, "file string, block int, size long, ends long, head long, tail long, inner array<bigint>, starts array<bigint>")
+    found = saved(blocks.mapInArrow(search, spark_schema), "token-blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    scanned = found.drop(*lists).withColumns({"seen": so_far("size"), "documents": so_far("ends")})
     # ids since the last separator before this block: the sum of all sizes less that up to that separator
-    seen = F.coalesce(F.sum("size").over(before), F.lit(0))
-    scanned = found.withColumn("seen", seen).withColumn("documents", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     scanned = scanned.withColumn("closed", F.when(F.col("ends") > 0, F.col("seen") + F.col("size") - F.col("tail")))
     scanned = scanned.withColumn("since", F.coalesce(F.max("closed").over(before), F.lit(0)))
     last = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block"))) == 1
-    scanned = scanned.withColumn("last", last).withColumn("open", F.col("seen") + F.col("size") - F.coalesce(F.max("closed").over(upto), F.lit(0)))
-    document = "struct({} as k, {} as start, {} as n_tokens)"
-    first = F.when(F.col("ends") > 0, F.array(F.expr(document.format("documents", "since", "seen + head - since"))))
-    inner = F.transform(F.arrays_zip("starts", "inner"), lambda x, k: F.struct((F.col("documents") + k + 1).alias("k"), (F.col("seen") + x["starts"]).alias("start"), x["inner"].alias("n_tokens")))
-    rest = F.when(F.col("last") & (F.col("open") > 0), F.array(F.expr(document.format("documents + ends", "seen + size - open", "open"))))
+    left = F.col("seen") + F.col("size") - F.coalesce(F.max("closed").over(upto), F.lit(0))
+    scanned = scanned.withColumn("last", last).withColumn("open", left)
+    one = "struct({} as k, {} as start, {} as n_tokens)"
+    first = F.when(F.col("ends") > 0, F.array(F.expr(one.format("documents", "since", "seen + head - since"))))
+    rest = F.when(F.col("last") & (F.col("open") > 0), F.array(F.expr(one.format("documents + ends", "seen + size - open", "open"))))
+    stitched = scanned.select("file", "block", "documents", "seen", first.alias("first"), rest.alias("rest"))
+    number, start = (lambda k: F.col("documents") + k + 1), (lambda x: F.col("seen") + x["starts"])
+    inner = F.transform(F.arrays_zip("starts", "inner"), lambda x, k: F.struct(number(k).alias("k"), start(x).alias("start"), x["inner"].alias("n_tokens")))
+    rows = found.select("file", "block", "inner", "starts").join(stitched, ["file", "block"])
     none = F.slice(inner, 1, 0)
-    rows = scanned.select("file", F.inline(F.concat(F.coalesce(first, none), inner, F.coalesce(rest, none))))
+    rows = rows.select("file", F.inline(F.concat(F.coalesce("first", none), inner, F.coalesce("rest", none))))
     return rows.select("file", F.col("k").alias("document"), "start", "n_tokens")
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, shard, document): which line of which file write_token_files makes of each row. It holds for a table whose
+    scan deals its rows alike each time, as that of files does."""
+
+    def run(batches):
+        shard, document = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = len(batch)
+            columns = [batch.column(0), pa.array(np.full(n, shard)), pa.array(np.arange(document, document + n))]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "shard", "document"])
+            document += n
+
+    return docs.select(id_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, shard long, document long")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, shard, document, start, n_tokens): the documents as token files, and their counts from these; a file's
+    shard is the number of the task that wrote it, so that two runs compare."""
+    docs = table(tuned(spark), sf_dir, "documents")
     path = shared_dir(spark, "token-files")
-    write_token_files(table(spark, sf_dir, "documents"), path)
-    return token_counts(spark, path)
+    write_token_files(docs, path)
+    counts = token_counts(spark, path).withColumn("shard", F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"))
+    return numbered(docs).join(counts, ["shard", "document"]).select("doc_id", "shard", "document", "start", "n_tokens")
