@@ -2,26 +2,26 @@
 
 The field learns from a small labelled table and labels white-space tokens in begin/inside/outside form. Decoding takes
 the tokens around those with a digit or an @ sign (no other shape can begin a span), many sequences at once, by Viterbi
-steps over numpy batches.
+steps over numpy batches. All searches take time that grows with the text, whatever it holds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import byte_table, map_texts, per_doc, table, tuned
+from ._text import byte_table, give_back, hits, map_texts, table, tuned
 
 # The patterns of the contract, and the order of kinds.
 BASE_KINDS = ["email", "ip", "card", "phone"]
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Of an address, runs of all its characters, and what follows its @ sign.
 AROUND_AT = re.compile(r"[A-Za-z0-9._%+@-]+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 #: A try in the middle of a run of digits fails as the one at its beginning did, so it is left out.
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -80,6 +80,8 @@ model x200 weighs 1.5kg
 """.strip().split("\n")
 
 LABELS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
+#: Tokens that a batch of sequences holds, and different ones whose scores a worker keeps.
+CELLS, TOKENS = 1 << 13, 50_000
 #: Tokens to either side of one with a digit or @ that belong to its sequence.
 REACH = 3
 TRIGGER = re.compile(r"[0-9@]")
@@ -89,19 +91,20 @@ SHAPE = [(re.compile("[a-z]+"), "a"), (re.compile("[A-Z]+"), "A"), (re.compile(r
 DIGITS = re.compile("[0-9]+")
 
 
-@lru_cache(maxsize=50_000)
 def observations(token: str) -> tuple[str, ...]:
-    """Features of one token; very long tokens are described by their shape, however long."""
+    """Features of one token, all from the whole of it: a long shape is described by the characters that it has."""
     core = token.strip(EDGE)
-    shape = core[:400]
+    shape = core
     for pattern, letter in SHAPE:
         shape = pattern.sub(letter, shape)
     shape = DIGITS.sub(lambda m: "0" * min(len(m[0]), 5) if len(m[0]) < 12 else "L" if len(m[0]) < 20 else "XL", shape)
+    if len(shape) > 24:
+        shape = "long " + "".join(sorted(set(shape)))
     digits = sum(c.isdigit() for c in core)
     n = len(core)
     mixed = digits > 0 and any(c.isalpha() for c in core)
     return (
-        f"s={shape[:24]}", f"p={token[:1]}", f"e={token[-1:]}", f"n={min(n, 8) if n < 16 else 16 if n < 24 else 24}", f"d={min(digits, 6) if digits < 12 else 12 if digits < 20 else 20}",
+        f"s={shape}", f"p={token[:1]}", f"e={token[-1:]}", f"n={min(n, 8) if n < 16 else 16 if n < 24 else 24}", f"d={min(digits, 6) if digits < 12 else 12 if digits < 20 else 20}",
         f"at={'@' in core}", f"dots={min(core.count('.'), 4)}", f"dash={min(core.count('-'), 3)}", f"mix={mixed and n >= 16}", f"w={core.lower()}" if core.isalpha() and n < 12 else "w=", f"plain={core.isalpha()}",
     )
 
@@ -148,6 +151,7 @@ class Field:
                 m2 += 0.01 * (g * g - m2)
                 a += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
             self.w[-1] = 0
+        self.finish()
 
     @staticmethod
     def described(tokens: list[str]) -> list[list[str]]:
@@ -202,23 +206,64 @@ class Field:
             np.add.at(gt, (y[on, i - 1], y[on, i]), 1)
         return gw, gt
 
-    def decode(self, sequences: list[list[str]], batch: int = 256) -> list[list[int]]:
-        """The likeliest labels of each sequence; sequences of like length share a batch."""
+    def finish(self) -> None:
+        """Of the weights, what a token adds to the scores at its own place, at the next and at the one before."""
+        row = lambda f: self.w[self.index.get(f, len(self.index))]
+        self.row, self.bias = row, row("bias").copy()
+        self.slots: dict[str, int] = {}
+        # slot 0 stands for no token
+        self.terms = np.zeros((1 << 10, 3, len(LABELS)), np.float32)
+        self.terms[0, 1], self.terms[0, 2] = 3 * row("-"), row("+")
+
+    def slot(self, token: str) -> int:
+        found = self.slots.get(token)
+        if found is None:
+            found = self.slots[token] = len(self.slots) + 1
+            if found == len(self.terms):
+                self.terms = np.concatenate([self.terms, np.zeros_like(self.terms)])
+            o, row = observations(token), self.row
+            self.terms[found] = sum(map(row, o)), row("-" + o[0]) + row("-" + o[9]) + row("-" + o[2]), row("+" + o[0])
+        return found
+
+    def emissions(self, sequences: list[list[str]], a: int, b: int) -> np.ndarray:
+        """Scores (step, sequence, label) of the tokens from place a to b."""
+        if len(self.slots) > TOKENS:
+            self.slots.clear()
+        at = np.zeros((b - a + 2, len(sequences)), np.int32)
+        for r, tokens in enumerate(sequences):
+            own = [self.slot(t) for t in tokens[max(a - 1, 0) : b + 1]]
+            at[1 - min(a, 1) : 1 - min(a, 1) + len(own), r] = own
+        s = self.terms[at[1:-1], 0] + self.terms[at[:-2], 1] + self.terms[at[2:], 2] + self.bias
+        if a == 0:
+            s[0] += self.first
+        return s
+
+    def decode(self, sequences: list[list[str]]) -> list[list[int]]:
+        """The likeliest labels of each sequence, the first label of a tie. Sequences of like length share a batch of at
+        most CELLS tokens, padding included; a longer sequence is a batch of its own, scored in parts of that size, so
+        that it keeps one byte a token and label."""
         out: list = [None] * len(sequences)
         order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-        trans = self.t + self.forbid
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            x, n = self.padded([self.ids(sequences[i]) for i in some])
-            s = self.scores(x)
-            best, back = s[:, 0], np.zeros((s.shape[1], len(some), s.shape[2]), np.int8)
-            for i in range(1, s.shape[1]):
-                reach = best[:, :, None] + trans[None]
-                back[i] = reach.argmax(1)
-                best = np.where((i < n)[:, None], s[:, i] + reach.max(1), best)
+        trans = (self.t + self.forbid).astype(np.float32)
+        while order:
+            longest = max(1, len(sequences[order[-1]]))
+            some = order[-max(1, CELLS // longest) :]
+            del order[-len(some) :]
+            batch = [sequences[i] for i in some]
+            n = np.array([len(x) for x in batch])
+            back = np.zeros((longest, len(some), len(LABELS)), np.int8)
+            part, best = max(1, CELLS // len(some)), None
+            for a in range(0, longest, part):
+                for i, s in enumerate(self.emissions(batch, a, min(a + part, longest)), a):
+                    if best is None:
+                        best = s
+                        continue
+                    reach = best[:, :, None] + trans[None]
+                    back[i] = reach.argmax(1)
+                    best = np.where((i < n)[:, None], s + reach.max(1), best)
             last = best.argmax(1)
             for r, i in enumerate(some):
-                path = [int(last[r])]
+                path = [int(last[r])] if n[r] else []
                 for j in range(n[r] - 1, 0, -1):
                     path.append(int(back[j, r, path[-1]]))
                 out[i] = path[::-1]
@@ -233,13 +278,35 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def checks(kind: str, text: str) -> bool:
+    """Whether a span's check digits are right, for kinds that have them."""
+    if kind == "card":
+        digits = "".join(c for c in text if c in "0123456789")
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "iban":
+        core = "".join(c for c in text.upper() if c.isascii() and c.isalnum())
+        return 15 <= len(core) <= 34 and int("".join(str(int(c, 36)) for c in core[4:] + core[:4])) % 97 == 1
+    return True
+
+
+def mail_spans(text: str) -> list[tuple[int, int]]:
+    """Leftmost addresses that do not overlap. The part before an @ sign reaches back to the one before it, or to the end
+    of the last address, so each sign is looked at once."""
+    out = []
+    for run in AROUND_AT.finditer(text) if "@" in text else ():
+        start, at = run.start(), text.find("@", run.start(), run.end())
+        while at >= 0:
+            m = DOMAIN.match(text, at + 1) if at > start else None
+            if m:
+                out.append((start, m.end()))
+            start = m.end() if m else at + 1
+            at = text.find("@", start, run.end())
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the exact patterns, by start, then kind."""
-    out = []
-    if "@" in text:
-        for run in AROUND_AT.finditer(text):
-            if "@" in run[0]:
-                out += [(run.start() + m.start(), 0, run.start() + m.end()) for m in EMAIL.finditer(run[0])]
+    out = [(a, 0, b) for a, b in mail_spans(text)]
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
@@ -267,12 +334,28 @@ def windows(tokens: list[tuple[int, int]], hot: list[int]) -> list[tuple[int, in
     return [(a, b) for a, b in out]
 
 
+def apart(spans: list[tuple[int, int, int]], others: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those spans, in order and without overlaps, that touch none of the others (by start; they may overlap)."""
+    out, i, reach = [], 0, -1
+    for s in spans:
+        while i < len(others) and others[i][0] < s[2]:
+            reach = max(reach, others[i][2])
+            i += 1
+        if reach <= s[0]:
+            out.append(s)
+    return out
+
+
 class Finder:
     def __init__(self, lines: list[str] = LABELLED):
         self.field = Field([marked(x) for x in lines])
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """All spans of each text, (start, kind, end): the base ones, and the field's where it touches none of them."""
+        return [spans for _, spans in self.find_both(texts)]
+
+    def find_both(self, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+        """The base spans of each text, and all its spans."""
         base, found = [base_spans(t) for t in texts], [[] for _ in texts]
         where, sequences = [], []
         for d, text in enumerate(texts):
@@ -293,10 +376,10 @@ class Finder:
                 a, b = tokens[i][0], tokens[j - 1][1]
                 core = texts[d][a:b]
                 a, b = a + len(core) - len(core.lstrip(EDGE)), b - len(core) + len(core.rstrip(EDGE))
-                if a < b and TRIGGER.search(texts[d], a, b):
+                if a < b and TRIGGER.search(texts[d], a, b) and checks(label[2:], texts[d][a:b]):
                     found[d].append((a, KINDS.index(label[2:]), b))
                 i = j
-        return [sorted(b + [s for s in more if all(s[2] <= x[0] or s[0] >= x[2] for x in b)]) for b, more in zip(base, found, strict=True)]
+        return [(b, sorted(b + apart(more, b))) for b, more in zip(base, found, strict=True)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -318,36 +401,50 @@ HOT_BYTES = byte_table((0x30, 0x39), (0x40, 0x40))
 
 def hot_texts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[str]]:
     """The documents with a digit or an @ sign; no other can hold a span."""
-    at = np.flatnonzero(per_doc(HOT_BYTES[buf].astype(np.int64), offs))
+    at = np.flatnonzero(hits(HOT_BYTES[buf], offs))
     return at, [bytes(buf[offs[i] : offs[i + 1]]).decode("utf-8", "replace") for i in at]
 
 
+COUNTS = {"email": "n_email", "ip": "n_ip", "card": "n_card", "phone": "n_phone"}
+ADDED = {"secret": "n_secret", "iban": "n_iban", "ssn": "n_ssn"}
+
+
 def find_pii(df: DataFrame, finder: Finder | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and spans per row, in code points. No shuffle; the fitted field goes to the tasks.
+    """Counts and spans per row, in code points: n_email to n_phone count the base spans; n_secret, n_iban and n_ssn the
+    field's spans of these kinds, n_spans all spans. No shuffle; the fitted field goes to the tasks.
 
-    Null and empty texts have no spans; repeated rows stay; extra columns are not read.
+    Null and empty texts have no spans; a null id passes through; repeated rows stay, and an empty table gives none; extra
+    columns are not read. Spans that begin together are ordered by kind. A very long text is searched whole, in time that
+    grows with its length and memory of some 200 bytes for each word near a digit or @ sign.
     """
     finder = finder or Finder()
     nothing = hashlib.sha256(b"").hexdigest()
+    names = [*COUNTS.values(), *ADDED.values(), "n_spans"]
 
     def each(buf: np.ndarray, offs: np.ndarray) -> dict:
         at, texts = hot_texts(buf, offs)
-        n = np.zeros((4, len(offs) - 1), np.int64)
+        n = {c: np.zeros(len(offs) - 1, np.int64) for c in names}
         digest, spans = [nothing] * (len(offs) - 1), [""] * (len(offs) - 1)
-        for i, t, found in zip(at.tolist(), texts, finder.find(texts), strict=True):
-            base = base_spans(t)
+        for i, (base, found) in zip(at.tolist(), finder.find_both(texts), strict=True):
             for _, k, _ in base:
-                n[k, i] += 1
+                n[COUNTS[KINDS[k]]][i] += 1
+            for _, k, _ in found:
+                if KINDS[k] in ADDED:
+                    n[ADDED[KINDS[k]]][i] += 1
+            n["n_spans"][i] = len(found)
             digest[i], spans[i] = hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)
-        return {"n_email": n[0], "n_ip": n[1], "n_card": n[2], "n_phone": n[3], "base_sha256": digest, "spans": spans}
+        first, more = {c: n[c] for c in COUNTS.values()}, {c: n[c] for c in names if c not in COUNTS.values()}
+        return first | {"base_sha256": digest, "spans": spans} | more
 
-    return map_texts(df, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", each, [id_col], text)
+    base = ", ".join(f"{c} long" for c in COUNTS.values())
+    return map_texts(df, f"{base}, base_sha256 string, spans string, n_secret long, n_iban long, n_ssn long, n_spans long", each, [id_col], text)
 
 
 def mask_pii(df: DataFrame, finder: Finder | None = None, text: str = "text") -> DataFrame:
-    """df with the personal data of its texts masked; n_chars, where there is one, is counted anew. Nulls stay null."""
+    """df with the personal data of its texts masked; n_chars, where there is one, is counted anew. Null texts stay null,
+    null ids and all other columns pass through, repeated rows stay, an empty table stays empty; very long texts as in
+    find_pii."""
     finder = finder or Finder()
-    tuned(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -356,6 +453,7 @@ def mask_pii(df: DataFrame, finder: Finder | None = None, text: str = "text") ->
             for i, spans in zip(hot, finder.find([texts[i] for i in hot]), strict=True):
                 texts[i] = masked(texts[i], spans)
             yield batch.set_column(at, text, pa.array(texts, batch.column(at).type))
+        give_back()
 
     at = df.columns.index(text)
     out = df.mapInArrow(run, df.schema)
@@ -363,4 +461,4 @@ def mask_pii(df: DataFrame, finder: Finder | None = None, text: str = "text") ->
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(table(spark, sf_dir, "documents"))
+    return find_pii(table(tuned(spark), sf_dir, "documents"))
