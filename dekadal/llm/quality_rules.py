@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import LEAD, NOT_SPACE, byte_table, map_texts, mix, ngrams, per_doc, run_hashes, runs, table
+from ._text import LEAD, NOT_SPACE, byte_table, hits, map_texts, mix, ngrams, per_doc, run_hashes, running, runs, saved, table, tuned
 
 SYMBOLS = byte_table(*[(ord(c), ord(c)) for c in "#*$%&|<>"])
 NOT_NEWLINE = ~byte_table((10, 10))
@@ -58,22 +58,21 @@ def repeat_words(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
     at = place[order][same]
     for d in range(3):
         hit[at + d] = True
-    return per_doc(hit.astype(np.int64), offs)
+    return hits(hit, offs)
 
 
 def measure(buf: np.ndarray, offs: np.ndarray) -> dict:
     starts, ends, wo = runs(buf, offs, NOT_SPACE)
-    lead = np.concatenate([[0], np.cumsum(LEAD[buf], dtype=np.int64)])
-    letters = np.concatenate([[0], np.cumsum(LETTER[buf], dtype=np.int64)])
+    lead, letters = running(LEAD[buf]), running(LETTER[buf])
     lines, dup = dup_lines(buf, offs, starts)
     return {
         "n_words": np.diff(wo),
-        "word_chars": per_doc(lead[ends] - lead[starts], wo),
-        "n_symbols": per_doc(SYMBOLS[buf].astype(np.int64), offs),
+        "word_chars": per_doc((lead[ends] - lead[starts]).astype(np.int64), wo),
+        "n_symbols": hits(SYMBOLS[buf], offs),
         "n_dup_lines": dup,
         "n_repeat_words": repeat_words(run_hashes(buf, starts, ends), wo),
         "n_lines": lines,
-        "n_letter_words": per_doc((letters[ends] > letters[starts]).astype(np.int64), wo),
+        "n_letter_words": hits(letters[ends] > letters[starts], wo),
     }
 
 
@@ -94,7 +93,9 @@ POLICIES: dict[str, int] = {"v1": BASE, "v2": sum(BIT.values())}
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, measurements, fail_bits. Null and empty texts have no words, and so fail
-    ``too_few_words``. Repeated rows stay; extra columns are not read."""
+    ``too_few_words``; a null id passes through. Repeated rows stay, each with the measurements of its text, and an empty
+    table gives none; there are no ties to break. A very long text is measured whole, in memory of some 40 bytes a byte.
+    Extra columns are not read."""
     measured = map_texts(df, MEASURES, measure, [id_col], text)
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)])
     return measured.withColumn("fail_bits", bits.cast("long"))
@@ -117,5 +118,18 @@ def ablation(rows: DataFrame, mask: int) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(table(spark, sf_dir, "documents")), POLICIES["v2"])
-    return rows.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0).withColumn("policy", F.lit("v2"))
+    """The contract's columns by policy v2; then the ledger's other columns, what v1 keeps, and the rule, if any, without
+    which v2 would keep the document (the ablation, by document; ``ablation`` sums it up)."""
+    rows = apply_policy(ledger(table(tuned(spark), sf_dir, "documents")), POLICIES["v2"])
+    fails = lambda mask: F.col("fail_bits").bitwiseAND(F.lit(mask)) != 0
+    alone = reduce(lambda a, b: a.when(F.col("fail_bits") == b[1], b[0]), BIT.items(), F.when(F.lit(False), ""))
+    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", fails(BASE).alias("base_failed"), "kept"]
+    more = ["n_lines", "n_letter_words", "fail_bits", F.lit("v2").alias("policy"), (~fails(POLICIES["v1"])).alias("kept_v1")]
+    return rows.select(*out, *more, alone.alias("kept_without"))
+
+
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per policy and rule: documents that fail it, that fail it alone, and that would be kept without it. The stored
+    ledger serves all policies."""
+    rows = saved(ledger(table(tuned(spark), sf_dir, "documents")), "ledger")
+    return reduce(DataFrame.union, [ablation(rows, mask).select(F.lit(v).alias("policy"), "*") for v, mask in POLICIES.items()])

@@ -14,7 +14,7 @@ from .license_scan import op1_license_scan
 from .packing import op6_packing
 from .pii import op5_pii
 from .quality_classifier import op4_quality_classifier
-from .quality_rules import op7_quality_rules
+from .quality_rules import op7_quality_rules, rule_ablation
 from .token_counts import op3_token_counts
 from .toxicity import op9_toxicity
 
@@ -26,14 +26,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "rule_ablation": rule_ablation,
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op2_benchmark_decontamination": decontamination.SQL,
-    "op7_quality_rules": r"""
+#: The ledger, as the table f.
+LEDGER_SQL = r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
         p AS (SELECT r, i, w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2] AS g
@@ -54,6 +54,21 @@ ORACLE_SQL: dict[str, str] = {
                      + 4 * (10 * n_symbols > 3 * n_words)::BIGINT + 8 * (10 * n_dup_lines > 4 * n_lines)::BIGINT
                      + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT
                      + 32 * (10 * n_letter_words < 7 * n_words)::BIGINT)::BIGINT AS fail_bits FROM m)
-        SELECT *, fail_bits = 0 AS kept, fail_bits & 3 <> 0 AS base_failed, 'v2' AS policy FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": decontamination.SQL,
+    "op7_quality_rules": f"""{LEDGER_SQL}
+        SELECT *, fail_bits = 0 AS kept, fail_bits & 3 <> 0 AS base_failed, 'v2' AS policy, fail_bits & 3 = 0 AS kept_v1,
+               CASE fail_bits WHEN 1 THEN 'too_few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines'
+                              WHEN 16 THEN 'short_or_long_words' WHEN 32 THEN 'few_letter_words' END AS kept_without FROM f
+    """,
+    "rule_ablation": f"""{LEDGER_SQL},
+        v AS (SELECT * FROM (VALUES ('v1', 3), ('v2', 63)) t(policy, mask)),
+        u AS (SELECT * FROM (VALUES ('too_few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8),
+                                    ('short_or_long_words', 16), ('few_letter_words', 32)) t(rule, bit))
+        SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = bit) AS n_failed_alone,
+               count(*) FILTER (fail_bits & mask = 0) + count(*) FILTER (fail_bits & mask = bit) AS n_kept_without
+        FROM f, v, u WHERE mask & bit <> 0 GROUP BY policy, rule
     """,
 }
