@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ._calibrate import bounded, held_out, isotonic
 from ._stats import NAMES, as_lists, doc_stats, from_lists
-from ._text import map_texts, saved, table
+from ._text import map_texts, saved, table, tuned
 
 FOLDS = 5
 
@@ -61,9 +61,11 @@ def normal_equations(labelled: DataFrame, phi: Fourier, d: int) -> dict[int, tup
                 seen.add(k)
         for k in seen:
             flat = np.concatenate([a[k][tri], v[k]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), k, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["fold", "place", "value"])
+            columns = [pa.array(np.full(len(flat), k, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["fold", "place", "value"])
 
-    sums = labelled.select("features", "label", "fold").coalesce(16).mapInArrow(run, "fold int, place int, value double").groupBy("fold", "place").agg(F.sum("value").alias("value")).toPandas()
+    parts = labelled.select("features", "label", "fold").coalesce(16).mapInArrow(run, "fold int, place int, value double")
+    sums = parts.groupBy("fold", "place").agg(F.sum("value").alias("value")).toPandas()  # (features + 1)^2 / 2 rows a fold
     out = {}
     for k, own in sums.groupby("fold"):
         flat = own.sort_values("place")["value"].to_numpy()
@@ -79,18 +81,24 @@ def solve(parts: dict, ridge: float, leave: int | None = None) -> np.ndarray:
     return np.linalg.solve(a + ridge * np.eye(len(a)), v)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", *, id_col: str = "doc_id", text: str = "text", n_features: int = 128, width: float = 4.0, ridge: float = 0.5, max_labelled: int = 500_000) -> DataFrame:
+def score_quality(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", *, id_col: str = "doc_id", text: str = "text",
+    n_features: int = 128, width: float = 4.0, ridge: float = 0.5, max_labelled: int = 500_000,
+) -> DataFrame:
     """(id, held_out, score, predicted) per document.
 
     Learns from labelled rows whose crc32 of the id leaves another remainder than 1 by 3, at most about max_labelled of
     them (a hash sample beyond). The only inputs are statistics of the text. Null and empty texts have statistics 0 and
-    a score like others; rows with a null label are not learnt from; without labels all scores are 0.5. Repeated rows
-    stay; extra columns are not read.
+    a score like others; rows with a null label are not learnt from; without labels all scores are 0.5. Rows of one text
+    get one score, wherever they lie; repeated rows stay, null ids pass through, and an empty table gives none; ids that
+    labels repeat are learnt from as often. A very long text is one row of statistics, made in memory of some 40 bytes a
+    byte. Extra columns are not read.
     """
     d = len(NAMES)
     rows = saved(statistics(docs, id_col, text), "quality-statistics")
     learn = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("double").alias("label")).where(F.col("label").isNotNull() & ~held_out("__id", 3, 1))
-    labelled = bounded(saved(rows.join(learn, F.col(id_col) == F.col("__id")).withColumn("fold", F.pmod(F.xxhash64("__id"), F.lit(FOLDS)).cast("int")).drop("__id"), "quality-labelled"), id_col, max_labelled)
+    labelled = rows.join(learn, F.col(id_col) == F.col("__id")).withColumn("fold", F.pmod(F.xxhash64("__id"), F.lit(FOLDS)).cast("int"))
+    labelled = bounded(saved(labelled.drop("__id"), "quality-labelled"), id_col, max_labelled)
     phi = Fourier(*moments(labelled, d), n_features, width)
     parts = normal_equations(labelled, phi, d)
     if parts:
@@ -119,4 +127,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", *,
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ._calibrate import bounded, held_out, isotonic
 from ._stats import UPPER, as_lists
-from ._text import ALNUM_LOWER, LOWER, hash_word, map_texts, per_doc, run_hashes, runs, saved, table
+from ._text import ALNUM_LOWER, LOWER, hash_word, hits, lacking, map_texts, run_hashes, running, runs, saved, table, tuned
 from .quality_rules import distinct
 
 # Common words of insult, contempt, threat and the second person in four languages.
@@ -37,7 +37,9 @@ for sign, letter in LEET.items():
 SIGN = np.isin(np.arange(256), [ord(c) for c in LEET])
 #: Words to either side in which a word of the second person counts as near.
 NEAR = 5
-NAMES = [f"{w}_{k}" for k in LEXICONS for w in ("share", "log")] + ["any_share", "any_log", "near_share", "near_log", "second", "obfuscated_share", "obfuscated_log", "caps_hits", "upper", "shout", "question", "signs_inside"] + ["learnt_share", "learnt_log", "learnt_sum", "learnt_most", "learnt_distinct"]
+NAMES = [f"{w}_{k}" for k in LEXICONS for w in ("share", "log")]
+NAMES += ["any_share", "any_log", "near_share", "near_log", "second", "obfuscated_share", "obfuscated_log", "caps_hits", "upper", "shout", "question", "signs_inside"]
+NAMES += ["learnt_share", "learnt_log", "learnt_sum", "learnt_most", "learnt_distinct"]
 #: Lengths, in bytes, of the word beginnings that the learnt lexicon may hold.
 STEMS = (4, 5, 6)
 
@@ -60,51 +62,46 @@ def stems(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tupl
     return at, run_hashes(buf, starts[at], starts[at] + k)
 
 
-def stem_lists(only: np.ndarray | None = None):
-    """Distinct stems of each document, or those of them that ``only`` has."""
-
-    def each(buf: np.ndarray, offs: np.ndarray) -> dict:
-        low = LOWER[buf]
-        starts, ends, wo = runs(low, offs, ALNUM_LOWER)
-        got = [stems(low, starts, ends, k) for k in STEMS]
-        at, h = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64)
-        if only is not None:
-            own = np.isin(h, only)
-            at, h = at[own], h[own]
-        doc = np.searchsorted(wo, at, "right") - 1
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-        offsets = np.searchsorted(doc[new], np.arange(len(offs)))
-        return {"stems": pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(h[new]))}
-
-    return each
-
-
-def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text: str, *, max_toxic: int = 8000, max_clean: int = 16000, max_stems: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """Stems and log odds, from at most about max_toxic and max_clean labelled documents (hash samples beyond)."""
+def stem_lists(buf: np.ndarray, offs: np.ndarray) -> dict:
+    """Distinct stems of each document."""
+    low = LOWER[buf]
+    starts, ends, wo = runs(low, offs, ALNUM_LOWER)
+    got = [stems(low, starts, ends, k) for k in STEMS]
+    at, h = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64)
+    doc = np.searchsorted(wo, at, "right") - 1
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    offsets = np.searchsorted(doc[new], np.arange(len(offs)))
+    return {"stems": pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(h[new]))}
+
+
+def learn_lexicon(
+    docs: DataFrame, labels: DataFrame, id_col: str, text: str, *, max_toxic: int = 8000, max_clean: int = 16000,
+    max_stems: int = 2000,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Stems and log odds, from at most about max_toxic and max_clean labelled documents (hash samples beyond).
+
+    Every stem of three toxic documents, and of one in 400, whose log odds are 2 at least is a candidate, however common;
+    the max_stems of most weight (documents times log odds; by hash on a tie) make the lexicon, which bounds the model.
+    """
     some = [bounded(labels.where(F.col("label") == k), "__id", n) for k, n in ((1, max_toxic), (0, max_clean))]
     n = [x.count() for x in some]
     if not n[0] or not n[1]:
         return np.zeros(0, np.int64), np.zeros(0)
 
-    def counted(sample: DataFrame, only: np.ndarray | None) -> DataFrame:
+    def counted(sample: DataFrame, name: str) -> DataFrame:
         own = docs.join(F.broadcast(sample.select("__id")), F.col(id_col) == F.col("__id"), "left_semi")
-        lists = map_texts(own, "stems array<bigint>", stem_lists(only), [id_col], text)
-        return lists.select(F.explode("stems").alias("stem")).groupBy("stem").count()
-
-    found = counted(some[0], None).where(F.col("count") >= max(3, n[0] // 400)).orderBy(F.desc("count"), "stem").limit(10 * max_stems).toPandas()
-    only = np.sort(found["stem"].to_numpy(np.int64))
-    clean = dict(counted(some[1], only).collect())
-    t = found["count"].to_numpy(float)
-    c = np.array([clean.get(h, 0) for h in found["stem"].tolist()], float)
-    odds = np.log((t + 0.5) / (n[0] + 1)) - np.log((c + 0.5) / (n[1] + 1))
-    best = np.argsort(-np.where(odds >= 2, t * odds, 0), kind="stable")[:max_stems]
-    best = best[odds[best] >= 2]
-    stem, odds = found["stem"].to_numpy(np.int64)[best], odds[best]
-    order = np.argsort(stem)
-    return stem[order], odds[order]
+        lists = map_texts(own, "stems array<bigint>", stem_lists, [id_col], text)
+        return lists.select(F.explode("stems").alias("stem")).groupBy("stem").agg(F.count("*").alias(name))
+
+    toxic = counted(some[0], "toxic").where(F.col("toxic") >= max(3, n[0] // 400))
+    both = toxic.join(counted(some[1], "clean"), "stem", "left")
+    odds = F.log((F.col("toxic") + 0.5) / (n[0] + 1)) - F.log((F.coalesce("clean", F.lit(0)) + 0.5) / (n[1] + 1))
+    best = both.select("stem", "toxic", odds.alias("odds")).where("odds >= 2").orderBy(F.desc(F.col("toxic") * F.col("odds")), "stem").limit(max_stems)
+    found = best.toPandas().sort_values("stem")
+    return found["stem"].to_numpy(np.int64), found["odds"].to_numpy(float)
 
 
 def features(lexicon: Lexicon, learnt: tuple[np.ndarray, np.ndarray]):
@@ -119,7 +116,7 @@ def features(lexicon: Lexicon, learnt: tuple[np.ndarray, np.ndarray]):
         cols = []
 
         def add(hit: np.ndarray, at: np.ndarray = wo) -> None:
-            n = per_doc(hit.astype(np.int64), at)
+            n = hits(hit, at)
             cols.extend([np.minimum(1.0, n / words), np.log1p(n)])
 
         for k in range(len(LEXICONS)):
@@ -132,26 +129,25 @@ def features(lexicon: Lexicon, learnt: tuple[np.ndarray, np.ndarray]):
         near = np.zeros(len(bad), bool)
         near[at] = second[np.minimum(at + NEAR + 1, wo[doc[at] + 1])] > second[np.maximum(at - NEAR, wo[doc[at]])]
         add(near)
-        cols.append(per_doc((kind == second_kind).astype(np.int64), wo) / words)
+        cols.append(hits(kind == second_kind, wo) / words)
         plain = TO_LETTER[buf]
         s2, e2, w2 = runs(plain, offs, ALNUM_LOWER)
-        signs = np.concatenate([[0], np.cumsum(SIGN[buf], dtype=np.int64)])
-        letters = np.concatenate([[0], np.cumsum(ALNUM_LOWER[low] & ~SIGN[buf], dtype=np.int64)])
+        signs, letters = running(SIGN[buf]), running(ALNUM_LOWER[low] & ~SIGN[buf])
         odd = (signs[e2] > signs[s2]) & (letters[e2] > letters[s2])
         hidden = np.zeros(len(s2), bool)
         at = np.flatnonzero(odd)
         got = lexicon.kinds(run_hashes(plain, s2[at], e2[at])) if len(at) else np.zeros(0)
         hidden[at] = (got >= 0) & (got < second_kind)
         add(hidden, w2)
-        upper = np.concatenate([[0], np.cumsum(UPPER[buf], dtype=np.int64)])
+        upper = running(UPPER[buf])
         shouted = bad & (upper[ends] - upper[starts] == ends - starts)
         size = np.maximum(np.diff(offs), 1)
-        cols.append(np.log1p(per_doc(shouted.astype(np.int64), wo)))
+        cols.append(np.log1p(hits(shouted, wo)))
         cols.append((upper[offs[1:]] - upper[offs[:-1]]) / size)
-        cols.append(per_doc(shout[buf].astype(np.int64), offs) / words)
-        cols.append(per_doc(question[buf].astype(np.int64), offs) / words)
+        cols.append(hits(shout[buf], offs) / words)
+        cols.append(hits(question[buf], offs) / words)
         inner = odd & ~SIGN[buf[e2 - 1]] if len(e2) else odd
-        cols.append(per_doc(inner.astype(np.int64), w2) / words)
+        cols.append(hits(inner, w2) / words)
         weight = np.zeros(len(starts))
         for k in STEMS if len(learnt[0]) else ():
             at, h = stems(low, starts, ends, k)
@@ -160,7 +156,7 @@ def features(lexicon: Lexicon, learnt: tuple[np.ndarray, np.ndarray]):
             weight[at] = np.maximum(weight[at], np.where(learnt[0][slot] == h, learnt[1][slot], 0))
         at = np.flatnonzero(weight)
         add(weight > 0)
-        cols.append(np.log1p(per_doc(weight, wo)))
+        cols.append(np.log1p(np.bincount(doc, weight, len(words))))  # a document's sum starts from 0
         most = np.zeros(len(words))
         np.maximum.at(most, doc[at], weight[at])
         cols.append(most)
@@ -170,16 +166,21 @@ def features(lexicon: Lexicon, learnt: tuple[np.ndarray, np.ndarray]):
     return each
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, id_col: str = "doc_id", text: str = "text", trees: int = 20, depth: int = 3, step: float = 0.3, max_labelled: int = 300_000) -> DataFrame:
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", *, id_col: str = "doc_id", text: str = "text",
+    trees: int = 20, depth: int = 3, step: float = 0.3, max_labelled: int = 300_000,
+) -> DataFrame:
     """(id, held_out, score, predicted) per document.
 
     Learns from labelled rows whose crc32 of the id does not divide by 5: remainders 2 and 3 teach the lexicon, 4 grows
     the trees (at most about max_labelled rows, a hash sample beyond), 1 calibrates. Inputs are features of the text
     only. Null and empty texts have features 0 and a score like others; null labels are not learnt from; where the rows
-    that grow trees lack one of the classes, scores are the share of label 1 (0 without rows). Repeated rows stay; extra
-    columns are not read.
+    that grow trees lack one of the classes, scores are the share of label 1 (0 without rows). Rows of one text get one
+    score; repeated rows stay, null ids pass through, and an empty table gives none; ids that labels repeat are learnt from
+    as often. A very long text is one row of features, made in memory of some 40 bytes a byte. Extra columns are not read.
     """
-    learn = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("double").alias("label"), (F.crc32(F.col(id_col).cast("string")) % 5).cast("int").alias("fold")).where("label is not null and fold <> 0")
+    fold = (F.crc32(F.col(id_col).cast("string")) % 5).cast("int").alias("fold")
+    learn = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("double").alias("label"), fold).where("label is not null and fold <> 0")
     learnt = learn_lexicon(docs, learn.where("fold in (2, 3)"), id_col, text)
     rows = saved(map_texts(docs, "features array<float>", features(Lexicon(), learnt), [id_col], text), "toxicity-features")
     labelled = saved(rows.join(learn.where("fold in (1, 4)"), F.col(id_col) == F.col("__id")).drop("__id"), "toxicity-labelled")
@@ -204,11 +205,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *,
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_toxicity(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that the trees predict to be toxic. Rows with a null id stay."""
+    """docs without those that the trees predict to be toxic; a score of 0.5 is. Rows with a null id stay; where rows that
+    repeat an id differ in their texts, all go if one is toxic. Null, empty and very long texts, labels and empty tables as
+    in score_toxicity; all columns are kept."""
     scored = score_toxicity(docs, labels, id_col=id_col, **options)
     gone = saved(scored.where("predicted = 1").select(id_col).distinct(), "toxic")
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return lacking(docs, gone, id_col)
