@@ -235,8 +235,9 @@ def id_filter(ids: DataFrame, id_col: str) -> DataFrame:
 def passing(docs: DataFrame, id_col: str, words: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows whose id the filter lets pass (or, ``left_anti``, those whose id is surely not among its ids). The filter
     is a hash table in every task, so no text is shuffled."""
-    set_ = F.getbit(F.col("__bits"), (_place(id_col) % 64).cast("int")) == 1
-    return docs.join(F.broadcast(words), (F.floor(_place(id_col) / 64) == F.col("__word")) & set_, how)
+    words = F.broadcast(words)
+    set_ = F.getbit(words["__bits"], (_place(id_col) % 64).cast("int")) == 1
+    return docs.join(words, (F.floor(_place(id_col) / 64) == words["__word"]) & set_, how)
 
 
 def having(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

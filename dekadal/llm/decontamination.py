@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import saved, table
+from ._text import having, lacking, saved, table
 
 #: Rows of sketches or items' shingles up to which they are broadcast (24 bytes each); beyond, joins shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -26,7 +26,8 @@ def with_shingles(df: DataFrame, text: str, keep: list[str], n: int) -> DataFram
     """One row per place of a shingle: keep and the hash of its n words. A text of fewer words has one, all its words."""
     w = df.select(*keep, words(text).alias("w"))
     shifted = [F.expr(f"slice(w, {k + 1}, greatest(size(w) - {n - 1}, 0))").alias(f"w{k}") for k in range(n)]
-    parts = F.when(F.size("w") >= n, F.arrays_zip(*shifted)).otherwise(F.when(F.size("w") > 0, F.array(F.struct(F.concat_ws(" ", "w").alias("w0"), *[F.lit(None).cast("string").alias(f"w{k}") for k in range(1, n)]))))
+    one = F.array(F.struct(F.concat_ws(" ", "w").alias("w0"), *[F.lit(None).cast("string").alias(f"w{k}") for k in range(1, n)]))
+    parts = F.when(F.size("w") >= n, F.arrays_zip(*shifted)).otherwise(F.when(F.size("w") > 0, one))
     rows = w.select(*keep, F.inline(parts).alias(*[f"w{k}" for k in range(n)]))
     return rows.select(*keep, F.xxhash64(*[f"w{k}" for k in range(n)]).alias("shingle"))
 
@@ -36,13 +37,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def find_items(docs: DataFrame, items: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
+def find_items(
+    docs: DataFrame, items: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id",
+    item_col: str = "item_id", text: str = "text", item_text: str = "text",
+) -> DataFrame:
     """(id, item, n_shared, n_item) for each document that holds at least percent of the item's distinct n-word
     shingles.
 
     Documents and items without words match nothing; those of fewer than n words are one shingle, their whole sequence.
     Rows that repeat an id count together as one document; items likewise. Null ids match nothing. Extra columns are not
-    read. Work grows with the documents' shingles and the matches; a passage that many documents share costs a row each.
+    read. Work grows with the documents' shingles and the matches; a passage that many documents share costs a row each. A
+    very long text is split into words by one task, as an array of its words and n more of its size; items that tie are all
+    returned.
     """
     shingles = saved(with_shingles(items.where(F.col(item_col).isNotNull()), item_text, [item_col], n).distinct(), "items")
     sized = shingles.groupBy(item_col).agg(F.count("*").alias("n_item"), F.sort_array(F.collect_list("shingle")).alias("all"))
@@ -53,15 +59,19 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = 80, n: int = 5,
     met = saved(places.join(sketch, "shingle").select(id_col, item_col).distinct(), "met")
 
     # exact containment, for the documents that met a sketch
-    hit = docs.select(id_col, F.col(text).alias("__text")).join(met.select(id_col).distinct(), id_col, "left_semi")
+    hit = having(docs.select(id_col, F.col(text).alias("__text")), met.select(id_col), id_col)
     held = with_shingles(hit, "__text", [id_col], n).join(small(shingles), "shingle").select(id_col, item_col, "shingle").distinct()
     shared = held.groupBy(id_col, item_col).agg(F.count("*").alias("n_shared"))
-    return shared.join(met, [id_col, item_col], "left_semi").join(sized.select(item_col, "n_item"), item_col).where(100 * F.col("n_shared") >= percent * F.col("n_item")).select(id_col, item_col, "n_shared", "n_item")
+    both = shared.join(met, [id_col, item_col], "left_semi").join(sized.select(item_col, "n_item"), item_col)
+    return both.where(100 * F.col("n_shared") >= percent * F.col("n_item")).select(id_col, item_col, "n_shared", "n_item")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that hold an item. Rows with a null id are kept."""
-    return docs.join(find_items(docs, items, id_col=id_col, **options).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    """docs without those that hold an item. Rows with a null id are kept, as are null and empty texts; where rows repeat an
+    id, all go if together they hold an item; without items, or documents, nothing changes. All columns are kept, and only
+    rows that an id filter lets pass are shuffled."""
+    gone = saved(find_items(docs, items, id_col=id_col, **options).select(id_col).distinct(), "contaminated")
+    return lacking(docs, gone, id_col)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import chunks, table, tuned
+from ._text import chunks, give_back, table, tuned
 from ._tokens import default_vocabulary, tokenizer
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -68,7 +68,9 @@ def cut(pos: np.ndarray, cost: np.ndarray, window: int, short_cost: float = 4.0)
     return cuts[::-1]
 
 
-def places(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, stride: int, sentence_cost: float, word_cost: float) -> tuple[np.ndarray, np.ndarray]:
+def places(
+    ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, stride: int, sentence_cost: float, word_cost: float,
+) -> tuple[np.ndarray, np.ndarray]:
     """Where the stream may be cut, and what a cut there costs."""
     cost = np.full(len(ids) + 1, np.inf, np.float32)
     cost[np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1] = sentence_cost
@@ -145,16 +147,19 @@ class Packer:
         }
 
 
-def pack(df: DataFrame, vocabulary: str | None = None, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text: str = "text", *, block: int = 1 << 18, stride: int = 128, sentence_cost: float = 2.0, word_cost: float = 16.0) -> DataFrame:
+def pack(
+    df: DataFrame, vocabulary: str | None = None, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text: str = "text",
+    *, block: int = 1 << 18, stride: int = 128, sentence_cost: float = 2.0, word_cost: float = 16.0,
+) -> DataFrame:
     """One row per piece of a document in a sequence.
 
     There is no shuffle: each task packs the rows of its partition in their order, with memory bounded by ``block``
-    tokens plus its longest document; sequence ids carry the partition. A rerun of a task repeats its sequences if its
+    tokens plus its longest document; sequence ids carry the partition, so they change where rows are dealt anew. A rerun of a task repeats its sequences if its
     rows come in the same order, as a scan's do. A sequence that is neither full nor a power of two long is padded to the
-    window. A null or empty text is the end id alone; repeated rows are packed each; other columns are not read.
+    window. Of cuts of equal cost the first found stays. A null or empty text is the end id alone; a null id passes
+    through; repeated rows are packed each; an empty table gives no pieces; other columns are not read.
     """
     vocabulary = vocabulary or default_vocabulary()
-    tuned(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string").alias("__text"))
     kind = rows.dtypes[0][1]
 
@@ -179,9 +184,10 @@ def pack(df: DataFrame, vocabulary: str | None = None, window: int = 2048, end_i
         made = packer.flush(True)
         if made:
             yield out(made, like)
+        give_back()
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(tuned(spark), sf_dir, "documents"))
