@@ -1,5 +1,6 @@
 """Operators over the whole corpus: joins, models, pages and the pipeline."""
 
+import functools
 import random
 
 import brute
@@ -128,7 +129,7 @@ def test_extraction(spark):
     assert html_extraction.extract_main_text(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark, tmp_path, labelled, texts):
+def test_pipeline(spark, tmp_path, labelled, texts, monkeypatch):
     import corpus_pipeline
 
     docs, labels = labelled
@@ -149,7 +150,126 @@ def test_pipeline(spark, tmp_path, labelled, texts):
     assert {r.doc_id for r in now.collect()} == ids
     toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/toxicity").collect()}
     left = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id").isin(list(toxic))).collect())
-    want = {i for i, _, c in brute.components(left) if i == c}
+    monkeypatch.setattr(brute, "shingles", functools.partial(brute.shingles, n=5))  # the stage's rule: five words, 0.8
+    want = {i for i, _, c in brute.components(left, 80) if i == c}
     assert {r.doc_id for r in spark.read.parquet(f"{sf}/near_duplicates").collect()} == want
+    monkeypatch.undo()
     assert ids == want - {i for i, *_ in brute.contained([r for r in left if r[0] in want], [(1, texts[-1])])}
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == len(ids)
+
+
+def test_stages_on_empty_tables_odd_ids_and_clashing_columns(spark, tmp_path, docs, empty, labelled):
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    labelled[1].write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "no such words here at all")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    clashing = {c: F.lit(7).cast("long") for c in ("fp", "n", "g", "bits", "shingle", "x", "y", "stem", "__word", "items", "features", "held_out", "fold", "start", "length")}
+    odd = docs.withColumns(clashing)
+    nulls = odd.where("doc_id in (11, 12, 30)").withColumn("doc_id", F.lit(None).cast("long"))
+    both = odd.union(nulls).union(nulls)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, empty, sf)
+        got = stage(spark, both, sf)
+        assert none.count() == 0
+        if name != "packing":
+            assert none.columns == empty.columns and got.columns == both.columns
+            kept = got.where("doc_id is null")
+            assert kept.count() == 6 and kept.where("fp = 7 and start = 7").count() == 6
+        else:
+            assert got.where("doc_id is null and start = 0").count() == 6
+
+
+def test_null_ids_link_like_others(spark):
+    """Copies and near copies among rows without an id; a component takes the least id that it has."""
+    base = prose(random.Random(3), 80)
+    rows = [(None, base), (None, base + " end"), (7, base + " end"), (9, base), (None, prose(random.Random(4), 80)), (None, None)]
+    rows += [(None, prose(random.Random(5), 60)), (None, prose(random.Random(5), 60) + " z")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted([("None", "7"), ("None", "7"), ("7", "7"), ("9", "7"), *[("None", "None")] * 4])
+
+
+def test_shared_passages_make_few_pairs(spark, monkeypatch):
+    """Pairs of near copies that all share one passage: with it last in the order, candidate pairs stay near the links."""
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    rows = []
+    for k in range(150):
+        words = prose(rng, 100).split(" ")
+        rows.append((2 * k, " ".join([passage, *words])))
+        words[rng.randrange(10, 90)] += "q"
+        rows.append((2 * k + 1, " ".join([passage, *words])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, plain = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect())) == brute.components(rows)
+    assert sum(seen) <= 3 * 150
+
+
+def test_frequent_shingles_need_not_be_known(spark, monkeypatch):
+    """Any bound on the ordered shingles, and any size of star, gives the same components."""
+    rng = random.Random(22)
+    base = prose(rng, 90).split(" ")
+    rows = [(i, " ".join(w if rng.random() > 0.01 else f"v{rng.randrange(9)}" for w in base)) for i in range(80)] + [(500 + i, " ".join(base[:50]) + " " + prose(rng, 50)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute.components(rows)
+    for frequent, star in ((0, 500), (40, 3)):
+        monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+        monkeypatch.setattr(jaccard_join, "STAR", star)
+        assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect())) == want
+
+
+def test_null_ids_of_documents_and_items(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c"), (5, "a b c d e f"), (6, None)], "item_id long, text string")
+    assert [tuple(r) for r in decontamination.find_items(docs, items).collect()] == [(1, 5, 2, 2)]
+    assert sorted(str(r.doc_id) for r in decontamination.decontaminate(docs, items).collect()) == ["2", "None"]
+
+
+def test_sites_equal_the_plain_version(spark):
+    """Random well-formed sites: menus, notices and footers that recur as they stand or by their form, articles and not."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    some = lambda n: " ".join(word() for _ in range(n))
+    rows, want, key = [], {}, 0
+    for h in range(8):
+        article, n = h % 2 == 0, (2, 4, 5, 9)[h % 4]
+        brand, notice = some(3), some(6)
+        pages = []
+        for k in range(n):
+            menu = ("div", "m1", [("ul", "", [("li", "", [("a", "", [word()])]) for _ in range(rng.randint(2, 4))])])
+            parts = [("div", "brand", [("b", "", [brand])]), menu, ("div", "x1", [notice if k % 3 else some(4)])]
+            body = [("h1", "", [some(4)]), *[("p", "", [some(rng.randint(5, 30)), ("b", "", [word()]), " ", word()]) for _ in range(rng.randint(1, 3))], ("section", "", [("p", "", [brand])])]
+            tail = [("footer", "", [some(5)]), ("section", "note", [some(8)])]
+            pages.append(("body", "", [*parts, ("article", "", body) if article else ("div", "text", body), *tail]))
+        for page, found in zip(pages, brute.site(pages), strict=True):
+            rows.append((key, f"http://h{h}.example.com/{key}", brute.render(page)))
+            want[key] = found
+            key += 1
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = html_extraction.extract_main_text(df).collect()
+    assert {r.page_id: (r.text, r.n_template_blocks) for r in got} == want
+    none = html_extraction.extract_main_text(df, templates=html_extraction.site_templates(df.limit(0)))
+    assert sum(r.n_template_blocks for r in none.collect()) == 0
+    changed = {r.page_id for r in none.collect() if r.text != want[r.page_id][0]}
+    assert len(changed) >= 15  # without templates, these pages keep menus and notices
+
+
+def test_markup_drops_no_wrapper_or_paragraph():
+    text = lambda source: html_extraction.Page(source).main_text()[0]
+    assert text('<div class="content with-sidebar"><article><p>a</p></article></div>') == "a"
+    assert text('<div id="page" class="no-sidebar single-post"><p>b c</p></div>') == "b c"
+    assert text('<article><p class="search-results">s</p><p class="related">r</p></article>') == "s\nr"
+    assert text('<div class="sidebar"><h1>t</h1><p>the whole page</p></div>') == "t\nthe whole page"
+    assert text('<div class="ad">buy</div><div><p>some longer text</p></div>') == "some longer text"
+    assert text("<p>&am<b>p;</b> &am<!-- -->p; &amp;</p>") == "&amp; &amp; &"
+    assert text("<article><div class='comments'><p>c</p></div><p>own text here</p></article><article class='comment'>d</article>") == "own text here"
+
+
+def test_pages_of_any_nesting_take_time_with_their_size():
+    import time
+
+    for source in ("<b>" * 40_000 + "</i>" * 40_000, "<div><i>" + "<b>" * 40_000 + "</i>" * 40_000, "<b>" * 30_000 + "<p>" * 30_000, "<" + "a" * 200_000 + '"', "<a '" * 50_001, "<div class=ad>x" * 20_000, "<ul>" + "<li>x" * 50_000, "<a " + "class " * 50_000 + ">"):
+        began = time.perf_counter()
+        html_extraction.Page(source).main_text()
+        assert time.perf_counter() - began < 5
