@@ -10,7 +10,7 @@ import brute
 import numpy as np
 import pytest
 
-from dekadal.llm import _stats, license_scan, packing, pii, quality_rules, token_counts, toxicity
+from dekadal.llm import _stats, _text, license_scan, packing, pii, quality_rules, token_counts, toxicity
 from dekadal.llm._tokens import default_vocabulary, tokenizer
 
 
@@ -217,15 +217,15 @@ def test_toxicity_features_equal_the_plain_version_wherever_a_text_lies(many):
 def test_very_long_texts(spark):
     """Texts above a chunk, with words across every block of hashing, and one without any space."""
     rng = random.Random(12)
-    long = [brute.prose(rng, 250_000) + " MIT license a.b@c.de", "ab" * 700_000, "1 22 333 " * 60_000 + "mit license"]
+    long = [brute.prose(rng, 200_000) + " MIT license a.b@c.de", "ab" * 140_000, "1 22 333 " * 30_000 + "mit license"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate([*long, "short mit license"])], "doc_id long, text string").coalesce(1)
-    assert all(len(t) > 4 * 131_072 for t in long)
+    assert all(len(t) > _text.CHUNK for t in long) and len(long[0]) > 1 << 20
     for i, r in by_id(license_scan.scan_licenses(rows)).items():
         assert (r.n_words, r.n_base) == brute.licenses([*long, "short mit license"][i])[:2]
     for i, r in by_id(quality_rules.ledger(rows)).items():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.measures([*long, "short mit license"][i])[:5]
-    for i, r in by_id(pii.find_pii(rows)).items():
-        assert r.base_sha256 == hashlib.sha256(brute.personal([*long, "short mit license"][i]).encode()).hexdigest()
+    for i, r in by_id(pii.find_pii(rows)).items():  # the plain search for addresses takes quadratic time on the second text
+        assert r.base_sha256 == hashlib.sha256((brute.personal([*long, "short mit license"][i]) if i != 1 else "").encode()).hexdigest()
     for t in long:
         assert _stats.doc_stats(*chunked([t]))[0] == pytest.approx(brute.statistics(t), rel=1e-4, abs=1e-5)
     pieces = packing.pack(rows).collect()
