@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, filter_audit
 from .decontamination import op2_benchmark_decontamination
+from .filter_audit import op12_filter_audit
 from .html_extraction import op8_html_extraction
 from .jaccard_join import op10_ngram_jaccard_join
 from .license_scan import op1_license_scan
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 #: The ledger, as the table f.
@@ -58,6 +60,7 @@ LEDGER_SQL = r"""
 
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontamination.SQL,
+    "op12_filter_audit": filter_audit.SQL,
     "op7_quality_rules": f"""{LEDGER_SQL}
         SELECT *, fail_bits = 0 AS kept, fail_bits & 3 <> 0 AS base_failed, 'v2' AS policy, fail_bits & 3 = 0 AS kept_v1,
                CASE fail_bits WHEN 1 THEN 'too_few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines'
