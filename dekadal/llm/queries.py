@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, filter_audit
+from . import decontamination, filter_audit, prefix_trie
 from .decontamination import op2_benchmark_decontamination
 from .filter_audit import op12_filter_audit
 from .html_extraction import op8_html_extraction
 from .jaccard_join import op10_ngram_jaccard_join
 from .license_scan import op1_license_scan
+from .nearest import op13_nearest_neighbours
 from .packing import op6_packing
 from .pii import op5_pii
+from .prefix_trie import op11_prefix_trie
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op7_quality_rules, rule_ablation
 from .token_counts import op3_token_counts
@@ -31,7 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_filter_audit": op12_filter_audit,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 #: The ledger, as the table f.
@@ -60,6 +64,7 @@ LEDGER_SQL = r"""
 
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontamination.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op12_filter_audit": filter_audit.SQL,
     "op7_quality_rules": f"""{LEDGER_SQL}
         SELECT *, fail_bits = 0 AS kept, fail_bits & 3 <> 0 AS base_failed, 'v2' AS policy, fail_bits & 3 = 0 AS kept_v1,
