@@ -18,10 +18,12 @@ from ._text import give_back, saved, table, tuned
 #: Rows that lists are fit on, and of these the queries that tell how many lists to visit: the bounds of what the driver holds.
 MAX_SAMPLE, MAX_TRIALS = 20_000, 500
 #: Lists, and the share of the sample's neighbours that visits must find.
-MAX_LISTS, RECALL = 1024, 0.985
-#: Dimensions that a scan adds before it tests again, and the test's width: a candidate as near as the threshold fails with
-#: a probability of about exp(-EPSILON ** 2 / 2) a test at most, and far less on all of them.
-BLOCK, EPSILON = 16, 2.1
+MAX_LISTS, RECALL = 1024, 0.97
+#: Dimensions that a scan adds before it tests again, and the level of the test: a candidate that is just as near as the
+#: threshold is given up with this probability a test; nearer ones with less.
+BLOCK, LEVEL = 16, 0.005
+#: Share of pairs below which a scan goes on with the pairs that stay, one by one, instead of whole blocks.
+FEW = 0.1
 #: Vectors of one list, and queries, that one task holds at once; larger lists are split.
 LIST_ROWS, QUERY_ROWS = 4096, 4096
 #: Pairs of a query and a candidate that one numpy pass compares.
@@ -76,40 +78,62 @@ def rotation(n: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def shares(n: int) -> list[tuple[int, float]]:
+    """(t, share) after each block of t of n dimensions: the part of a squared distance that lies in t random directions is
+    above the share with probability LEVEL. It is distributed as Beta(t / 2, (n - t) / 2), summed numerically here."""
+    x = (np.arange(20_000) + 0.5) / 20_000
+    out = []
+    for t in range(BLOCK, n, BLOCK):
+        density = (t / 2 - 1) * np.log(x) + ((n - t) / 2 - 1) * np.log1p(-x)
+        below = np.cumsum(np.exp(density - density.max()))
+        out.append((t, float(x[min(len(x) - 1, np.searchsorted(below, (1 - LEVEL) * below[-1]))])))
+    return [*out, (n, 1.0)]
+
+
 def scan(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of queries, row of vectors) that may be among the k nearest of a query in this list: adaptive scan of both,
-    unit rows. The k candidates that look nearest after the first block give each query its threshold, their largest full
-    distance, and always stay."""
+    unit rows. After each block the 2 k candidates that look nearest are measured in full: the k-th least distance is the
+    query's threshold from then on, and the k least always stay. A block is a product of matrices while many pairs stay, and is
+    summed for the pairs that stay once they are few."""
     n = vectors.shape[1]
     turn = rotation(n)
     q, v = queries @ turn, vectors @ turn
-    found = []
+    tests, none = shares(n), np.zeros(0, np.int64)
+    found_i, found_j = [none], [none]
     step = max(1, PAIRS // max(1, len(v)))
     for at in range(0, len(q), step):
         own = q[at : at + step]
-        t = min(BLOCK, n)
-        part = (own[:, :t] ** 2).sum(axis=1)[:, None] + (v[:, :t] ** 2).sum(axis=1)[None] - 2 * own[:, :t] @ v[:, :t].T
         if len(v) <= k:
-            i, j = np.indices(part.shape).reshape(2, -1)
-            found.append((i + at, j))
+            i, j = np.indices((len(own), len(v))).reshape(2, -1)
+            found_i.append(i + at)
+            found_j.append(j)
             continue
-        first = np.argpartition(part, k - 1, axis=1)[:, :k]
-        limit = ((own[:, None] - v[first]) ** 2).sum(axis=2).max(axis=1)
-        stay = part <= (limit * (t / n) * (1 + EPSILON / np.sqrt(t)) ** 2)[:, None]
-        np.put_along_axis(stay, first, False, axis=1)
-        i, j = np.nonzero(stay)
-        d = part[i, j]
-        while t < n:
-            to = min(t + BLOCK, n)
-            d = d + ((own[i, t:to] - v[j, t:to]) ** 2).sum(axis=1)
+        part = np.zeros((len(own), len(v)))
+        limit, t = np.full(len(own), np.inf), 0
+        i = j = d = first = None
+        for to, share in tests:
+            if i is None:
+                part -= 2 * (own[:, t:to] @ v[:, t:to].T)
+                part += (own[:, t:to] ** 2).sum(axis=1)[:, None]
+                part += (v[:, t:to] ** 2).sum(axis=1)
+                seem = np.argpartition(part, min(2 * k, len(v)) - 1, axis=1)[:, : 2 * k]
+                full = ((own[:, None] - v[seem]) ** 2).sum(axis=2)
+                best = np.argpartition(full, k - 1, axis=1)[:, :k]
+                limit = np.minimum(limit, np.take_along_axis(full, best, axis=1).max(axis=1))
+                first = np.take_along_axis(seem, best, axis=1)
+                stay = part <= (limit * share * (1 + 1e-9) + 1e-13)[:, None]  # the last test is of the distance itself
+                if to == n or np.count_nonzero(stay) < FEW * stay.size:
+                    i, j = np.nonzero(stay)
+                    d = part[i, j]
+            else:
+                d = d + ((own[i, t:to] - v[j, t:to]) ** 2).sum(axis=1)
+                near = d <= limit[i] * share * (1 + 1e-9) + 1e-13
+                i, j, d = i[near], j[near], d[near]
             t = to
-            width = 1 + EPSILON / np.sqrt(t) if t < n else 1 + 1e-9  # the last test is of the distance itself
-            near = d <= limit[i] * (t / n) * width**2
-            i, j, d = i[near], j[near], d[near]
-        found.append((np.concatenate([i, np.repeat(np.arange(len(own)), k)]) + at, np.concatenate([j, first.ravel()])))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+        pairs = np.unique(np.concatenate([i * len(v) + j, (np.arange(len(own))[:, None] * len(v) + first).ravel()]))
+        found_i.append(pairs // len(v) + at)
+        found_j.append(pairs % len(v))
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
