@@ -72,6 +72,14 @@ def grids(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.lit("grid").alias("variable"), date.alias("date"), "label", "vec_id", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), F.col("v").cast("double").alias("value"))
 
 
+def grid_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same grids, an array a row."""
+    date = F.date_add(F.lit("2020-01-01").cast("date"), F.col("vec_id").cast("int"))
+    return table(spark, sf, "embeddings").select(
+        F.lit("grid").alias("variable"), date.alias("date"), F.col("label").cast("int").alias("label"), "vec_id", F.col("embedding").cast("array<double>").alias("data")
+    )
+
+
 def ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """The first six numbers of an embedding as horizons; its label as run, its id as sample."""
     rows = table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("run_id"), F.col("vec_id").alias("sample"), F.posexplode("embedding").alias("horizon", "v"))

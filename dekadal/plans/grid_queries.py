@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import features, forecast, grid, patches, region, scale
-from .bindings import BOX, DST, META16, SRC, cube, dk, ensemble, filled, grids, query, r4, sql, table
+from ..operators import features, forecast, grid, patches, region, scale, tiles
+from .bindings import BOX, DST, META16, SRC, cube, dk, ensemble, filled, grid_rows, grids, query, r4, sql, table
 
 S = SparkSession
 
@@ -233,7 +233,9 @@ AX = """ax AS (SELECT t, (plc - k)::INT AS i, CASE WHEN k = 0 THEN 1 - (pos - fl
 
 @query(sql("grids", """SELECT variable, date, a.t::INT AS y, b.t::INT AS x, round(sum(value * a.w * b.w) / sum(CASE WHEN value IS NOT NULL THEN a.w * b.w END), 4) + 0 AS value FROM grids g JOIN ax a ON g.y = a.i JOIN ax b ON g.x = b.i WHERE a.w * b.w > 0 GROUP BY ALL""", AX))
 def regrid_bilinear(spark: S, sf: str) -> DataFrame:
-    return grid.regrid_bilinear(grids(spark, sf), SRC, DST).withColumn("value", r4("value"))
+    """In tiles of 4 x 4; cells are a view of the result."""
+    rows = tiles.grid_tiles(grid_rows(spark, sf).select("variable", "date", "data"), 8, 8, 4)
+    return tiles.tile_cells(tiles.tile_regrid(rows, SRC, DST, tile=4), 16, 16, 4).withColumn("value", r4("value"))
 
 
 @query(sql("grids", "SELECT variable, date, t::INT AS y, u::INT AS x, round(value, 4) + 0 AS value FROM grids, range(0, 16) a(t), range(0, 16) b(u) WHERE t // 2 = y AND u // 2 = x"))
@@ -337,12 +339,17 @@ def union_regions(spark: S, sf: str) -> DataFrame:
     return region.union_regions([n, r])
 
 
-# ---- patches: the grids of each label are a stack of dates; patch 4, stride 2
+# ---- patches: the grids of each label are a stack of dates; patch 4, stride 2, tiles of 2 x 2
 
 
-def labelled_pixels(spark: S, sf: str, steps: int = 3) -> DataFrame:
-    rows = grids(spark, sf).select("label", "date", "y", "x", F.lit("g").alias("channel"), "value")
-    return patches.patch_pixels(patches.patch_windows(rows, 8, 8, size=4, stride=2, steps=steps, end_offset=1, keys=["label"]), ["label"])
+def labelled_patches(spark: S, sf: str, steps: int = 3) -> DataFrame:
+    rows = grid_rows(spark, sf).select("label", "date", F.lit("g").alias("channel"), "data")
+    return tiles.tile_patches(tiles.grid_tiles(rows, 8, 8, 2), 8, 8, size=4, stride=2, steps=steps, end_offset=1, keys=["label"], tile=2)
+
+
+def labelled_pixels(spark: S, sf: str) -> DataFrame:
+    """The cells of the patches, a view."""
+    return tiles.square_cells(labelled_patches(spark, sf), 4)
 
 
 LABEL_DATES = "ld AS (SELECT label, date, (4 - r)::INT AS step FROM (SELECT label, date, row_number() OVER (PARTITION BY label ORDER BY date DESC) AS r FROM (SELECT DISTINCT label, date FROM grids)) WHERE r BETWEEN 2 AND 4)"
@@ -362,7 +369,8 @@ def crop_border(spark: S, sf: str) -> DataFrame:
 @query(sql("grids", """SELECT st.label, st.step, a.y::INT AS y, b.x::INT AS x, round(m.value, 4) + 0 AS value FROM (SELECT DISTINCT label, step FROM px) st, range(0, 8) a(y), range(0, 8) b(x)
     LEFT JOIN (SELECT label, step, y0 + y AS y, x0 + x AS x, avg(value) AS value FROM px WHERE y BETWEEN 1 AND 2 AND x BETWEEN 1 AND 2 GROUP BY ALL) m ON m.label = st.label AND m.step = st.step AND m.y = a.y AND m.x = b.x""", LABEL_DATES, LABEL_PIX))
 def mosaic_mean(spark: S, sf: str) -> DataFrame:
-    return patches.mosaic_mean(labelled_pixels(spark, sf), 8, 8, 4, border=1, keys=["label", "step"]).withColumn("value", r4("value"))
+    mosaic = tiles.tile_mosaic(labelled_patches(spark, sf), 8, 8, 4, border=1, keys=["label", "step"], tile=2)
+    return tiles.tile_cells(mosaic, 8, 8, 2).withColumn("value", r4("value"))
 
 
 @query(sql("grids", "SELECT vec_id, y, x, (rk <= n)::INT AS flooded FROM (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY value DESC) AS rk, round_even(0.3 * count(*) OVER (PARTITION BY vec_id), 0) AS n FROM grids)"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators import align, features, forecast, grid, models
-from ..sources import files, readers, sinks
+from ..sources import files, history, readers, sinks
 from ..sources.staging import staging_dir
 from ..streaming import incremental
 from .bindings import META16, aligned, cube, dk, filled, query, r4, sql, table
@@ -129,8 +129,11 @@ def append_cube(spark: S, sf: str) -> DataFrame:
 
 @query(sql("aligned", ", mx AS (SELECT max(year(date) * 36 + month(date) * 3 + (day(date) - 1) // 10) AS m FROM aligned) SELECT series, date, CASE WHEN year(date) * 36 + month(date) * 3 + (day(date) - 1) // 10 > m - 18 THEN -1 ELSE round(value, 4) + 0 END AS value FROM aligned, mx").replace("\n, mx", ",\n mx"))
 def refresh_tail(spark: S, sf: str) -> DataFrame:
-    history = aligned(spark, sf)
-    return sinks.refresh_tail(history, history.withColumn("value", F.lit(-1.0))).withColumn("value", r4("value"))
+    """A stored history whose tail is replaced."""
+    rows, path = aligned(spark, sf), staging_dir(spark, "history")
+    history.store_history(rows, path)
+    history.refresh_stored_tail(path, rows.withColumn("value", F.lit(-1.0)))
+    return history.read_history(spark, path).select("series", "date", r4("value").alias("value"))
 
 
 ALL_SQL = f"fa AS (SELECT {dk('l_shipdate')} AS date, avg(l_quantity) AS value FROM lineitem GROUP BY ALL)"
@@ -283,34 +286,41 @@ def stream_to_cube(spark: S, sf: str) -> DataFrame:
 
 @query(f"SELECT {dk('ts')} AS dekad, event_type, count(*) AS n, round(sum(value), 3) + 0 AS total, round(avg(value), 4) + 0 AS mean FROM events GROUP BY ALL")
 def tumbling_dekad(spark: S, sf: str) -> DataFrame:
-    """As a stream in complete mode over four files; the last result."""
+    """As a stream in update mode over four files, each with events of all dekads, into a stored table."""
     path, schema = event_files(spark, sf)
-    name = "dekads_" + path.rsplit("-", 1)[-1]
-    stream = incremental.tumbling_dekad(incremental.parquet_stream(spark, path, schema), keys=["event_type"])
-    stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", staging_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("dekad", "event_type", "n", (F.round("total", 3) + 0.0).alias("total"), r4("mean").alias("mean"))
+    target = staging_dir(spark, "dekads")
+    stream = incremental.parquet_stream(spark, path, schema)
+    incremental.tumbling_dekad_stream(stream, target, staging_dir(spark, "checkpoint"), keys=["event_type"], late="60 days").awaitTermination()
+    return spark.read.parquet(target).select("dekad", "event_type", "n", (F.round("total", 3) + 0.0).alias("total"), r4("mean").alias("mean"))
 
 
 @query(sql("aligned", """, mx AS (SELECT max(year(date) * 36 + month(date) * 3 + (day(date) - 1) // 10) AS m FROM aligned), p AS (SELECT *, year(date) * 36 + month(date) * 3 + (day(date) - 1) // 10 <= m - 18 AS late FROM aligned, mx)
     SELECT 'history' AS side, series, date, CASE WHEN late OR month(date) % 2 = 1 THEN round(value, 4) + 0 ELSE 7 END AS value FROM p UNION ALL SELECT 'late', series, date, 7 FROM p WHERE late AND month(date) % 2 = 0""").replace("\n, mx", ",\n mx"))
 def late_data_refresh(spark: S, sf: str) -> DataFrame:
-    history = aligned(spark, sf)
-    kept, late = incremental.late_data_refresh(history, history.where("month(date) % 2 = 0").withColumn("value", F.lit(7.0)))
-    return kept.select(F.lit("history").alias("side"), "series", "date", r4("value").alias("value")).union(late.select(F.lit("late"), "series", "date", "value"))
+    """Revisions of all even months arrive in four files; most come too late."""
+    rows = aligned(spark, sf)
+    target, late, path = (staging_dir(spark, n) for n in ("history", "late", "revisions"))
+    sinks.overwrite_parts(rows, target, ["date"])
+    revised = spark.read.parquet(target).where("month(date) % 2 = 0").select("series", "date", F.lit(7.0).alias("value"))
+    revised.repartition(4, "series").write.parquet(path)
+    stream = incremental.parquet_stream(spark, path, revised.schema)
+    incremental.refresh_stream(stream, target, late, staging_dir(spark, "checkpoint")).awaitTermination()
+    kept, missed = (sinks.stored(spark, p, "series string, value double, date date") for p in (target, late))
+    return kept.select(F.lit("history").alias("side"), "series", "date", r4("value").alias("value")).union(missed.select(F.lit("late"), "series", "date", "value"))
 
 
 @query("SELECT event_type, ts, event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) + 0 AS cumulative FROM events")
 def continue_cumulative(spark: S, sf: str) -> DataFrame:
-    """Three batches by time, each continued from the state of the one before."""
-    events = table(spark, sf, "events").select("event_type", "ts", "event_id", "value", F.struct("ts", "event_id").alias("at"), cal.dekad_no("ts").alias("b"))
-    state, out = None, None
-    for b in (1, 2, 3):
-        rows, state = incremental.continue_cumulative(events.where(F.col("b") == b), state, ["event_type"], "at")
-        path = staging_dir(spark, "state")
-        state.write.parquet(path)
-        state = spark.read.parquet(path)
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("event_type", "ts", "event_id", (F.round("cumulative", 2) + 0.0).alias("cumulative"))
+    """As a stream over five files, restarted after the third: a file for each dekad, then two of events that come late."""
+    rows = table(spark, sf, "events").select("event_type", "ts", "event_id", "value")
+    path, target, ends, checkpoint = (staging_dir(spark, n) for n in ("arriving", "sums", "ends", "checkpoint"))
+    late, dekad = F.col("event_id") % 7 == 0, cal.dekad_no("ts")
+    for files in ([~late & (dekad == k) for k in (1, 2, 3)], [late & (F.col("event_id") % 2 == k) for k in (0, 1)]):
+        for own in files:
+            rows.where(own).coalesce(1).write.mode("append").parquet(path)  # a file as one source of a day makes it
+        stream = incremental.parquet_stream(spark, path, rows.schema)
+        incremental.cumulative_stream(stream, target, ends, checkpoint, ["event_type"], ["ts", "event_id"]).awaitTermination()
+    return spark.read.parquet(target).select("event_type", "ts", "event_id", (F.round("cumulative", 2) + 0.0).alias("cumulative"))
 
 
 # ---- models

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -18,24 +18,48 @@ def write_series(df: DataFrame, path: str, fmt: str = "csv") -> None:
 def append_cube(df: DataFrame, path: str) -> None:
     """New dates of a cube; dates that are there already are replaced, all others stay. Rows move to their date first, so
     that a date is one file and not one of each task; adaptive execution splits a large date."""
-    df.hint("rebalance", "variable", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("variable", "date").parquet(path)
+    overwrite_parts(df, path, ["variable", "date"])
 
 
-def merge_cube(df: DataFrame, path: str, keys: tuple[str, ...] = ("variable", "date", "y", "x")) -> None:
-    """Cells of a stored cube: those that come again are replaced, all others stay, those of the same dates among them. The
-    dates that df touches are put together in the shared folder, and then overwritten."""
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of those that share keys: the largest, by its other columns in their order, nulls least."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__best")) if rest else df.distinct()
+    return best.select(*[F.col(c) if c in keys else F.col(f"__best.{c}").alias(c) for c in df.columns])
+
+
+def overwrite_parts(rows: DataFrame, path: str, parts: list[str]) -> None:
+    """Replace the partitions that rows have, and no others. Rows move to their partition first, so that it is one file and
+    not one of each task; adaptive execution splits a large one."""
+    rows.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What is stored, or an empty table of the schema where nothing is."""
     from pyspark.errors import AnalysisException
 
-    spark = df.sparkSession
     try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:  # nothing is stored yet
-        return append_cube(df, path)
-    days = df.select("variable", "date").distinct()
-    old = stored.join(days, ["variable", "date"], "left_semi").join(df.select(*keys).distinct(), [*keys], "left_anti")
-    whole = staging_dir(spark, "merged-cube")
-    old.select(df.columns).union(df).write.parquet(whole)
-    append_cube(spark.read.schema(df.schema).parquet(whole), path)
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def upsert(df: DataFrame, path: str, keys: list[str], parts: list[str]) -> None:
+    """Rows of a stored table: those whose keys come again are replaced, all others stay, those of the same partitions among
+    them; of rows of df that share keys the largest counts. The partitions that df touches are put together in the
+    shared folder, and then overwritten, so that a run that is repeated changes nothing."""
+    spark, new = df.sparkSession, one_of_each(df, keys)
+    touched = df.select(*parts).distinct()
+    old = stored(spark, path, df.schema).join(touched, parts, "left_semi").join(new.select(*keys), keys, "left_anti")
+    whole = staging_dir(spark, "merged")
+    old.select(df.columns).union(new.select(df.columns)).write.parquet(whole)
+    overwrite_parts(spark.read.schema(df.schema).parquet(whole), path, parts)
+
+
+def merge_cube(df: DataFrame, path: str, keys: tuple[str, ...] = ("variable", "date", "y", "x")) -> None:
+    """Cells of a stored cube: those that come again are replaced, all others stay, those of the same dates among them; of
+    cells that df repeats the largest value stays."""
+    upsert(df, path, list(keys), ["variable", "date"])
 
 
 def refresh_tail(history: DataFrame, fresh: DataFrame, n: int = 18, time: str = "date") -> DataFrame:
