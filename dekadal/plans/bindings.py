@@ -81,9 +81,11 @@ def grid_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ensemble(spark: SparkSession, sf: str) -> DataFrame:
-    """The first six numbers of an embedding as horizons; its label as run, its id as sample."""
-    rows = table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("run_id"), F.col("vec_id").alias("sample"), F.posexplode("embedding").alias("horizon", "v"))
-    return rows.where("horizon < 6").select("run_id", "sample", "horizon", F.col("v").cast("double").alias("value"))
+    """All numbers of an embedding as samples of six horizons; its label as run. Of 64 numbers the last four begin an eleventh
+    sample, whose last two horizons are null."""
+    rows = table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("run_id"), "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("p"))
+    sample = (F.col("vec_id") * 11 + F.floor(F.col("p") / 6)).alias("sample")
+    return rows.select("run_id", sample, (F.col("p") % 6).cast("int").alias("horizon"), F.get("embedding", F.col("p")).cast("double").alias("value"))
 
 
 #: Prices have two decimals, so their means lie on ties of any rounding; times this factor they don't.
@@ -116,7 +118,7 @@ _FIT = """fit AS (SELECT series, regr_slope(value, 6 - r) AS slope, regr_interce
 _FILLED = """filled AS (SELECT series, date, coalesce(value, intercept + slope * (5 + k)) AS value FROM (SELECT *, sum((value IS NULL)::INT) OVER (PARTITION BY series ORDER BY date) AS k FROM interp) LEFT JOIN fit USING (series))"""
 _CUBE = "cube AS (SELECT 'quantity' AS variable, l_shipdate::DATE AS date, (l_suppkey % 16)::INT AS y, (l_partkey % 16)::INT AS x, avg(l_quantity) AS value FROM lineitem GROUP BY ALL)"
 _GRIDS = "grids AS (SELECT 'grid' AS variable, DATE '2020-01-01' + vec_id::INT AS date, label::INT AS label, vec_id, (p // 8)::INT AS y, (p % 8)::INT AS x, embedding[p + 1]::DOUBLE AS value FROM (SELECT *, unnest(range(0, len(embedding))) AS p FROM embeddings))"
-_ENS = "ens AS (SELECT label::INT AS run_id, vec_id AS sample, h::INT AS horizon, embedding[h + 1]::DOUBLE AS value FROM embeddings, range(0, 6) t(h))"
+_ENS = "ens AS (SELECT label::INT AS run_id, vec_id * 11 + p // 6 AS sample, (p % 6)::INT AS horizon, embedding[p + 1]::DOUBLE AS value FROM embeddings, range(0, 66) t(p))"
 
 PARTS = {"obs": _OBS, "spine": _SPINE, "dated": _ASOF, "means": _MEANS, "aligned": _ALIGNED, "num": _NUM, "edge": _EDGE, "interp": _INTERP, "fit": _FIT, "filled": _FILLED, "cube": _CUBE, "grids": _GRIDS, "ens": _ENS}
 SERIES = ["obs", "spine", "dated", "means", "aligned", "num", "edge", "interp", "fit", "filled"]

@@ -110,7 +110,7 @@ PAIRS = "pairs AS (SELECT sample AS run_id, horizon, value AS truth, lead(value)
 def pairs(spark: S, sf: str) -> DataFrame:
     rows = ensemble(spark, sf)
     nxt = F.lead("value").over(Window.partitionBy("sample").orderBy("horizon"))
-    return rows.select(F.col("sample").alias("run_id"), "horizon", F.col("value").alias("truth"), nxt.alias("predicted")).where("predicted is not null")
+    return rows.select(F.col("sample").alias("run_id"), "horizon", F.col("value").alias("truth"), nxt.alias("predicted")).where("truth is not null and predicted is not null")
 
 
 @query(sql("ens", """SELECT round(mse, 6) AS mse, round(p, 6) AS sign_penalty, round(d2, 6) AS sum_penalty, round(mse * p + 0.1 * d2, 5) AS loss FROM (

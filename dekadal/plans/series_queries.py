@@ -319,14 +319,21 @@ def monthly(spark: S, sf: str, status: str, name: str) -> DataFrame:
 MONTHLY = "{1} AS (SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, round(avg(o_totalprice * 0.01414213562::DOUBLE), 4) + 0 AS {1} FROM orders WHERE o_orderstatus = '{0}' GROUP BY ALL)"
 
 
-@query(f"WITH {MONTHLY.format('O', 'open')}, {MONTHLY.format('F', 'done')} SELECT make_date(year, month, 25) AS date_represented, (make_date(year, month, 25) + INTERVAL 1 MONTH)::DATE AS date_reported, open, done FROM open FULL JOIN done USING (year, month)")
+#: Orders by status, as three sources.
+STATUSES = {"open": "O", "done": "F", "pending": "P"}
+MONTHLIES = ", ".join(MONTHLY.format(status, name) for name, status in STATUSES.items())
+
+
+@query(f"""WITH {MONTHLIES} SELECT make_date(year, month, 25) AS date_represented, (make_date(year, month, 25) + INTERVAL 1 MONTH)::DATE AS date_reported, open, done, pending
+    FROM open FULL JOIN done USING (year, month) FULL JOIN pending USING (year, month)""")
 def merge_indices(spark: S, sf: str) -> DataFrame:
-    return align.merge_indices({n: align.representation_dates(monthly(spark, sf, s, n), False) for s, n in (("O", "open"), ("F", "done"))})
+    return align.merge_indices({n: align.representation_dates(monthly(spark, sf, s, n), False) for n, s in STATUSES.items()})
 
 
-@query(f"WITH {MONTHLY.format('O', 'open')}, {MONTHLY.format('F', 'done')} SELECT year, month, open, done FROM open JOIN done USING (year, month)")
+@query(f"WITH {MONTHLIES} SELECT year, month, open, done, pending FROM open JOIN done USING (year, month) JOIN pending USING (year, month)")
 def join_sections(spark: S, sf: str) -> DataFrame:
-    return align.join_sections(monthly(spark, sf, "O", "open"), monthly(spark, sf, "F", "done"))
+    first, second, third = (monthly(spark, sf, s, n) for n, s in STATUSES.items())
+    return align.join_sections(align.join_sections(first, second), third)
 
 
 @query("SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, round(avg(o_totalprice * 0.01414213562::DOUBLE), 4) + 0 AS price FROM orders GROUP BY ALL")

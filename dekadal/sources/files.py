@@ -47,15 +47,14 @@ def missing_files(expected: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def latest_forecast(spark: SparkSession, base: str) -> DataFrame:
-    """The table of the newest run below base: run folders are named <start>_to_<end>, and the end decides. Reading it
-    fails if the run has more than one CSV."""
+    """The table of the newest run below base: run folders are named <start>_to_<end>, and the end decides. The newest run is
+    found among the names of files; no other run's file is opened. A run without exactly one CSV is an error."""
     from ..sources.readers import normalise_forecast_schema
 
-    rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(base)
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]{4}-[0-9]{2}-[0-9]{2}_to_[0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
-    tagged = rows.select("*", run.alias("run_id"), F.col("_metadata.file_path").alias("__file"))
-    newest = tagged.groupBy().agg(F.max_by("run_id", F.split_part(F.col("run_id"), F.lit("_to_"), F.lit(2))).alias("run_id"))
-    own = tagged.join(F.broadcast(newest), "run_id", "left_semi")
-    files = own.agg(F.count_distinct("__file").alias("n")).select(F.assert_true(F.col("n") == 1, F.lit("one CSV expected in the latest run")).alias("__ok"))
-    table = normalise_forecast_schema(own.drop("__file").withColumnRenamed("run_id", "__run"))
-    return table.join(F.broadcast(files), F.col("__ok").isNull()).drop("__ok")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(base).select("path")
+    run = F.regexp_extract("path", r"/([0-9]{4}-[0-9]{2}-[0-9]{2}_to_[0-9]{4}-[0-9]{2}-[0-9]{2})/", 1)
+    runs = files.select("path", run.alias("run")).where("run <> ''").groupBy("run").agg(F.count("*").alias("n"), F.max("path").alias("path"))
+    newest = runs.orderBy(F.desc(F.split_part("run", F.lit("_to_"), F.lit(2))), F.desc("run")).limit(1).first()
+    if newest is None or newest["n"] != 1:
+        raise ValueError(f"one CSV expected in the latest run below {base}, found {newest['n'] if newest else 0}")
+    return normalise_forecast_schema(spark.read.option("header", True).csv(newest["path"]))
