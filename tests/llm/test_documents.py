@@ -9,6 +9,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import pytest
+from brute import prose
 
 from dekadal.llm import _stats, _text, license_scan, packing, pii, quality_rules, token_counts, toxicity
 from dekadal.llm._tokens import default_vocabulary, tokenizer
@@ -247,12 +248,13 @@ def test_token_files_of_any_id_and_size(spark, texts, tmp_path):
     docs = spark.read.parquet(saved)
     for width, end in ((2, token_counts.END), (2, 65535), (4, 70_000)):
         path = str(tmp_path / f"t{width}{end}")
-        token_counts.write_token_files(docs, path, end_id=end, width=width)
+        token_counts.write_token_runs(token_counts.with_rows(docs), path, end_id=end, width=width)
         counts = token_counts.token_counts(spark, path, end_id=end, block_ids=101, width=width).collect()
-        number = {(r.shard, r.document): r.doc_id for r in token_counts.numbered(docs).collect()}
+        number = {tuple(r[:2]): r[2] for r in token_counts.with_rows(docs).select("__file", "__row", "doc_id").collect()}
         assert len(counts) == len(texts) == len(number)
         for r in counts:
-            own = ids[number[int(r.file.split("-")[1]), r.document]]
+            file, first = (int(part.split("=")[1]) for part in r.file.split("/")[:2])
+            own = ids[number[file, first + r.document]]
             with open(f"{path}/{r.file}", "rb") as f:
                 v = np.frombuffer(f.read(), f"<u{width}")
             assert v[r.start : r.start + r.n_tokens + 1].tolist() == [*own, end]
@@ -270,6 +272,34 @@ def test_token_files_of_any_id_and_size(spark, texts, tmp_path):
         token_counts.token_counts(spark, str(tmp_path / "d")).collect()
 
 
+@pytest.mark.parametrize("group", [4096, 2])
+def test_ids_do_not_depend_on_how_a_table_is_split(spark, tmp_path, monkeypatch, group):
+    """Another parallelism, and so other splits, where counts are read than where files were written."""
+    monkeypatch.setattr(token_counts, "GROUP", group)
+    rng = random.Random(7)
+    rows = [(3 * i, prose(rng, rng.choice([0, 5, 40, 900]))) for i in range(600)] + [(None, "a null id"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.option("parquet.block.size", 1 << 16).parquet(str(tmp_path / "documents.parquet"))
+    model = tokenizer(default_vocabulary()).model
+    want = sorted((str(i), len(model.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 12)
+    seen = set()
+    try:
+        for write, read in ((1, 16), (16, 1), (3, 40)):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", write)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", (1 << 24) // write**2)
+            got = token_counts.op3_token_counts(spark, str(tmp_path))
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", read)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", (1 << 24) // read**2)
+            found = got.collect()
+            assert sorted((str(r.doc_id), r.n_tokens) for r in found) == want
+            seen.add(len({r.shard for r in found}))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(seen) > 1  # the splits did differ
+
+
 def test_an_id_above_the_width_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="does not fit 2 bytes"):
         token_counts.write_token_files(spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1), str(tmp_path / "t"), vocabulary=big_vocabulary(tmp_path))
