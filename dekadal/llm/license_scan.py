@@ -9,6 +9,7 @@ suffix, which the automaton's suffix links tell without a second search.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ from ._text import ALNUM_LOWER, LOWER, hash_word, map_texts, run_hashes, runs, t
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
+#: Tokens of a run that are stepped one after another.
+PIECE = 4096
+
 # The phrases of the contract and excerpts of public licence texts and notices.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = [
@@ -116,10 +120,19 @@ class Automaton:
         return s
 
     def statistics(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Matching statistics of many token runs, one step of all runs at a time: states and lengths per token."""
+        """Matching statistics of many token runs, one step of all runs at a time: states and lengths per token.
+
+        Long runs are stepped in pieces, side by side. No match is longer than the longest template, so a piece that begins
+        that many tokens early, from nothing, is in the run's own state when its tokens come.
+        """
         state, length = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int32)
+        pieces = -(-size // PIECE)
+        run = np.repeat(np.arange(len(start)), pieces)
+        at = PIECE * (np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces))  # in its run
+        early = np.minimum(at, max(self.length))
+        start, size = start[run] + at - early, np.minimum(PIECE, size[run] - at) + early
         order = np.argsort(-size, kind="stable")
-        start, size = start[order], size[order]
+        start, size, early = start[order], size[order], early[order]
         s, n = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
         for step in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -step, "left"))  # runs longer than step
@@ -128,7 +141,8 @@ class Automaton:
             cap = self.cap[s0, a]
             n[:live] = np.where(cap < 0, 0, np.minimum(n[:live], cap) + 1)
             s[:live] = self.goto[s0, a]
-            state[at], length[at] = s[:live], n[:live]
+            own = early[:live] <= step
+            state[at[own]], length[at[own]] = s[:live][own], n[:live][own]
         return state, length
 
 
@@ -170,9 +184,12 @@ class Scanner:
         found = [(k, *c) for k, rows in by_template.items() for c in self.chain(rows)]
         long = [c for c in found if c[3] >= self.min_words or c[3] >= self.min_cover * len(self.templates[c[0]][1])]
         best: list[tuple[int, int, int, int]] = []
-        for c in sorted(long, key=lambda c: -c[3]):
-            if not any(o[3] > c[3] and o[1] < c[2] and c[1] < o[2] for o in best):
-                best.append(c)
+        taken = bytearray(max((c[2] for c in long), default=0))  # words of the chains that cover more
+        for _, tied in groupby(sorted(long, key=lambda c: -c[3]), key=lambda c: c[3]):
+            stay = [c for c in tied if taken.find(1, c[1], c[2]) < 0]
+            for c in stay:
+                taken[c[1] : c[2]] = b"\1" * (c[2] - c[1])
+            best += stay
         return sorted((self.templates[k][0], first, stop, n / len(self.templates[k][1])) for k, first, stop, n in best)
 
     def chain(self, rows: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, int]]:

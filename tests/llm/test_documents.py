@@ -182,6 +182,37 @@ def test_edited_templates_keep_their_labels(spark):
         assert label in got[i].labels.split(",") and label in got[len(edited) + i].labels.split(",")
 
 
+def test_notices_take_time_with_their_length(spark, monkeypatch):
+    """Ten megabytes of third-party notices, every template again and again, in one text; and, shorter and in small pieces,
+    the same as by plain search."""
+    import time
+
+    scanner = license_scan.Scanner()
+    rng = random.Random(5)
+    parts = [" ".join(t[rng.randrange(3) : len(t) - rng.randrange(3)]) for _, t in scanner.templates for _ in range(40)]
+    rng.shuffle(parts)
+    block = (" copyright holder ".join(parts) + "\n").encode()
+    text = np.frombuffer(block * (10_000_000 // len(block)), np.uint8)
+    began = time.process_time()
+    spans = scanner.scan(text, np.array([0, len(text)]))["spans"][0]
+    assert time.process_time() - began < 30 and spans.count(",") > 10_000
+    words = " ".join(parts[:30]).split(" ")
+    for piece in (1, 3, 50):
+        monkeypatch.setattr(license_scan, "PIECE", piece)
+        got = by_id(license_scan.scan_licenses(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), scanner))
+        one = scanner.scan(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]))["spans"][0]
+        assert [tuple(s.split(":")) for s in one.split(",")] == [(a, str(b), str(c)) for a, b, c in brute.chains(words, scanner.templates)] and got[1].spans == one
+
+
+def test_chains_that_cover_as_many_words_all_stay():
+    """Two templates share a passage and cover the same words of a text; a third covers fewer of them and goes."""
+    shared = "one two three four five six seven eight nine ten"
+    scanner = license_scan.Scanner({}, [("b", shared + " x"), ("a", "y " + shared), ("c", "three four five six seven eight nine ten z")])
+    text = f"start {shared} {'w ' * 12}three four five six seven eight nine ten".encode()
+    spans = scanner.scan(np.frombuffer(text, np.uint8), np.array([0, len(text)]))["spans"][0]
+    assert spans == "a:1:11,a:23:31,b:1:11,b:23:31,c:23:31"
+
+
 def chunked(texts):
     data = [(t or "").encode() for t in texts]
     return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
