@@ -4,11 +4,13 @@ One pass hashes the element subtrees of every page; Spark counts, per host, the
 subtree occurs on. Subtrees that recur across many pages of their host are its template, and a second pass deletes them.
 A subtree is hashed twice: as it stands, and by its form (names, classes and nesting without the words), since menus and
 notices change their words from page to page. By form, only what lies outside an article can be template, and of pages
-without one only subtrees whose text is mostly links.
+without one, and inside an article, only subtrees whose text is mostly links; inside an article, of these only divisions
+with a class, id or role of their own.
 
 What counts cannot tell, on hosts with few pages above all, markup does: elements that hold no article text by their name
-(scripts, forms, menus, footers and so on), containers whose class, id or role is the whole name of such a part, and, where
-a page has an article element, all text outside it. No such name drops a paragraph, a heading's container or most of a page.
+(scripts, forms, menus, footers and so on), containers whose class, id or role is the whole name of such a part, adverts by
+such a name in any element, lists of comments by their structure, and, where templates leave text outside an article
+element, that text. No such name drops the container of an article, main part or first heading, and no size decides.
 """
 
 from __future__ import annotations
@@ -37,7 +39,11 @@ BLOCK = set("address article aside blockquote body center dd details dialog div
 TEXT_BLOCK = set("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figcaption td th tr article main body html head".split())
 NO_TEXT = set("head form button select option noscript template svg canvas object label input script style textarea title xmp iframe noembed noframes".split())
 NO_ARTICLE = set("nav footer aside dialog menu".split())
-PARTS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie-banner cookie-notice cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer comment comments comment-list commentlist disqus_thread respond replies social share sharing related-posts recommended widget toolbar pagination pager skip-link complementary contentinfo search".split())
+ADVERTS = set("ad ads advert adverts advertisement advertisements advertising sponsored".split())
+#: What tells a comment by its structure: who, when, and a way to answer; each by element or by class.
+WHO, WHEN, ANSWER = set("author byline commenter username fn comment-author".split()), set("time date timestamp datetime comment-date comment-time comment-meta".split()), re.compile(r"repl(?:y|ies)|respond|answer", re.I)
+HEADINGS = set("h1 h2 h3".split())
+PARTS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie-banner cookie-notice cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer comment comments comment-list commentlist comments-list comments-area comment-area comments-section comment-section comment-thread disqus_thread respond replies social share sharing related-posts recommended widget toolbar pagination pager skip-link complementary contentinfo search".split())
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSABLE = {"p", "li", "dd", "dt", "tr", "td", "th", "option"}
 SCOPE = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "html", "blockquote", "form", "nav", "aside"}
@@ -51,13 +57,14 @@ def digest(text: str) -> int:
 class Element:
     """An open element. parts: its content for the hash; form: what its words leave; holds: an article or first heading."""
 
-    __slots__ = ("name", "key", "first", "parts", "form", "dropped", "part", "outside", "block", "counted", "holds", "n_text", "n_link")
+    __slots__ = ("name", "key", "kind", "first", "parts", "form", "dropped", "part", "outside", "block", "counted", "holds", "titled", "marks", "items", "n_text", "n_link")
 
     def __init__(self, name: str, key: str, first: int, block: bool, form: list[str] | None):
         self.name, self.key, self.first, self.block = name, key, first, block
         self.parts, self.form = [key], [] if form is None else form
-        self.dropped = self.part = self.outside = self.counted = self.holds = False
-        self.n_text = self.n_link = 0
+        self.dropped = self.part = self.outside = self.counted = self.holds = self.titled = False
+        self.n_text = self.n_link = self.marks = 0
+        self.items: dict[str, list[tuple[int, int]]] = {}  # blocks of what looks like a comment inside, by name and class
 
 
 class Page:
@@ -142,14 +149,20 @@ class Page:
                 self.imply(name)
         if name in VOID:
             return
-        key, words = name, set()
+        key, kind, words = name, name, set()
         if attributes:
             for a, x, y, z in ATTRIBUTE.findall(attributes):
                 value = (x or y or z).lower()
                 key += f" {a.lower()}={value}"
+                kind += f".{' '.join(value.split()[:1])}" if a.lower() == "class" else ""
                 words.update(["hidden"] if a.lower() == "hidden" else value.split())
         e = Element(name, key, len(self.blocks), block, None if block or not self.open else self.open[-1].form)
-        e.dropped = name in NO_TEXT or "hidden" in words
+        e.kind = kind
+        advert = (not block or name in ("p", "li", "dd", "dt", "figcaption")) and not words.isdisjoint(ADVERTS)
+        e.dropped = name in NO_TEXT or "hidden" in words or advert
+        who, when = name in ("cite", "address") or not words.isdisjoint(WHO), name == "time" or not words.isdisjoint(WHEN)
+        e.marks = who + 2 * when + 4 * (name in ("a", "button") and ANSWER.search(attributes) is not None)
+        e.titled = name in HEADINGS
         comment = name == "article" and not words.isdisjoint(PARTS)
         e.outside = name in NO_ARTICLE or comment or (name == "header" and not self.articles)
         e.part = block and name not in TEXT_BLOCK and not words.isdisjoint(PARTS)
@@ -160,7 +173,7 @@ class Page:
         self.outside += e.outside
         if name == "a":
             self.links += 1
-            if not e.form or e.form[-1] != "a":
+            if e.form[-1:] != ["a"] and e.form[-2:] != ["a", "text"]:  # any number of links is one form
                 e.form.append("a")
         if block:
             self.blocks_open[name] = self.blocks_open.get(name, 0) + 1
@@ -220,6 +233,9 @@ class Page:
             self.has_article |= len(self.blocks) > e.first
         self.mains -= name == "main"
         self.has_article |= name == "main" and len(self.blocks) > e.first
+        for spans in e.items.values():
+            if len(spans) > 1:  # several alike beside each other: a list of comments
+                self.parts += spans
         whole = " ".join("\x00".join(e.parts).split())
         h = digest(whole)
         up = self.open[-1] if self.open else None
@@ -231,6 +247,10 @@ class Page:
             up.n_text += e.n_text
             up.n_link += e.n_link
             up.holds |= e.holds
+            up.titled |= e.titled
+            up.marks |= e.marks
+            if e.block and e.marks == 7 and not e.titled and not e.holds:
+                up.items.setdefault(e.kind, []).append((e.first, len(self.blocks)))
             if e.block and (not up.form or up.form[-1] != str(form)):
                 up.form.append(str(form))
         if e.counted and e.n_text:
@@ -238,27 +258,23 @@ class Page:
             self.subtrees.add(h)
             if h in self.deleted:
                 self.cut.append(span)
-            if not e.holds and not self.articles and not self.mains:
+            inside = self.articles or self.mains
+            if not e.holds and (not inside or (name in ("div", "section") and e.key != name)):
                 if 2 * e.n_link >= e.n_text:
                     self.subtrees.add(form)
                     if form in self.deleted:
                         self.cut.append(span)
-                else:
+                elif not inside:
                     self.outer.append((form, *span))
             if e.part and not e.holds:
                 self.parts.append(span)
 
-    def main_text(self) -> tuple[str, int]:
-        """The main text, and how many blocks of the page its host's templates took away."""
-        total = list(accumulate((0 if b[2] else len(b[3]) for b in self.blocks), initial=0))
-        template = self.covered(self.cut)
-        part = self.covered([(a, b) for a, b in self.parts if 2 * (total[b] - total[a]) <= total[-1]])
+    def main_text(self) -> tuple[str, int, int]:
+        """The main text, how many blocks of the page its host's templates took away, and how many markup alone."""
+        template, part = self.covered(self.cut), self.covered(self.parts)
         left = [b for b, t, p in zip(self.blocks, template, part, strict=True) if not (t or p or b[2])]
-        for k in (0, 1):
-            own = [b[3] for b in left if b[k]]
-            if own:
-                return "\n".join(own), sum(template)
-        return "\n".join(b[3] for b in left), sum(template)
+        own = next((o for o in ([b for b in left if b[k]] for k in (0, 1)) if o), left)
+        return "\n".join(b[3] for b in own), sum(template), len(self.blocks) - sum(template) - len(own)
 
     def covered(self, spans: list[tuple[int, int]]) -> list[bool]:
         """Of each block, whether a span holds it."""
@@ -274,12 +290,15 @@ def host(url: str) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))
 
 
-def site_templates(pages: DataFrame, min_pages: int = 4, min_share: float = 0.01, url: str = "url", source: str = "html") -> DataFrame:
-    """(host, subtrees): hashes of the subtrees on at least min_pages pages, and min_share of the pages, of the host.
+def site_templates(
+    pages: DataFrame, min_pages: int = 4, min_share: float = 0.01, many: int = 1000, url: str = "url", source: str = "html",
+) -> DataFrame:
+    """(host, subtrees): hashes of the subtrees on at least min_pages pages, and on min_share of the pages or on many pages,
+    of the host.
 
     Pages of one host with the same text count once, so copies of a page make no template; a host with fewer than
     min_pages different texts has none. A host has at most 1 / min_share times as many template subtrees as its mean page
-    has subtrees, so the array of a host is bounded. Hot hosts: the counts combine before the shuffle, which deals by
+    has subtrees, or 1 / many of its pages' subtrees if that is more. Hot hosts: the counts combine before the shuffle, which deals by
     (host, subtree, body). Null html is an empty page, which has no subtrees; a null url is a host of its own; repeated
     rows are copies; an empty table gives none; other columns are not read. A page is parsed whole.
     """
@@ -302,7 +321,7 @@ def site_templates(pages: DataFrame, min_pages: int = 4, min_share: float = 0.01
     counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n_pages"))
     counts = saved(counts.where(F.col("subtree").isNull() | (F.col("n_pages") >= min_pages)), "template-counts")
     total = counts.where("subtree is null").select("host", F.col("n_pages").alias("total"))
-    often = counts.where("subtree is not null").join(total, "host").where(F.col("n_pages") >= F.col("total") * min_share)
+    often = counts.where("subtree is not null").join(total, "host").where(F.col("n_pages") >= F.least(F.col("total") * min_share, F.lit(many)))
     return often.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
 
 
@@ -310,8 +329,8 @@ def extract_main_text(
     pages: DataFrame, id_col: str = "page_id", url: str = "url", source: str = "html",
     templates: DataFrame | None = None, **template,
 ) -> DataFrame:
-    """(id, url, text, n_chars, n_template_blocks) per page; the last one counts the blocks that its host's templates took
-    away, whether or not markup would have left them out too.
+    """(id, url, text, n_chars, n_template_blocks, n_markup_blocks) per page; the last ones count the blocks that its host's
+    templates took away, whether or not markup would have left them out too, and those that markup alone left out.
 
     templates: those of an earlier run; else they are counted over these pages. Null html is empty text, a null url a
     host of its own, a null id passes through; repeated rows stay; an empty table gives none; other columns are not read.
@@ -336,11 +355,11 @@ def extract_main_text(
                     known = {key: frozenset(values.tolist()) if values is not None else NO_INTS}
                 made.append(Page(h.as_py(), known[key]).main_text())
             texts = [m[0] for m in made]
-            counts = [pa.array([len(t) for t in texts], pa.int64()), pa.array([m[1] for m in made], pa.int64())]
+            counts = [pa.array([len(t) for t in texts], pa.int64()), *[pa.array([m[k] for m in made], pa.int64()) for k in (1, 2)]]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), *counts]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, url, "text", "n_chars", "n_template_blocks"])
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, url, "text", "n_chars", "n_template_blocks", "n_markup_blocks"])
 
-    return joined.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url}` {kinds[url]}, text string, n_chars long, n_template_blocks long")
+    return joined.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url}` {kinds[url]}, text string, n_chars long, n_template_blocks long, n_markup_blocks long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,7 +229,7 @@ def site(pages, min_pages=4):
             for c in children:
                 new = [("text" if c.strip() else None)] if isinstance(c, str) else [form(c)] if c[0] in BLOCKS else ["a"] if c[0] == "a" else []
                 for x in new:
-                    if x and out[-1:] != [x]:
+                    if x and out[-1:] != [x] and not (x == "a" and out[-2:] == ["a", "text"]):
                         out.append(x)
                 if not isinstance(c, str) and c[0] not in BLOCKS:
                     walk(c[2])
@@ -242,7 +242,8 @@ def site(pages, min_pages=4):
         if node[0] in ("html", "body") or not size(node) or inside and node[0] in ("p", "h1", "li", "article"):
             return []
         out = [repr(node)]
-        if not inside and not holds(node) and (has_article or 2 * size(node, only=True) >= size(node)):
+        links = 2 * size(node, only=True) >= size(node)
+        if not holds(node) and (links and node[0] in ("div", "section") and node[1] if inside else has_article or links):
             out.append(form(node))
         return out
 

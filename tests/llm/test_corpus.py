@@ -266,6 +266,53 @@ def test_markup_drops_no_wrapper_or_paragraph():
     assert text("<article><div class='comments'><p>c</p></div><p>own text here</p></article><article class='comment'>d</article>") == "own text here"
 
 
+def comments(*words, tag="li", cls="comment"):
+    return "".join(f'<{tag} class="{cls}" id="c{k}"><cite>who{k}</cite> <time>12:0{k}</time><p>{w}</p><a href="/x?replytocom={k}">Reply</a></{tag}>' for k, w in enumerate(words))
+
+
+def test_comments_sidebars_and_adverts_leave_at_any_size():
+    text = lambda source: html_extraction.Page(source).main_text()[0]
+    long = "some reader says " * 200
+    for words in ("c", long):
+        assert text(f"<article><p>one short paragraph</p><div class='comments'><p>{words}</p></div></article>") == "one short paragraph"
+        assert text(f"<article><p>own</p><section class='comments-area'><p>{words}</p></section></article>") == "own"
+        assert text(f"<div class='text'><p>own</p></div><div class='sidebar'><p>{words}</p></div>") == "own"
+        assert text(f"<article><p>own</p><p class='advert'>{words}</p><p>and <span class='ad'>{words}</span>more</p></article>") == "own\nand more"
+        assert text(f"<article><p>own</p><ol class='talk'>{comments(words, words)}</ol></article>") == "own"  # by structure alone
+        assert text(f"<div><p>own</p></div><div id='x7'>{comments(words, words, tag='div', cls='row')}</div>") == "own"
+    # one of them, or articles with an author, a time and an answer link, are no list of comments
+    assert text(f"<article><p>own</p>{comments('a', tag='div', cls='note')}</article>").startswith("own\nwho0")
+    posts = "".join(f"<div class='post'><h2>t{k}</h2><cite>me</cite><time>1</time><p>post {k}</p><a href='#respond'>answer</a></div>" for k in range(3))
+    assert "post 0" in text(posts) and "post 2" in text(posts)
+    assert text("<body class='ads'><div class='ad'><h1>t</h1><p>own</p></div></body>") == "t\nown"
+
+
+def test_templates_act_inside_articles(spark):
+    """A site with share bars, adverts and comment lists without telling names inside its articles, other words on each."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, want = [], {}
+    for k in range(9):
+        bar = "<div class='q1'>" + "".join(f"<a href='/{word()}'>{word()}</a> " for _ in range(rng.randint(2, 5))) + "</div>"
+        talk = comments(*[word() for _ in range(rng.randint(2, 4))], cls="k3")
+        own = [" ".join(word() for _ in range(9)) for _ in range(rng.randint(1, 3))]
+        links = "<ul><li><a href='x'>" + word() + "</a></li></ul>"  # an article's own list of links stays
+        rows.append((k, f"http://site.example.com/{k}", f"<article>{''.join(f'<p>{p}</p>' for p in own)}{bar}{links}<div class='z2'>the same appeal</div><ul>{talk}</ul></article>"))
+        want[k] = "\n".join([*own, links.split(">")[3].split("<")[0]])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extraction.extract_main_text(df).collect()}
+    assert got == want
+    none = html_extraction.extract_main_text(df, templates=html_extraction.site_templates(df.limit(0))).collect()
+    assert all(r.text != want[r.page_id] for r in none)  # every page changes by its templates
+
+
+def test_a_section_of_a_large_host_has_templates(spark):
+    rows = [(k, "http://big.example.com/", f"<div><b>section menu</b></div><div><p>own words {k}</p></div>" if k < 30 else f"<div><p>page {k}</p></div>") for k in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = html_extraction.extract_main_text(df, templates=html_extraction.site_templates(df, min_share=0.5, many=25)).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"own words {k}" if k < 30 else f"page {k}" for k in range(400)}
+
+
 def test_pages_of_any_nesting_take_time_with_their_size():
     import time
 
