@@ -14,7 +14,10 @@
    are first verified against one or a few of them (stars). What the stars connect needs no further pairs: the full join
    looks only at members of different components, so no link between components is lost. Where it would still make many
    pairs, more stars come first, around several members of each shingle's largest component.
-6. Keys that many sets have: frequent shingles come last, and so into the prefixes of sets only that have little else;
+6. A shingle that comes late in a prefix joins its set with smaller ones only, so a pair has it early in one set at least;
+   late places meet early ones alone. A family that shares most of its text, but whose members each have too much of their
+   own, has its shared shingles late, and makes no pairs.
+7. Keys that many sets have: frequent shingles come last, and so into the prefixes of sets only that have little else;
    the join by shingle is dealt by size band too, since only neighbouring bands can link; the members of a star are dealt
    over as many copies of its centre as their number asks for.
 """
@@ -57,6 +60,11 @@ class Rule:
         left = f"{100 + self.percent} * least(n1 - at1, n2 - at2) >= {self.percent} * (n1 + n2)"
         return f"100 * least(n1, n2) >= {self.percent} * greatest(n1, n2) AND {left}"
 
+    def early(self) -> str:
+        """A posted shingle's place (at, of n) leaves enough behind for a set of the same size or more. One that comes later
+        joins smaller sets only, so two such can never both be right: of a pair, one place at least is early."""
+        return f"{100 + self.percent} * (n - at) >= {2 * self.percent} * n"
+
     def parity(self, bits: list[str]) -> str:
         """The bits that differ are no more than the shingles that may."""
         return f"{100 + self.percent} * ({' + '.join(f'bit_count({b})' for b in bits)}) <= {100 - self.percent} * (n1 + n2)"
@@ -280,14 +288,16 @@ def open_sets(rows: DataFrame, inside: DataFrame) -> DataFrame:
 
 def open_pairs(rows: DataFrame, inside: DataFrame, rule: Rule) -> DataFrame:
     """(x, y): sets of different components whose groups share a posted shingle, and that all filters let pass. Of two
-    groups that a shingle joins, one at least is outside its largest component; they are dealt by size band too."""
+    groups that a shingle joins, one at least is outside its largest component, and one at least has it early; they are
+    dealt by size band too. So texts that share most shingles, but have a tenth of them from elsewhere, never meet."""
     slim = ["g", "n", "at", "low", "high", *[f"{c}{k}_" for c in "ae" for k in range(FOLDED)]]
     rows = rows.withColumnsRenamed({f"{c}{k}": f"{c}{k}_" for c in "ae" for k in range(FOLDED)}).withColumn("band", rule.band("n"))
-    one, two = (rows.select("shingle", "band", "other", *[F.col(c).alias(f"{c}{i}") for c in slim]) for i in (1, 2))
-    one = one.where("other").drop("other").withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    one, two = (rows.select("shingle", "band", "early", "other", *[F.col(c).alias(f"{c}{i}") for c in slim]) for i in (1, 2))
+    either = F.when(F.col("early"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    one = one.where("other").drop("other").withColumn("early", F.explode(either)).withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
     parity = rule.parity([f"((a{k}_1 ^ a{k}_2) & e{k}_1 & e{k}_2)" for k in range(FOLDED)])
     once = "(NOT other OR g1 <= g2) AND least(low1, low2) < greatest(high1, high2)"
-    met = one.join(two, ["shingle", "band"]).where(f"{once} AND {rule.places()} AND {parity}")
+    met = one.join(two, ["shingle", "early", "band"]).where(f"{once} AND {rule.places()} AND {parity}")
     groups = met.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct()
     side = lambda i, name: inside.select(F.col("fp").alias(name), *[F.col(c).alias(f"{c}{i}") for c in ("g", "c", "n", "bits")])
     exact = rule.parity([f"(bits1[{i}] ^ bits2[{i}])" for i in range(WORDS)])
@@ -307,7 +317,8 @@ def links(docs: DataFrame, id_col: str, text: str, rule: Rule) -> tuple[DataFram
     members = saved(grouped(prefixes(near, rule, frequent(counts))), "join-members")
     at = F.col("alone") + F.col("place")
     posted = members.where("fp = g").select("g", "n", "alone", *folded("bits"), F.posexplode("prefix").alias("place", "shingle"))
-    posted = saved(posted.select("shingle", "g", "n", at.alias("at"), *[f"b{k}" for k in range(FOLDED)]), "join-posted")
+    posted = posted.select("shingle", "g", "n", at.alias("at"), *[f"b{k}" for k in range(FOLDED)]).withColumn("early", F.expr(rule.early()))
+    posted = saved(posted, "join-posted")
 
     own = members.where("fp <> g").select(F.col("g").alias("x"), F.col("fp").alias("y"))
     alone = [F.col("fp").alias("g"), F.col("fp").alias("c"), F.lit(1).alias("size"), F.lit(True).alias("other")]
@@ -319,8 +330,9 @@ def links(docs: DataFrame, id_col: str, text: str, rule: Rule) -> tuple[DataFram
         inside = members.select("fp", "g", "n", "bits").join(known, F.col("fp") == F.col("node"), "left")
         inside = saved(inside.select("fp", "g", "n", "bits", F.coalesce("component", "fp").alias("c")), "join-inside")
         open_ = saved(open_postings(posted, inside), "join-open")
-        load = open_.groupBy("shingle").agg(F.count("*").alias("n"), F.count_if("other").alias("others"))
-        n_rows, n_pairs = load.agg(F.sum("n"), F.sum(F.col("n") * F.col("others"))).first()
+        sizes = {"n": "true", "early": "early", "others": "other and early", "late": "other and not early"}
+        load = open_.groupBy("shingle").agg(*[F.count_if(F.expr(c)).alias(k) for k, c in sizes.items()])
+        n_rows, n_pairs = load.agg(F.sum("n"), F.sum(F.col("n") * F.col("others") + F.col("early") * F.col("late"))).first()
         if not n_rows:
             return rows, known.withColumnRenamed("node", "fp")
         if n_pairs <= DENSE * n_rows or turn > ROUNDS:

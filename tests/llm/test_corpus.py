@@ -206,6 +206,35 @@ def test_shared_passages_make_few_pairs(spark, monkeypatch):
     assert sum(seen) <= 3 * 150
 
 
+def family(rng, n, replaced=4):
+    """Texts of 200 words of which each has four replaced, so that any two are alike to about 0.79."""
+    base = prose(rng, 200).split(" ")
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for k in rng.sample(range(len(words)), replaced):
+            words[k] = f"v{rng.randrange(500)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_families_that_do_not_link_make_few_pairs(spark, monkeypatch):
+    seen, plain = [], jaccard_join.open_pairs
+    monkeypatch.setattr(jaccard_join, "open_pairs", lambda rows, inside, rule: seen.append(plain(rows, inside, rule).count()) or plain(rows, inside, rule))
+    rows = family(random.Random(51), 250) + [(1000 + i, t) for i, t in family(random.Random(51), 250)[:20:7]] + [(2000, family(random.Random(51), 1)[0][1] + " x")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, got.collect())) == brute.components(rows)
+    assert sum(seen) <= 250
+
+
+@pytest.mark.parametrize("replaced,percent", [(1, 90), (2, 90), (3, 80), (4, 70)])
+def test_families_of_any_likeness(spark, monkeypatch, replaced, percent):
+    rows = family(random.Random(52), 120, replaced) + family(random.Random(53), 20, replaced)
+    rows = [(i, t if i % 9 else t + " and more words at the end of it") for i, (_, t) in enumerate(rows)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=percent)
+    assert sorted(map(tuple, got.collect())) == brute.components(rows, percent)
+
+
 def test_frequent_shingles_need_not_be_known(spark, monkeypatch):
     """Any bound on the ordered shingles, and any size of star, gives the same components."""
     rng = random.Random(22)
