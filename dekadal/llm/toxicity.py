@@ -79,12 +79,11 @@ def stem_lists(buf: np.ndarray, offs: np.ndarray) -> dict:
 
 def learn_lexicon(
     docs: DataFrame, labels: DataFrame, id_col: str, text: str, *, max_toxic: int = 8000, max_clean: int = 16000,
-    max_stems: int = 2000,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Stems and log odds, from at most about max_toxic and max_clean labelled documents (hash samples beyond).
 
-    Every stem of three toxic documents, and of one in 400, whose log odds are 2 at least is a candidate, however common;
-    the max_stems of most weight (documents times log odds; by hash on a tie) make the lexicon, which bounds the model.
+    Every stem of three toxic documents, and of one in 400, whose log odds are 2 at least is in it, however common. The bounds
+    on documents bound it too: a document has no more stems than letters.
     """
     some = [bounded(labels.where(F.col("label") == k), "__id", n) for k, n in ((1, max_toxic), (0, max_clean))]
     n = [x.count() for x in some]
@@ -99,8 +98,7 @@ def learn_lexicon(
     toxic = counted(some[0], "toxic").where(F.col("toxic") >= max(3, n[0] // 400))
     both = toxic.join(counted(some[1], "clean"), "stem", "left")
     odds = F.log((F.col("toxic") + 0.5) / (n[0] + 1)) - F.log((F.coalesce("clean", F.lit(0)) + 0.5) / (n[1] + 1))
-    best = both.select("stem", "toxic", odds.alias("odds")).where("odds >= 2").orderBy(F.desc(F.col("toxic") * F.col("odds")), "stem").limit(max_stems)
-    found = best.toPandas().sort_values("stem")
+    found = both.select("stem", odds.alias("odds")).where("odds >= 2").toPandas().sort_values("stem")
     return found["stem"].to_numpy(np.int64), found["odds"].to_numpy(float)
 
 
