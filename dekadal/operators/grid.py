@@ -77,7 +77,8 @@ def axis_weights(n_src: int, o_src: float, d_src: float, n_dst: int, o_dst: floa
 
 def target_cells(spark_df: DataFrame, height: int, width: int, keys: list[str]) -> DataFrame:
     """All cells of a grid for each distinct key."""
-    return spark_df.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select(*keys, "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    every = lambda n, a: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(a)
+    return spark_df.select(*keys).distinct().select(*keys, every(height, "y")).select(*keys, "y", every(width, "x"))
 
 
 def regrid_bilinear(cube: DataFrame, src: dict, dst: dict, keys: list[str] = ["variable", "date"]) -> DataFrame:  # noqa: B006

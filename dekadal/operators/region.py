@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 def region_bbox(regions: DataFrame, pad: tuple[float, float, float, float] = (0, 0, 0, 0)) -> DataFrame:
     """Least and largest x, y per region, padded by shares of width and height: left, right, bottom, top."""
-    b = regions.select("region", F.explode("pts").alias("p")).groupBy("region").agg(F.min("p.x").alias("xmin"), F.max("p.x").alias("xmax"), F.min("p.y").alias("ymin"), F.max("p.y").alias("ymax"))
+    ends = {"xmin": F.min("p.x"), "xmax": F.max("p.x"), "ymin": F.min("p.y"), "ymax": F.max("p.y")}
+    b = regions.select("region", F.explode("pts").alias("p")).groupBy("region").agg(*[v.alias(k) for k, v in ends.items()])
     w, h = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
-    return b.select("region", (F.col("xmin") - w * pad[0]).alias("xmin"), (F.col("xmax") + w * pad[1]).alias("xmax"), (F.col("ymin") - h * pad[2]).alias("ymin"), (F.col("ymax") + h * pad[3]).alias("ymax"))
+    grow = {"xmin": -w * pad[0], "xmax": w * pad[1], "ymin": -h * pad[2], "ymax": h * pad[3]}
+    return b.select("region", *[(F.col(c) + by).alias(c) for c, by in grow.items()])
 
 
 def edges(pts: Column) -> Column:

@@ -33,7 +33,9 @@ def file_manifest(
     two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
     month, year = two("month"), F.col("year").cast("string")
     day = F.lpad(F.dayofmonth("start_date").cast("string"), 2, "0")
-    suffix: Column = {"daily": F.concat(F.lit("_"), day), "pentadal": F.concat(F.lit("-pt"), F.col("pentad").cast("string")), "dekadal": F.concat(F.lit("-dk"), F.col("dekad").cast("string")), "monthly": F.lit(""), "seasonal": F.lit("_seas")}[timestep]
+    number = lambda sign, c: F.concat(F.lit(sign), F.col(c).cast("string"))
+    suffixes = {"daily": F.concat(F.lit("_"), day), "monthly": F.lit(""), "seasonal": F.lit("_seas")}
+    suffix: Column = {**suffixes, "pentadal": number("-pt", "pentad"), "dekadal": number("-dk", "dekad")}[timestep]
     name = F.concat(F.lit(product), year, F.lit("_"), month, suffix, F.lit("_anom" if anomalies else ""), F.lit(f"_{resolution}" if coarse else ""), F.lit(f".v{version}.nc"))
     data = "soil_moisture/data" if product == "sm" else "rfe/data_degraded" if coarse else "rfe/data"
     folder = f"{root}{data}/v{version}/{timestep}{'-anomalies' if anomalies else ''}/" + (f"{resolution}/" if coarse else "")

@@ -125,4 +125,5 @@ def normalise_forecast_schema(df: DataFrame) -> DataFrame:
     value = "percent_inundation_prediction" if "percent_inundation_prediction" in have else "percent_inundation"
     pick = lambda c: F.col(c).try_cast("double") if c in have else F.lit(None).cast("double")
     date = next(c for c in ("date", "_c0", "index") if c in have)
-    return df.select(F.col(date).cast("string").try_cast("date").alias("date"), pick(value).alias("percent_inundation"), pick("lower_bound_95").alias("lower_bound_95"), pick("upper_bound_95").alias("upper_bound_95"))
+    columns = {"percent_inundation": value, "lower_bound_95": "lower_bound_95", "upper_bound_95": "upper_bound_95"}
+    return df.select(F.col(date).cast("string").try_cast("date").alias("date"), *[pick(c).alias(name) for name, c in columns.items()])

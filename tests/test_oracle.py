@@ -14,7 +14,8 @@ NAMES = [
     "cumulative_cube", "regrid_bilinear", "zonal_mean", "spatial_join_points", "mosaic_mean", "rank_mask", "flood_change_map", "change_area", "read_altimeter", "read_climate_index", "read_sectioned_fwf",
     "file_manifest", "missing_files", "append_cube", "write_forecast", "incremental_update", "late_data_refresh", "continue_cumulative", "batch_score",
     "asof_calendar", "fit_scaler_804", "seasonal_stats", "seasonal_lookup", "seasonal_zscore_missing_keys", "rasterize_region", "rasterize_region_all_touched", "zonal_mean_all_touched", "spatial_join_places",
-    "clip_to_geometry", "mask_cube", "alert_message", "patch_windows", "crop_border",
+    "clip_to_geometry", "mask_cube", "alert_message", "patch_windows", "crop_border", "refresh_tail", "tumbling_dekad", "list_rasters", "mc_dropout_score", "latest_forecast", "ensemble_summary", "forecast_loss",
+    "forecast_metrics", "join_sections",
 ]
 
 
