@@ -1,4 +1,5 @@
-"""Overlapping patches, mosaics, rank masks and change maps."""
+"""Overlapping patches and mosaics in cell form, for small grids (tiles.py has them for large ones), rank masks and change
+maps."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import change_class
+from .tiles import last_dates
 
 #: Value buckets of the first pass of rank_mask.
 BUCKETS = 4096
@@ -30,11 +32,7 @@ def patch_windows(
     (size / stride)^2 patches and each patch is one group of steps * channels * size^2 values. The table per key is
     joined without a hint: there may be any number of keys.
     """
-    dates = cube.select(*keys, "date").distinct()
-    if not keys:
-        dates = dates.orderBy(F.desc("date")).limit(steps + end_offset)
-    ranked = dates.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("date")))).where(F.col("__r").between(end_offset + 1, end_offset + steps))
-    ranked = ranked.select(*keys, "date", (F.lit(steps + end_offset) - F.col("__r")).cast("int").alias("step"))
+    ranked = last_dates(cube, steps, end_offset, keys)
     rows = cube.join(ranked if keys else F.broadcast(ranked), [*keys, "date"])
     rows = rows.withColumn("y0", F.explode(starts("y", size, stride, height))).withColumn("x0", F.explode(starts("x", size, stride, width)))
     value = F.struct("step", "channel", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "value")
