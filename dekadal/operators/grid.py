@@ -54,9 +54,32 @@ def nearest_cell(points: DataFrame, meta: dict, lon: str = "lon", lat: str = "la
     return points.withColumn("x", cell(lon, meta["x0"], meta["dx"], meta["width"])).withColumn("y", cell(lat, meta["y0"], meta["dy"], meta["height"]))
 
 
+#: Points of a cell that one task expands at a time.
+SECTION = 8192
+
+
 def extract_point(cube: DataFrame, points: DataFrame, meta: dict) -> DataFrame:
-    """Series at the cells nearest to points. Spark broadcasts few points; many shuffle by cell."""
-    return nearest_cell(points, meta).join(cube, ["y", "x"])
+    """Series at the cells nearest to points: a row per point and date of its cell. Filters on dates and rounding belong
+    to the cube, where they are done once for all points of a cell."""
+    return series_of_points(nearest_cell(points, meta), cube)
+
+
+def series_of_points(points: DataFrame, cube: DataFrame) -> DataFrame:
+    """Rows of points (y, x, and more columns), each with the rows of its cell in the cube.
+
+    The rows of a cell are put together in arrays of at most 4096 days each, so that points meet a few arrays and not each
+    date's row, and arrays turn into rows last. A cell of many points is dealt out in sections, with its arrays for each.
+    """
+    cell = ["y", "x"]
+    own, rest = ([c for c in df.columns if c not in cell] for df in (points, cube))
+    sizes = points.groupBy(*cell).agg(F.ceil(F.count("*") / SECTION).alias("__parts"))
+    span = F.floor(F.datediff("date", F.lit("1970-01-01")) / 4096).alias("__span")
+    series = cube.groupBy(*cell, span).agg(F.collect_list(F.struct(*rest)).alias("__rows")).join(sizes, cell)
+    series = series.select(*cell, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__parts") - 1)).alias("__part"), "__rows")
+    placed = points.join(sizes, cell).select(*points.columns, F.pmod(F.xxhash64(*points.columns), "__parts").alias("__part"))
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, since few bytes become many rows
+    met = placed.repartition(n, *cell, "__part").join(series.hint("merge"), [*cell, "__part"])  # point by point: a task holds one's rows
+    return met.select(*cell, *own, F.inline("__rows"))
 
 
 def extract_area(cube: DataFrame, bbox: dict, meta: dict) -> DataFrame:

@@ -196,7 +196,8 @@ def nearest_cell(spark: S, sf: str) -> DataFrame:
 
 @query(sql("cube", "SELECT c_custkey, date, round(value, 4) + 0 AS value FROM nc JOIN cube USING (y, x)", PTS, CELLS))
 def extract_point(spark: S, sf: str) -> DataFrame:
-    return grid.extract_point(cube(spark, sf), points(spark, sf), META16).select("c_custkey", "date", r4("value").alias("value"))
+    rounded = cube(spark, sf).select("y", "x", "date", r4("value").alias("value"))
+    return grid.extract_point(rounded, points(spark, sf).drop("name"), META16).select("c_custkey", "date", "value")
 
 
 @query(sql("cube", "SELECT variable, date, y, x, round(sum(value) OVER (PARTITION BY y, x ORDER BY date), 3) + 0 AS value FROM cube"))
