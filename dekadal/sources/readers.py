@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..operators.grid import series_of_points
 from ..operators.region import union_regions
 
 #: Values that altimeter files hold where nothing was measured.
@@ -108,6 +109,13 @@ def read_cube(
     return cube
 
 
+def read_point_extract(spark: SparkSession, path: str, points: str, series: str) -> DataFrame:
+    """A row per point and date of what sinks.extract_points_to_csv wrote. points and series: the schemas of its two tables,
+    both with y and x."""
+    placed, rows = (spark.read.schema(s).option("header", True).csv(f"{path.rstrip('/')}/{n}") for n, s in (("points", points), ("series", series)))
+    return series_of_points(placed, rows)
+
+
 def read_regions(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Boundary layers stacked on their common columns."""
     return union_regions([spark.read.parquet(p) for p in paths])

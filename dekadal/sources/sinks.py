@@ -91,3 +91,12 @@ def write_masks(masks: DataFrame, path: str) -> None:
 def extract_to_csv(extract: DataFrame, path: str, value: str = "value") -> None:
     """Values to four places, half to even."""
     extract.withColumn(value, round4(F.col(value))).write.mode("overwrite").option("header", True).csv(path)
+
+
+def extract_points_to_csv(cube: DataFrame, points: DataFrame, path: str, value: str = "value") -> None:
+    """The extract of many points as two CSV tables that hold all of it: series, the rows of each cell that a point lies in,
+    once, and points, with the cell (y, x) of each. Written out by point and date it has a copy of its cell's series for
+    each point; readers.read_point_extract makes these rows. Values to four places, half to even."""
+    cells = cube.join(points.select("y", "x").distinct(), ["y", "x"], "left_semi")
+    extract_to_csv(cells, f"{path.rstrip('/')}/series", value)
+    points.write.mode("overwrite").option("header", True).csv(f"{path.rstrip('/')}/points")

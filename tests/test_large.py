@@ -1,10 +1,13 @@
 """What only larger tables show, on small rows: skewed points, wide counts, extracts that copy a cell's series."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
 from dekadal.operators import grid
+from dekadal.plans import catalog
+from dekadal.sources import readers, sinks
 
 META = {"x0": 0.0, "y0": 0.0, "dx": 1.0, "dy": 1.0, "height": 4, "width": 4}
 DAY = dt.date(1970, 1, 1)
@@ -26,3 +29,24 @@ def test_points_of_one_cell_are_many_tasks_work(spark, monkeypatch):
     assert sorted(map(repr, ((r.k, r.date, r.value) for r in got.collect()))) == sorted(map(repr, want))
     assert got.columns == ["y", "x", "k", "name", "lon", "lat", "variable", "date", "value"]
     assert got.where("k < 60").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_an_extract_of_many_points_does_not_copy_series(spark, tmp_path):
+    cube, cells = a_cube(spark)
+    sf, base = str(tmp_path / "sf"), spark.conf.get("spark.checkpoint.dir")
+    items = [(DAY + dt.timedelta(d), s, p, float((d * 7 + s + p) % 50) + d / 3) for d in range(40) for s in range(16) for p in range(16)]
+    spark.createDataFrame(items, "l_shipdate date, l_suppkey long, l_partkey long, l_quantity double").coalesce(1).write.parquet(f"{sf}/lineitem.parquet")
+    size = lambda path: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+    used = []
+    for n in (1000, 4000):
+        spark.range(0, n, 1, 2).selectExpr("id as c_custkey", "concat('c', id) as c_name").write.mode("overwrite").parquet(f"{sf}/customer.parquet")
+        before = size(base)
+        rows = catalog.QUERIES["extract_to_csv"](spark, sf)
+        assert rows.count() == n * 40
+        used.append(size(base) - before)
+    assert used[1] - used[0] < 3000 * 40  # a line of CSV for a point and none for each of its 40 dates
+    points = grid.nearest_cell(spark.createDataFrame([(1, "a, b", 0.5, 0.5), (2, "c", 2.5, 9.0), (3, "d", 0.1, -4.0)], "k long, name string, lon double, lat double"), META)
+    sinks.extract_points_to_csv(cube.select("y", "x", "date", "value"), points.select("k", "name", "y", "x"), str(tmp_path / "out"))
+    got = readers.read_point_extract(spark, str(tmp_path / "out"), "k long, name string, y int, x int", "y int, x int, date date, value double")
+    want = [(k, name, d, v) for k, name, y, x in ((1, "a, b", 0, 0), (2, "c", 3, 2), (3, "d", 0, 0)) for _, d, yy, xx, v in cells if (yy, xx) == (y, x)]
+    assert sorted(map(repr, map(tuple, got.select("k", "name", "date", "value").collect()))) == sorted(map(repr, want))
