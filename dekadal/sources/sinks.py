@@ -24,6 +24,8 @@ def append_cube(df: DataFrame, path: str) -> None:
 def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row of those that share keys: the largest, by its other columns in their order, nulls least."""
     rest = [c for c in df.columns if c not in keys]
+    if len(rest) == 1:  # the same, without sorting all rows by their keys
+        return df.groupBy(*keys).agg(F.max(rest[0]).alias(rest[0])).select(*df.columns)
     best = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__best")) if rest else df.distinct()
     return best.select(*[F.col(c) if c in keys else F.col(f"__best.{c}").alias(c) for c in df.columns])
 

@@ -142,14 +142,17 @@ def cumulative_stream(
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = one_of_each(batch.select(*keys, *order, value), [*keys, *order]).withColumn("period", at)
-        first = rows.agg(F.min("period")).first()[0]  # one row
+        own = batch.select(*keys, *order, value)
+        first = own.agg(F.min(at)).first()[0]  # one row
         if first is None:
             return
-        shape = rows.schema
+        rows = one_of_each(own, [*keys, *order]).withColumn("period", at)
         double = lambda name: T.StructField(name, T.DoubleType())
-        old = stored(spark, target, T.StructType([*shape.fields, double("cumulative")])).where(F.col("period") >= F.lit(first)).drop("cumulative")
-        every = old.join(rows.select(*keys, *order), [*keys, *order], "left_anti").unionByName(rows)
+        old = stored(spark, target, T.StructType([*rows.schema.fields, double("cumulative")])).where(F.col("period") >= F.lit(first)).drop("cumulative")
+        merged, made = (staging_dir(spark, n) for n in ("merged", "ends"))
+        # rows and ends are made once, from what is stored, before any of it is replaced
+        old.join(rows.select(*keys, *order), [*keys, *order], "left_anti").unionByName(rows).write.parquet(merged)
+        every = spark.read.schema(rows.schema).parquet(merged)
         before = stored(spark, ends, T.StructType([*rows.select(*keys, "period").schema.fields, double("end")])).where(F.col("period") < F.lit(first))
         newest = before.agg(F.max("period")).first()[0]  # one row, from the names of partitions
         before = (before if newest is None else before.where(F.col("period") == F.lit(newest))).select(*keys, F.col("end").alias("before"))
@@ -159,15 +162,12 @@ def cumulative_stream(
         upto = Window.partitionBy(*keys).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
         steps = grid.join(totals, [*keys, "period"], "left").join(before, keys, "left").fillna(0.0, ["total", "before"])
         steps = steps.withColumn("end", F.col("before") + F.sum("total").over(upto)).select(*keys, "period", "end", (F.col("end") - F.col("total")).alias("start"))
+        steps.write.parquet(made)
+        steps = spark.read.schema(steps.schema).parquet(made)
         inner = F.sum(value).over(Window.partitionBy(*keys, "period").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
         summed = every.withColumn("inner", F.coalesce(inner, F.lit(0.0))).join(steps.drop("end"), [*keys, "period"])
-        summed = summed.select(*shape.names, (F.col("start") + F.col("inner")).alias("cumulative"))
-        made = [(summed, target), (steps.select(*keys, "period", "end"), ends)]
-        staged = [staging_dir(spark, "cumulative") for _ in made]
-        for (table, _), aside in zip(made, staged, strict=True):  # all are made from what is stored before any of it is replaced
-            table.write.parquet(aside)
-        for (table, path), aside in zip(made, staged, strict=True):
-            overwrite_parts(spark.read.schema(table.schema).parquet(aside), path, ["period"])
+        overwrite_parts(summed.select(*rows.columns, (F.col("start") + F.col("inner")).alias("cumulative")), target, ["period"])
+        overwrite_parts(steps.select(*keys, "period", "end"), ends, ["period"])
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -61,3 +61,23 @@ def test_counts_of_six_digits_fit_their_fields(spark, tmp_path):
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE_SQL['read_sectioned_fwf']})").fetchall()
     got = sorted(map(tuple, df.collect()))
     assert got == sorted(want) and got[1][4] == -100_001
+
+
+def test_arriving_events_are_many_tasks_work(spark, tmp_path):
+    spark.range(0, 600, 1, 4).selectExpr("id as event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, int(id % 30)) as ts", "concat('e', id % 2) as event_type", "double(id % 17) as value").write.parquet(f"{tmp_path}/events.parquet")
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    df = catalog.QUERIES["continue_cumulative"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE_SQL['continue_cumulative']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) == 600
+    arriving = [d for d in set(os.listdir(base)) - before if d.startswith("arriving-")]
+    assert len([f for d in arriving for f in os.listdir(os.path.join(base, d)) if f.startswith("part-")]) > 5
+
+
+def test_one_of_each_does_not_sort_a_single_value(spark):
+    rows = spark.createDataFrame([("a", 1, None), ("a", 1, 2.0), ("a", 1, 1.0), ("b", 2, None)], "v string, k int, w double")
+    best = sinks.one_of_each(rows, ["v", "k"])
+    assert sorted(map(tuple, best.collect())) == [("a", 1, 2.0), ("b", 2, None)]
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
